@@ -256,7 +256,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(key, lines, pattern)
-        for b in slices(batches, 300):
+        for b in slices(batches, 1500):
             ids = pa.array(enc.encode_all(texts(b.column(1))), pa.list_(pa.int32()))
             yield pa.record_batch([b.column(0), ids], names=["doc_id", "ids"])
 
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(key, lines, r"\s+|\S+")
-        for b in slices(batches, 300):
+        for b in slices(batches, 1500):
             data = [None if x is None else enc.decode(x) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 

@@ -56,11 +56,13 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, which bound a Python worker's memory."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many rows, and about so many bytes, at most: they bound a
+    Python worker's memory."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        step = max(1, min(rows, int(most * b.num_rows / max(b.nbytes, 1))))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def texts(column: pa.Array) -> list[str]:

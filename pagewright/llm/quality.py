@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import materialize, slices, texts, widened
 
 #: Labelled documents that the evidence is fitted on at most, taken by a hash of doc_id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 #: A feature counts if this share of the labelled documents, and so many at least, have it, and
 #: its z score is at least this.
 MIN_SHARE, MIN_DOCUMENTS, MIN_Z = 0.002, 5, 6.0
@@ -49,14 +50,14 @@ def word_features(word: str) -> tuple[str, ...]:
     return known
 
 
-def shape_features(text: str, words: list[str], distinct: int) -> list[str]:
+def shape_features(text: str, words: list[str], own: set[str]) -> list[str]:
     """Shape of a whole text, in bands."""
     if not words:
         return ["s:empty"]
-    n = len(words)
-    size = int(np.log2(n))
-    plain = sum(map(str.isalpha, (w.strip(_STRIP) for w in words))) / n
-    repeats = sum(a == b for a, b in zip(words, words[1:])) / n
+    n, distinct = len(words), len(own)
+    size = n.bit_length() - 1
+    plain = sum(w.strip(_STRIP).isalpha() for w in own) / distinct
+    repeats = sum(map(eq, words, words[1:])) / n
     return [f"s:words{size}", f"s:plain{int(plain * 10)}", f"s:distinct{min(size, 8)}.{int(distinct / n * 8)}", f"s:repeats{int(repeats * 10)}", f"s:length{int(min(len(text) / n, 30) / 2)}"]
 
 
@@ -64,7 +65,7 @@ def features(text: str) -> set[str]:
     words = text.split()
     own = set(words)
     out = set().union(*map(word_features, own)) if own else set()
-    return out | set(shape_features(text, words, len(own)))
+    return out | set(shape_features(text, words, own))
 
 
 class Evidence:
@@ -87,7 +88,7 @@ class Evidence:
                 known = cache[w] = tuple(f for f in word_features(w) if f in self.weights)
             if known:
                 hit.update(known)
-        hit.update(f for f in shape_features(text, words, len(own)) if f in self.weights)
+        hit.update(f for f in shape_features(text, words, own) if f in self.weights)
         return self.base[0] + sum(self.weights[f][0] for f in hit), self.base[1] + sum(self.weights[f][1] for f in hit)
 
 
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
             return False
         p, a, b = n / total[0], k / n_class, (n - k) / rest
         spread = np.sqrt(max(p * (1 - p), 1 / total[0]) * (1 / n_class + 1 / rest))
-        return abs(a - b) / spread >= MIN_Z and max(a, b) > 3 * min(a, b)
+        return abs(a - b) / spread >= MIN_Z and max(a, b) > 6 * min(a, b)
 
     chosen = sorted(r.feature for r in frequent if r.feature and r.n >= MIN_SHARE * total[0] and (clear(r.n, r.bad, total[1]) or clear(r.n, r.toxic, total[2])))
     index = {f: i for i, f in enumerate(chosen)}
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
     return Evidence(weights, *rates, tuple(float(f[1] - np.log(r / (1 - r))) for f, r in zip(fits, rates)))
 
 
-def _logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, n: int, penalty: float = 0.3, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, n: int, penalty: float = 0.3, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and intercept of a penalised logistic regression on yes/no features, by accelerated
     gradient steps scaled by how many documents have each feature."""
     w, momentum, bias, drift = np.zeros(n), np.zeros(n), 0.0, 0.0
@@ -210,24 +211,26 @@ def _scored(docs: DataFrame, evidence: Evidence) -> DataFrame:
 _NEW = ("e_good", "e_toxic", "site", "path", "p_good", "p_toxic", "good_site", "good_path", "toxic_site", "toxic_path", "quality_posterior", "toxic_posterior", "rejected")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
     """Columns of docs with the posteriors of document, site and path, and rejected.
 
     A document is rejected if its quality posterior is under 0.5 or its toxic posterior over 0.5.
     Null and empty texts have the evidence of an empty text; null source or lang is a site or path
-    of its own. Columns with the new names are replaced; repeated rows stay.
+    of its own. Columns with the new names are replaced; repeated rows stay. Without the text, the
+    narrow scores are written once; with it, texts are scored a second time rather than written.
     """
     docs = docs.drop(*_NEW)
     evidence = fit(docs, labels)
     place = {"site": F.coalesce(F.col("source").cast("string"), F.lit("")), "path": F.coalesce(F.col("lang").cast("string"), F.lit(""))}
     base = {"p_good": _sigmoid(F.col("e_good") + _logit(F.lit(evidence.good_rate))), "p_toxic": _sigmoid(F.col("e_toxic") + _logit(F.lit(evidence.toxic_rate)))}
-    narrow = _scored(docs.select("source", "lang", F.col("text").cast("string").alias("text")), evidence).drop("text")
-    rates = materialize(_rates(narrow.withColumns(place).withColumns(base), evidence), "rates")
-    full = _scored(docs, evidence).withColumns(place).withColumns(base).join(rates, ["site", "path"])
+    scored = _scored(docs, evidence).withColumns(place).withColumns(base)
+    narrow = scored.drop("text") if keep_text else materialize(scored.drop("text"), "scores")
+    rates = materialize(_rates(narrow, evidence), "rates")
+    full = (scored if keep_text else narrow).join(rates, ["site", "path"])
     good = _sigmoid(F.col("e_good") + _logit(F.col("good_path")))
     toxic = _sigmoid(F.col("e_toxic") + _logit(F.col("toxic_path")))
     out = full.withColumn("quality_posterior", good).withColumn("toxic_posterior", toxic)
-    return out.withColumn("rejected", (F.col("quality_posterior") < 0.5) | (F.col("toxic_posterior") > 0.5)).select(*docs.columns, *_NEW)
+    return out.withColumn("rejected", (F.col("quality_posterior") < 0.5) | (F.col("toxic_posterior") > 0.5)).select(*(c for c in docs.columns if keep_text or c != "text"), *_NEW)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,5 +239,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    c = classify(docs, labels)
+    c = classify(docs.select("doc_id", "source", "lang", "text"), labels, keep_text=False)
     return c.select(F.col("doc_id").cast("long").alias("doc_id"), "site", "path", *(F.round(x, 6).alias(x) for x in ("p_good", "p_toxic", "good_site", "good_path", "toxic_site", "toxic_path", "quality_posterior", "toxic_posterior")), "rejected")

@@ -135,7 +135,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, counts = [], [], []
-        for b in slices(batches, 300):
+        for b in slices(batches, 1500):
             found = encode_texts(texts(b.column(1)), held.value, end_id)
             names += b.column(0).to_pylist()
             counts += map(len, found)
