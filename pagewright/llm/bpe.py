@@ -12,19 +12,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import slices, texts
+from pagewright.llm.common import slices
 
 #: Entries of encoded stretches in each of the two generations that a worker keeps.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
 
 
 class Vocabulary:
@@ -160,36 +162,67 @@ class StretchMemo:
 
     The cuts, and the rule that a mark behind letters is a piece of its own, hold for split
     patterns that, as that of the public byte-level vocabularies, take runs of letters with one
-    space before them. encode_strings gives the ids of each of many strings.
+    space before them. encode_strings gives the ids of each of many strings as int32 bytes.
     """
 
     MARKS = ".,;:!?"
 
-    def __init__(self, encode_strings: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_strings: Callable[[list[str]], list[bytes]]):
         self.encode_strings = encode_strings
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks = dict(zip(self.MARKS, encode_strings(list(self.MARKS))))
 
-    def _resolve(self, parts: set[str]) -> dict[str, list[int]]:
-        split = {p: p[:-1] for p in parts if p[-1:] in self.marks and p[:-1].isalpha()}
-        words = (parts - split.keys()) | set(split.values())
-        known = {w: x for w in words if (x := self.memo.get(w) or self.older.get(w))}
-        new = list(words - known.keys())
-        for w, ids in zip(new, self.encode_strings([" " + w for w in new])):
-            known[w] = ids
-        keep = {w: known[w] for w in words if len(w) <= 64 and w not in self.memo}
-        if len(self.memo) + len(keep) > MEMO_ENTRIES:
-            self.memo, self.older = {}, self.memo
-        self.memo.update(keep)
-        known.update({p: known[w] + self.marks[p[-1]] for p, w in split.items()})
-        return known
-
-    def encode_all(self, items: list[str]) -> list[list[int]]:
-        cut = [stretches(x) for x in items]
-        first = self.encode_strings([c[0] for c in cut])
-        ids = self._resolve(set(chain.from_iterable(c[1:] for c in cut))).__getitem__
-        return [a + list(chain.from_iterable(map(ids, c[1:]))) for a, c in zip(first, cut)]
+    def _resolve(self, names: list[str]) -> list[bytes]:
+        """Ids of each of these stretches with its space."""
+        words = [s[:-1] if s[-1:] in self.marks and s[:-1].isalpha() else s for s in names]
+        found = list(map(self.memo.get, words))
+        if missing := {w for w, x in zip(words, found) if x is None}:
+            fresh = {w: x for w in missing if (x := self.older.get(w)) is not None}
+            new = list(missing - fresh.keys())
+            fresh.update(zip(new, self.encode_strings([" " + w for w in new])))
+            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
+            keep = {w: x for w, x in fresh.items() if len(w) <= 64}
+            if len(self.memo) + len(keep) > MEMO_ENTRIES:
+                self.memo, self.older = {}, self.memo
+            self.memo.update(keep)
+        return [x if w is s else x + self.marks[s[-1]] for s, w, x in zip(names, words, found)]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and the number of each text's; null counts as empty."""
+        if not len(column):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        column = pc.fill_null(column, "")
+        parts = pc.split_pattern(column, " ")
+        coded = parts.flatten().dictionary_encode()
+        names, codes, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+        inner = np.ones((2, len(codes)), bool)  # has a space before it, behind it
+        inner[0, bounds[:-1]] = inner[1, bounds[1:] - 1] = False
+        opens, closes = np.zeros((2, len(names)), bool)
+        for i in [i for i, x in enumerate(names) if not x or x != x.strip()]:
+            opens[i], closes[i] = not names[i] or names[i][0].isspace(), not names[i] or names[i][-1].isspace()
+        uneven = np.logical_or.reduceat(opens[codes] & inner[0] | closes[codes] & inner[1], bounds[:-1])
+        heads, rows = [], []
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if uneven[i]:
+                own = stretches(column[i].as_py())
+                heads.append(own[0])
+                rest = np.arange(len(names), len(names) + len(own) - 1)
+                names += own[1:]
+            else:
+                heads.append(names[codes[a]])
+                rest = codes[a + 1 : b]
+            rows.append(np.concatenate(([-1 - i], rest)))
+        order = np.concatenate(rows)
+        used = np.flatnonzero(np.bincount(order[order >= 0], minlength=len(names)))
+        place = np.zeros(len(names), np.int64)
+        place[used] = np.arange(len(heads), len(heads) + len(used))
+        data = self.encode_strings(heads) + self._resolve(list(map(names.__getitem__, used.tolist())))
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))
+        order = np.where(order < 0, -1 - order, place[np.maximum(order, 0)])
+        starts = np.cumsum([0, *map(len, rows[:-1])])
+        return lists.take(pa.array(order)).flatten().to_numpy(), np.add.reduceat(sizes[order], starts)
 
 
 class Encoder:
@@ -198,7 +231,8 @@ class Encoder:
     def __init__(self, rank_lines: bytes, pattern: str):
         self.vocabulary, self.pieces = Vocabulary(rank_lines), regex.compile(pattern)
         self.other: dict[str, list[int]] = {}
-        self.memo = StretchMemo(lambda items: [self._string(x) for x in items])
+        self.memo = StretchMemo(lambda items: [array("i", self._string(x)).tobytes() for x in items])
+        self.table = pa.array([self.vocabulary.bytes.get(i) for i in range(self.vocabulary.top)], pa.binary())
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
@@ -220,14 +254,21 @@ class Encoder:
             ids += known
         return ids
 
-    def encode_all(self, items: list[str]) -> list[list[int]]:
-        return self.memo.encode_all(items)
-
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.memo.encode_column(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+        return self.decode_column(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_column(self, ids: pa.ListArray) -> pa.Array:
+        """Bytes of each list of ids; null gives null."""
+        flat = self.table.take(ids.flatten())
+        if flat.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())))
+        offsets = np.concatenate(([0], np.cumsum(pc.binary_length(flat).to_numpy(), dtype=np.int64)))[ends].astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), flat.buffers()[2]])
+        return pc.if_else(ids.is_valid(), data, pa.scalar(None, pa.binary()))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -256,8 +297,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(key, lines, pattern)
-        for b in slices(batches, 1500):
-            ids = pa.array(enc.encode_all(texts(b.column(1))), pa.list_(pa.int32()))
+        for b in slices(batches, 4000):
+            flat, counts = enc.memo.encode_column(b.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.record_batch([b.column(0), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -269,9 +311,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(key, lines, r"\s+|\S+")
-        for b in slices(batches, 1500):
-            data = [None if x is None else enc.decode(x) for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+        for b in slices(batches, 4000):
+            yield pa.record_batch([b.column(0), b.column(1), enc.decode_column(b.column(1))], names=["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 

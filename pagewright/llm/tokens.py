@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.bpe import StretchMemo
-from pagewright.llm.common import new_path, slices, texts
+from pagewright.llm.common import new_path, slices
 
 BLOCK = 512  # bits between two entries of a rank directory
 SHARD_BYTES = 8 << 20  # text bytes that a shard should hold
@@ -38,9 +38,9 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         n, planes = len(ids), np.zeros((bits, -(-max(len(ids), 1) // BLOCK) * BLOCK // 8), np.uint8)
-        now = ids.astype(np.uint32)
+        now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits):
-            bit = (now >> np.uint32(bits - 1 - level)) & np.uint32(1) != 0
+            bit = now & now.dtype.type(1 << (bits - 1 - level)) != 0
             packed = np.packbits(bit)
             planes[level, : len(packed)] = packed
             now = np.concatenate((now[~bit], now[bit]))
@@ -100,30 +100,59 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence, by undoing the sorts from the last plane up."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            back = np.empty(self.n, np.uint32)
+            back = np.empty_like(out)
             z = int(self.zeros[level])
-            back[~bit], back[bit] = out[:z], out[z:] | np.uint32(1 << (self.bits - 1 - level))
+            back[~bit], back[bit] = out[:z], out[z:] | out.dtype.type(1 << (self.bits - 1 - level))
             out = back
-        return out
+        return out.astype(np.uint32)
 
 
 _ENCODERS: dict[int, StretchMemo] = {}
 
 
-def encode_texts(items: list[str], tokenizer_json: str, end_id: int) -> list[np.ndarray]:
-    """Ids of each text with end_id behind it. Strings of special tokens are ordinary text."""
+def _string_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes many strings at once. Words behind one space each are put into long strings: a
+    byte-level vocabulary writes a space as the letter below, so each word begins at such a token."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(tokenizer_json)
+    t.encode_special_tokens = True
+    begins = np.zeros(t.get_vocab_size(), bool)
+    begins[[i for s, i in t.get_vocab().items() if s.startswith("\u0120")]] = True
+
+    def each(strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode(strings: list[str]) -> list[bytes]:
+        rest = [i for i, s in enumerate(strings) if s[:1] != " " or s.split() != [s[1:]]]
+        if rest:
+            odd = set(rest)
+            done = iter(encode([s for i, s in enumerate(strings) if i not in odd]))
+            own = iter(each([strings[i] for i in rest]))
+            return [next(own if i in odd else done) for i in range(len(strings))]
+        joined = t.encode_batch_fast(["".join(strings[i : i + 1000]) for i in range(0, len(strings), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in joined)])
+        at = np.flatnonzero(begins[ids])
+        if len(at) != len(strings):
+            return each(strings)
+        data, at = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+        return [data[i:j] for i, j in zip(at, at[1:])]
+
+    return encode
+
+
+def encode_texts(column: pa.Array, tokenizer_json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one behind the other, end_id behind each, and the number of each text's.
+    Strings of special tokens are ordinary text."""
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(tokenizer_json)
-        t.encode_special_tokens = True
-        _ENCODERS[key] = StretchMemo(lambda strings: [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)])
-    return [np.array([*ids, end_id], np.uint32) for ids in _ENCODERS[key].encode_all(items)]
+        _ENCODERS[key] = StretchMemo(_string_encoder(tokenizer_json))
+    ids, counts = _ENCODERS[key].encode_column(column)
+    return np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1
 
 
 def write_shards(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 2, bits: int = 16, shard_bytes: int = SHARD_BYTES) -> None:
@@ -135,11 +164,11 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, counts = [], [], []
-        for b in slices(batches, 1500):
-            found = encode_texts(texts(b.column(1)), held.value, end_id)
+        for b in slices(batches, 4000):
+            found, sizes = encode_texts(b.column(1), held.value, end_id)
             names += b.column(0).to_pylist()
-            counts += map(len, found)
-            ids.append(np.concatenate(found))
+            counts += sizes.tolist()
+            ids.append(found)
         if ids:
             all_ids = np.concatenate(ids)
             yield pa.RecordBatch.from_pylist(
