@@ -30,23 +30,23 @@ _STRIP = "\"'()[]{}<>.,;:!?"
 _WORD_CACHE: dict[str, tuple[str, ...]] = {}
 
 
-def word_features(word: str) -> tuple[str, ...]:
+def _word_features(word: str) -> tuple[str, ...]:
     """What one token tells: the lower-cased word, its first letters, marks stuck to it."""
+    bare = word.strip(_STRIP).lower()
+    if bare.isalpha():
+        return (f"w:{bare}", f"p4:{bare[:4]}", f"p5:{bare[:5]}") if len(bare) > 4 else (f"w:{bare}",)
+    if bare:
+        tail = bare.lstrip("".join(c for c in set(bare) if c.isalnum()))
+        return (f"m:{tail[-3:]}",) if tail and not tail[-1].isalnum() else (f"x:{bare[:12]}",) if len(bare) <= 12 else ("x:long",)
+    return (f"m:{word[-3:]}",) if word else ()
+
+
+def word_features(word: str) -> tuple[str, ...]:
     known = _WORD_CACHE.get(word)
     if known is None:
-        bare = word.strip(_STRIP).lower()
-        found = []
-        if bare.isalpha():
-            found = [f"w:{bare}", f"p4:{bare[:4]}", f"p5:{bare[:5]}"] if len(bare) > 4 else [f"w:{bare}"]
-        elif bare:
-            tail = bare.lstrip("".join(c for c in set(bare) if c.isalnum()))
-            found = [f"m:{tail[-3:]}"] if tail and not tail[-1].isalnum() else [f"x:{bare[:12]}"] if len(bare) <= 12 else ["x:long"]
-        elif word:
-            found = [f"m:{word[-3:]}"]
-        known = tuple(found)
-        if len(_WORD_CACHE) > 300_000:
+        if len(_WORD_CACHE) > 100_000:
             _WORD_CACHE.clear()
-        _WORD_CACHE[word] = known
+        known = _WORD_CACHE[word] = _word_features(word)
     return known
 
 
@@ -83,9 +83,9 @@ class Evidence:
         for w in own:
             known = cache.get(w)
             if known is None:
-                if len(cache) > 300_000:
+                if len(cache) > 200_000:
                     cache.clear()
-                known = cache[w] = tuple(f for f in word_features(w) if f in self.weights)
+                known = cache[w] = tuple(f for f in _word_features(w) if f in self.weights)
             if known:
                 hit.update(known)
         hit.update(f for f in shape_features(text, words, own) if f in self.weights)
@@ -216,17 +216,17 @@ def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> Data
 
     A document is rejected if its quality posterior is under 0.5 or its toxic posterior over 0.5.
     Null and empty texts have the evidence of an empty text; null source or lang is a site or path
-    of its own. Columns with the new names are replaced; repeated rows stay. Without the text, the
-    narrow scores are written once; with it, texts are scored a second time rather than written.
+    of its own. Columns with the new names are replaced; repeated rows stay. Scored rows are written
+    once, so that no text is scored twice.
     """
     docs = docs.drop(*_NEW)
     evidence = fit(docs, labels)
     place = {"site": F.coalesce(F.col("source").cast("string"), F.lit("")), "path": F.coalesce(F.col("lang").cast("string"), F.lit(""))}
     base = {"p_good": _sigmoid(F.col("e_good") + _logit(F.lit(evidence.good_rate))), "p_toxic": _sigmoid(F.col("e_toxic") + _logit(F.lit(evidence.toxic_rate)))}
     scored = _scored(docs, evidence).withColumns(place).withColumns(base)
-    narrow = scored.drop("text") if keep_text else materialize(scored.drop("text"), "scores")
-    rates = materialize(_rates(narrow, evidence), "rates")
-    full = (scored if keep_text else narrow).join(rates, ["site", "path"])
+    scored = materialize(scored if keep_text else scored.drop("text"), "scores")
+    rates = materialize(_rates(scored, evidence), "rates")
+    full = scored.join(rates, ["site", "path"])
     good = _sigmoid(F.col("e_good") + _logit(F.col("good_path")))
     toxic = _sigmoid(F.col("e_toxic") + _logit(F.col("toxic_path")))
     out = full.withColumn("quality_posterior", good).withColumn("toxic_posterior", toxic)
