@@ -222,10 +222,29 @@ _BITS = np.array([(_DC[s][0] << s | (d if d > 0 else d + (1 << s) - 1 if d else
 _LENGTHS = np.array([_DC[s][1] + s + 1 for s in _SIZES], np.int64)
 
 
+def _layout(n: int) -> tuple[int, int, int]:
+    """Groups of 64 blocks in a row of an image, and rows, that hold n groups; images back to back.
+
+    Sides that divide evenly come first. Where none within the limits do, the last rows are filled
+    up: a reader that knows the payload's length cuts them off. What exceeds one image goes to
+    several of the full width.
+    """
+    most = MAX_SIDE_BLOCKS // ROW_BLOCKS
+    if n > most * MAX_SIDE_BLOCKS:
+        rows = -(-n // most)
+        return most, rows, -(-rows // MAX_SIDE_BLOCKS)
+    least = -(-n // MAX_SIDE_BLOCKS)
+    across = next((a for a in range(least, most + 1) if n % a == 0), least)
+    return across, -(-n // across), 1
+
+
 def write_payloads(payloads: list[bytes]) -> list[bytes]:
-    """A grey baseline JPEG of each payload (its length a positive multiple of 64, at most
-    MAX_SIDE_BLOCKS squared). Each byte is the level of a flat 8x8 block: with a DC quantiser of 8
-    its one coefficient is the byte less 128, so nothing is lost. A restart marker ends every 64."""
+    """Grey baseline JPEG of each payload (its length a positive multiple of 64), or several back
+    to back if it does not fit one; see _layout for the zero bytes that may follow it there. Each
+    byte is the level of a flat 8x8 block: with a DC quantiser of 8 its one coefficient is the byte
+    less 128, so nothing is lost. A restart marker ends every 64."""
+    layouts = [_layout(len(p) // 64) for p in payloads]
+    payloads = [p + bytes(64 * across * rows - len(p)) for p, (across, rows, _) in zip(payloads, layouts)]
     lengths = np.array([len(p) for p in payloads])
     data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64)
     prev = np.concatenate(([128], data[:-1]))
@@ -248,22 +267,28 @@ def write_payloads(payloads: list[bytes]) -> list[bytes]:
     scan = buffer.astype(np.uint8).tobytes()
     stuffed = [scan[a : a + n].replace(b"\xff", b"\xff\x00") for a, n in zip(starts.tolist(), whole.tolist())]
     out, k = [], 0
-    for n in (lengths // 64).tolist():
-        across = -(-n // MAX_SIDE_BLOCKS)  # groups of 64 blocks in a row of the image
-        while n % across:
-            across += 1
-        segments = stuffed[k : k + n]
-        k += n
-        frame = bytes([8]) + (8 * (n // across)).to_bytes(2, "big") + (8 * ROW_BLOCKS * across).to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
-        body = bytearray()
-        for i, s in enumerate(segments):
-            body += s if i == n - 1 else s + bytes([0xFF, 0xD0 + i % 8])
-        out.append(
-            b"\xff\xd8" + _segment(0xDB, bytes([0]) + bytes([8]) + bytes([1] * 63)) + _segment(0xC0, frame) + _segment(0xC4, bytes([0, *DC_LENGTHS, *DC_SYMBOLS])) + _segment(0xC4, bytes([0x10, 1] + [0] * 15 + [0])) + _segment(0xDD, (64).to_bytes(2, "big")) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + bytes(body) + b"\xff\xd9"
-        )
+    for across, rows, images in layouts:
+        media = b""
+        for first in range(0, images * MAX_SIDE_BLOCKS, MAX_SIDE_BLOCKS):
+            high = min(rows - first, MAX_SIDE_BLOCKS)
+            n = across * high
+            segments = stuffed[k : k + n]
+            k += n
+            frame = bytes([8]) + (8 * high).to_bytes(2, "big") + (8 * ROW_BLOCKS * across).to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
+            body = bytearray()
+            for i, s in enumerate(segments):
+                body += s if i == n - 1 else s + bytes([0xFF, 0xD0 + i % 8])
+            media += b"\xff\xd8" + _segment(0xDB, bytes([0]) + bytes([8]) + bytes([1] * 63)) + _segment(0xC0, frame) + _segment(0xC4, bytes([0, *DC_LENGTHS, *DC_SYMBOLS])) + _segment(0xC4, bytes([0x10, 1] + [0] * 15 + [0])) + _segment(0xDD, (64).to_bytes(2, "big")) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + bytes(body) + b"\xff\xd9"
+        out.append(media)
     return out
 
 
+def images_of(media: bytes) -> list[bytes]:
+    """The JPEGs that lie back to back in media: an end marker and a start marker divide them."""
+    parts = media.split(b"\xff\xd9\xff\xd8")
+    return [(b"\xff\xd8" if i else b"") + p + (b"\xff\xd9" if i < len(parts) - 1 else b"") for i, p in enumerate(parts)]
+
+
 def _runs(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
     """Runs of rows of about so many bytes."""
     a, held = 0, 0
@@ -276,7 +301,7 @@ def _runs(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: every whole text, padded with zero bytes to a positive multiple
-    of 64, as a JPEG. Null and empty texts are 64 zero bytes."""
+    of 64, as a JPEG. Null and empty texts are 64 zero bytes. n_bytes says where the text ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -291,7 +316,8 @@ def store(docs: DataFrame) -> DataFrame:
 def thumbnails(df: DataFrame, column: str = "media") -> DataFrame:
     """All columns of df with width, height, thumbnail (DC-only luminance samples, row by row) and
     thumbnail_hash. Null media and what is no baseline JPEG of one whole scan give nulls there.
-    Columns of these names are replaced."""
+    Grey JPEGs of one width back to back are one image, each below the one before. Columns of these
+    names are replaced."""
     new = ["width", "height", "thumbnail", "thumbnail_hash"]
     kept = df.drop(*(c for c in new if c != column))
     at = kept.columns.index(column)
@@ -313,13 +339,25 @@ def thumbnails(df: DataFrame, column: str = "media") -> DataFrame:
         except (ValueError, KeyError, IndexError):
             return None
 
+    def read_all(data: bytes | None) -> list[Image | None]:
+        parts = [read(x) for x in images_of(data or b"")]
+        stacked = len(parts) == 1 or None not in parts and len({p.width for p in parts}) == 1 and all(len(p.components) == 1 for p in parts)
+        return parts if stacked else [read(data)]
+
+    def joined(images: list[Image | None], planes: list[np.ndarray | None]) -> tuple:
+        if any(p is None for p in planes):
+            return (None,) * 4
+        plane = np.concatenate(planes)
+        return images[0].width, sum(i.height for i in images), plane.tobytes(), thumbnail_hash(plane)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data = b.column(at).to_pylist()
             rows = []
             for s in _runs([len(x or b"") for x in data]):
-                images = [read(x) for x in data[s]]
-                rows += [(None,) * 4 if p is None else (i.width, i.height, p.tobytes(), thumbnail_hash(p)) for i, p in zip(images, one_by_one(images))]
+                groups = [read_all(x) for x in data[s]]
+                planes = iter(one_by_one([i for g in groups for i in g]))
+                rows += [joined(g, [next(planes) for _ in g]) for g in groups]
             w, h, t, d = zip(*rows) if rows else ((),) * 4
             yield pa.record_batch([*b.columns, pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(t, pa.binary()), pa.array(d, pa.string())], names=[*b.schema.names, *new])
 
@@ -332,7 +370,8 @@ def report(docs: DataFrame) -> DataFrame:
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            payload, media = b.column(2).to_pylist(), b.column(3).to_pylist()
+            sizes, media = b.column(1).to_pylist(), b.column(3).to_pylist()
+            payload = [p[: n + -n % 64 if n else 64] for n, p in zip(sizes, b.column(2).to_pylist())]
             yield pa.record_batch(
                 [b.column(0), b.column(1), pa.array([len(p) for p in payload], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payload]), pa.array([zlib.crc32(p[-64:]) for p in payload], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), b.column(4)],
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],

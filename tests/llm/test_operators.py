@@ -216,6 +216,24 @@ def test_jpeg_of_all_levels_and_many_blocks():
     assert [p.tobytes() for p in jpeg.dc_planes(images)] == payloads
 
 
+def test_jpeg_of_lengths_that_do_not_divide(spark):
+    """8209 and 16411 blocks of 64 are primes: no width under 65536 divides them."""
+    rows = [(n, ("0123456789abcdefghijklmnopqrstu" * (64 * n // 31 + 1))[: 64 * n - 5]) for n in (8191, 8193, 8209, 16411)]
+    got = {r.doc_id: r for r in jpeg.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, text in rows:
+        padded = text.encode() + bytes(5)
+        assert (got[n].n_bytes, got[n].payload_bytes, got[n].payload_sha256, got[n].tail_crc32) == (64 * n - 5, 64 * n, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_jpeg_payload_over_several_images(spark, monkeypatch):
+    monkeypatch.setattr(jpeg, "MAX_SIDE_BLOCKS", 130)  # an image holds 2 x 130 blocks of 64
+    payloads = [np.random.default_rng(n).bytes(64 * n) for n in (260, 261, 701)]
+    media = jpeg.write_payloads(payloads)
+    assert [len(jpeg.images_of(m)) for m in media] == [1, 2, 3]
+    rows = {r.n: r for r in jpeg.thumbnails(spark.createDataFrame([(len(p), m) for p, m in zip(payloads, media)], "n long, media binary")).collect()}
+    assert all(bytes(rows[len(p)].thumbnail)[: len(p)] == p and rows[len(p)].width == 1024 for p in payloads)
+
+
 def bits_to_scan(bits):
     bits += "1" * (-len(bits) % 8)
     return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
