@@ -2,16 +2,20 @@
 
 Tokens are tags with their place in the tree, and texts with theirs. Tokens of a host's pages that
 share an occurrence vector (so many times in each page) form a class; classes that most pages have
-exactly once, and in which tags open and close in order, make up the template. What lies between
-template tokens are slots. A slot within a menu, header, footer, sidebar, notice, advert, form,
-script or comment list is no main text; nor is a text that is itself a template token, unless it
-lies in the article.
+exactly once make up the template, without the tokens that are out of order on some page and the
+classes that cross another (not nested in one of its gaps). Equal pages count once.
+
+The text of a page is in its article or main element, if one has text. Else it is what remains of
+the page without the texts of the template. Elements that are a menu, header, footer, sidebar,
+notice, advert, form, script or comment list by fixed lists of tags, roles and words in class and
+id hold no main text in either case.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -64,7 +68,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, bool, bool]] = []  # path, text, out, in article or main
-        self.tokens: Counter[str] = Counter()
+        self.tokens: list[str] = []  # in order
         self._stack: list[tuple[str, bool, bool]] = []  # tag, out, in article
         self._text: list[str] = []
         self._read(source)
@@ -79,10 +83,10 @@ class Page:
             path = self._path()
             _, out, inside = self._stack[-1] if self._stack else ("", False, False)
             self.blocks.append((path, text, out, inside))
-            self.tokens[f"{path}|{text}"] += 1
+            self.tokens.append(f"{path}|{text}")
 
     def _open(self, tag: str, raw: str) -> None:
-        self.tokens[f"{self._path()}<{tag}"] += 1
+        self.tokens.append(f"{self._path()}<{tag}")
         _, out, inside = self._stack[-1] if self._stack else ("", False, False)
         self._stack.append((tag, out or _is_out(tag, raw, inside), inside or tag in ("article", "main")))
 
@@ -90,7 +94,7 @@ class Page:
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == tag:
                 del self._stack[i:]
-                self.tokens[f"{self._path()}>{tag}"] += 1
+                self.tokens.append(f"{self._path()}>{tag}")
                 return
 
     def _read(self, source: str) -> None:
@@ -120,7 +124,7 @@ class Page:
                         del self._stack[k:]
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                self.tokens[f"{self._path()}<{tag}"] += 1
+                self.tokens.append(f"{self._path()}<{tag}")
                 at = end.end() if end else len(source)
             elif tag not in _VOID and not m[3].endswith("/"):
                 self._open(tag, m[3])
@@ -132,15 +136,17 @@ def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(source: str, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Main text of one page: the slots that are left, blocks joined by an empty line."""
-    page = Page(source)
+def _candidates(page: Page) -> list[tuple[str, int | None]]:
+    """Blocks of main text, with the token of those that are left out where it is a template's."""
     kept = [(p, t, inside) for p, t, out, inside in page.blocks if not out]
     if any(inside for _, _, inside in kept):
-        kept = [b for b in kept if b[2]]
-    else:
-        kept = [b for b in kept if _hash(f"{b[0]}|{b[1]}") not in template]
-    return "\n\n".join(t for _, t, _ in kept)
+        return [(t, None) for _, t, inside in kept if inside]
+    return [(t, _hash(f"{p}|{t}")) for p, t, _ in kept]
+
+
+def main_text(source: str, template: set[int] | frozenset[int] = frozenset()) -> str:
+    """Main text of one page: the slots that are left, blocks joined by an empty line."""
+    return "\n\n".join(t for t, token in _candidates(Page(source)) if token not in template)
 
 
 def visible_text(source: str) -> str:
@@ -152,56 +158,136 @@ def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def parsed(pages: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns of pages, and of each page its host, a digest of its html, its tokens in
+    order, and the texts and tokens (null in an article) of its candidate blocks. Pages are parsed
+    here only."""
+    source = pages.select(*carried, _host(F.col("url").cast("string")).alias("pagewright_host"), F.col("html").cast("string").alias("pagewright_html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            digests, tokens, blocks, marks = [], [], [], []
+            for h in texts(b.column(b.num_columns - 1)):
+                page = Page(h)
+                found = _candidates(page)
+                digests.append(xxhash.xxh3_128_digest(h.encode("utf-8", "surrogatepass")))
+                tokens.append(list(map(_hash, page.tokens)))
+                blocks.append([t for t, _ in found])
+                marks.append([m for _, m in found])
+            columns = [pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.record_batch([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], "pagewright_digest", "pagewright_tokens", "pagewright_blocks", "pagewright_marks"])
+
+    return source.mapInArrow(run, widened(source.drop("pagewright_html"), "pagewright_digest binary, pagewright_tokens array<bigint>, pagewright_blocks array<string>, pagewright_marks array<bigint>"))
+
+
+def _with_host(df: DataFrame, side: DataFrame, size: int) -> DataFrame:
+    return df.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "pagewright_host", "left")
+
+
+def in_order(ranks: list[int]) -> list[int]:
+    """Places of a longest increasing part of a sequence of different numbers."""
+    ends, last, before = [], [], []
+    for i, r in enumerate(ranks):
+        k = bisect_left(ends, r)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [r], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def misplaced(tokens: list[int], classes: list[list[int]]) -> set[int]:
+    """Tokens of a page's classes that are out of place on it.
+
+    Classes come most important first, their tokens in the order of another page. Of a class, what
+    is out of that order is misplaced. Two classes must be side by side, or one in one gap of the
+    other; of two that cross, all of the later is misplaced.
+    """
+    place = {t: i for i, t in enumerate(tokens)}
+    out: set[int] = set()
+    held: list[list[int]] = []
+    for c in classes:
+        if c[0] not in place:
+            continue
+        at = [place[t] for t in c]
+        good = in_order(at)
+        out |= set(c) - {c[i] for i in good}
+        own = [at[i] for i in good]
+        one_gap = lambda a, b: bisect_left(a, b[0]) == bisect_left(a, b[-1])
+        if all(one_gap(h, own) or one_gap(own, h) for h in held):
+            held.append(own)
+        else:
+            out |= set(c)
+    return out
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host and token hashes of its template. pages has host and html.
+    """pagewright_host and the token hashes of its template. pages as parsed() gives them.
 
-    The occurrence vector of a token is summed up as a number: the wrapping sum, over pages, of the
-    page's number times its count. So pages of one host are counted where they lie and only sums
-    meet; no host is gathered.
+    Equal pages of a host count once. The occurrence vector of a token is summed up as a number:
+    the wrapping sum, over pages, of the page's number times its count. So pages of one host are
+    counted where they lie and only sums meet; no host is gathered. Each page then reports the
+    tokens that are misplaced on it, and what any page reports leaves its class.
     """
+    distinct = materialize(pages.select("pagewright_host", "pagewright_digest", "pagewright_tokens").dropDuplicates(["pagewright_host", "pagewright_digest"]), "pages")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
-            hosts, tokens, marks, counts = [], [], [], []
-            for host, page, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
-                found = Page(source).tokens
-                found[""] = 1
-                hosts += [host] * len(found)
-                tokens += [_hash(t) for t in found]
-                mark = xxhash.xxh3_64_intdigest(str(page))
-                marks += [(mark * c & 0xFFFFFFFFFFFFFFFF) >> 20 for c in found.values()]
-                counts += found.values()
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(marks, pa.int64()), pa.array(counts, pa.int64())], names=["host", "token", "mark", "n"])
-
-    rows = pages.select("host", "page", "html").mapInArrow(run, "host string, token long, mark long, n long")
-    vectors = rows.groupBy("host", "token").agg(F.sum(F.col("mark").cast("decimal(28,0)")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("n"))
-    classes = vectors.where("n = pages").groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"), F.max(F.col("token") == _hash("")).alias("is_root"))
-    totals = vectors.where(F.col("token") == _hash("")).select("host", F.col("pages").alias("all_pages"))
-    valid = classes.join(totals, "host").where((F.col("pages") >= SUPPORT_PAGES) & (F.col("pages") >= SUPPORT_SHARE * F.col("all_pages")))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+            hosts, found, marks, counts, places = [], [], [], [], []
+            for host, digest, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                n = Counter(tokens)
+                place = {t: i for i, t in enumerate(tokens)}
+                mark = int.from_bytes(digest[:8], "big")
+                hosts += [host] * len(n)
+                found += n
+                marks += [(mark * c & 0xFFFFFFFFFFFFFFFF) >> 20 for c in n.values()]
+                counts += n.values()
+                places += [place[t] for t in n]
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(marks, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.int64())], names=["pagewright_host", "token", "mark", "n", "place"])
+
+    rows = distinct.mapInArrow(count, "pagewright_host string, token long, mark long, n long, place long")
+    # tokens of one class are on the same pages, so their places on the page of the lowest mark compare
+    first = F.min(F.struct("mark", "place")).alias("first")
+    vectors = rows.groupBy("pagewright_host", "token").agg(F.sum(F.col("mark").cast("decimal(28,0)")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("n"), first)
+    totals = distinct.groupBy("pagewright_host").agg(F.count("*").alias("all_pages"))
+    once = vectors.where((F.col("n") == F.col("pages")) & (F.col("pages") >= SUPPORT_PAGES)).join(totals, "pagewright_host").where(F.col("pages") >= SUPPORT_SHARE * F.col("all_pages"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("first.place", "token"))), lambda x: x["token"])
+    classes = once.groupBy("pagewright_host", "vector", "pages").agg(ordered.alias("own"))
+    by_size = F.sort_array(F.collect_list(F.struct("pages", F.size("own").alias("size"), "own")), asc=False)
+    found = materialize(classes.groupBy("pagewright_host").agg(F.transform(by_size, lambda x: x["own"]).alias("pagewright_classes")), "classes")
+    size = found.agg(F.sum(8 * F.size(F.flatten("pagewright_classes")) + F.octet_length("pagewright_host"))).first()[0] or 0
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            out = {(h, t) for h, tokens, classes in zip(*(c.to_pylist() for c in b.columns)) for t in misplaced(tokens, classes or [])}
+            yield pa.record_batch([pa.array([h for h, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], names=["pagewright_host", "token"])
+
+    checked = _with_host(distinct.select("pagewright_host", "pagewright_tokens"), found, size).mapInArrow(check, "pagewright_host string, token long")
+    gone = checked.groupBy("pagewright_host").agg(F.collect_set("token").alias("gone"))
+    valid = found.join(gone, "pagewright_host", "left")
+    return valid.select("pagewright_host", F.array_except(F.flatten("pagewright_classes"), F.coalesce("gone", F.array().cast("array<bigint>"))).alias("pagewright_template"))
+
+
+def _extracted(kept: DataFrame, *carried: str) -> DataFrame:
+    pages = materialize(parsed(kept, *carried), "parsed")
+    found = materialize(templates(pages), "templates")
+    size = found.agg(F.sum(8 * F.size("pagewright_template") + F.octet_length("pagewright_host"))).first()[0] or 0
+    left = F.filter(F.arrays_zip("pagewright_blocks", "pagewright_marks"), lambda x: x["pagewright_marks"].isNull() | ~F.coalesce(F.array_contains("pagewright_template", x["pagewright_marks"]), F.lit(False)))
+    text = F.array_join(F.transform(left, lambda x: x["pagewright_blocks"]), "\n\n").alias("text")
+    return _with_host(pages, found, size).select(*carried, text).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Columns of pages with text (empty if none) and n_chars.
 
-    Null html is an empty page; pages without a host share an empty one; repeated rows count as
-    pages of their own; columns text and n_chars are replaced.
+    Null html is an empty page; pages without a host share an empty one; repeated rows are kept,
+    but equal pages of a host count once for its template; columns text and n_chars are replaced.
     """
     kept = pages.drop("text", "n_chars")
-    found = materialize(templates(kept.select(_host(F.col("url").cast("string")).alias("host"), F.col("page_id").alias("page"), F.col("html").cast("string").alias("html"))), "templates")
-    size = found.agg(F.sum(8 * F.size("tokens") + F.octet_length("host"))).first()[0] or 0
-    side = found.select(F.col("host").alias("pagewright_host"), F.col("tokens").alias("pagewright_tokens"))
-    keyed = kept.withColumn("pagewright_key", _host(F.col("url").cast("string")))
-    joined = keyed.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("pagewright_key") == F.col("pagewright_host"), "left").drop("pagewright_key", "pagewright_host")
-    at = kept.columns.index("html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 200):
-            out = [main_text(h, frozenset(t or ())) for h, t in zip(texts(b.column(at)), b.column(b.num_columns - 1).to_pylist())]
-            yield pa.record_batch([*b.columns[:-1], pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=[*b.schema.names[:-1], "text", "n_chars"])
-
-    return joined.mapInArrow(run, widened(kept, "text string, n_chars long"))
+    return _extracted(kept, *kept.columns)
 
 
 def report(pages: DataFrame) -> DataFrame:
-    return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return _extracted(pages, "page_id", "url")

@@ -385,6 +385,25 @@ def test_template_texts_outside_articles_go(spark):
     assert html.report(df.limit(0)).count() == 0
 
 
+def test_equal_pages_count_once_for_a_template(spark):
+    same = "<html><body><p>Only story</p></body></html>"
+    rows = [(i, f"http://h.example/{i}", same) for i in range(5)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("tokens", F.lit("x")))
+    assert {(r.page_id, r.text, r.tokens) for r in got.collect()} == {(i, "Only story", "x") for i in range(5)}
+
+
+def test_template_classes_are_ordered_and_nested(spark):
+    def page(i, *texts):
+        return (i, f"http://h.example/{i}", "<html><body>" + "".join(f"<{t.lower()}>{t}</{t.lower()}>" for t in texts) + f"<p>Story {i}</p></body></html>")
+
+    # x changes places on one page, so it is no part of the template that a, b and c make up
+    rows = [page(i, "A", "X", "B", "C") for i in range(5)] + [page(5, "A", "B", "C", "X")]
+    df = spark.createDataFrame([(i, u, h.replace("<a>", "<h1>").replace("</a>", "</h1>").replace("<b>", "<h2>").replace("</b>", "</h2>")) for i, u, h in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: f"X\n\nStory {i}" for i in range(5)} | {5: "X\n\nStory 5"}
+    assert html.misplaced([1, 7, 2, 8, 3], [[1, 2, 3], [7, 8]]) == {7, 8} and html.misplaced([1, 7, 8, 2, 3], [[1, 2, 3], [7, 8]]) == set()
+    assert html.misplaced([1, 3, 2, 4], [[1, 2, 3, 4], [9]]) in ({2}, {3})
+
+
 # lines
 
 
