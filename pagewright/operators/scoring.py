@@ -110,10 +110,20 @@ def index_by_type(typed: DataFrame) -> DataFrame:
     return typed.withColumn("kind", kind).groupBy("url_type").pivot("kind", ["Indexed", "Not Indexed", "Other"]).count().na.fill(0).select("url_type", F.col("Indexed").alias("indexed"), F.col("Not Indexed").alias("not_indexed"), F.col("Other").alias("other"))
 
 
-def compare_index_runs(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    j = cur.select("url", F.col("status").alias("now")).join(prev.select("url", F.col("status").alias("was")), "url")
+def run_pairs(index: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (run_id, url, status) of each run that has a predecessor, and those of the predecessor
+    under the run_id of the run they come before. runs is as previous_run gives it."""
+    pairs = F.broadcast(runs.where("previous IS NOT NULL"))  # a row a run
+    cur = index.join(pairs, "run_id").select("run_id", "url", "status")
+    return cur, index.withColumnRenamed("run_id", "previous").join(pairs, "previous").select("run_id", "url", "status")
+
+
+def compare_index_runs(cur: DataFrame, prev: DataFrame, *runs: str) -> DataFrame:
+    """Changes of index state; with run columns, of each run against the rows of prev under it."""
+    keys = [*runs, "url"]
+    j = cur.select(*keys, F.col("status").alias("now")).join(prev.select(*keys, F.col("status").alias("was")), keys)
     change = F.when((F.col("was") != "Indexed") & (F.col("now") == "Indexed"), "newly indexed").when((F.col("was") == "Indexed") & (F.col("now") == "Not Indexed"), "newly de-indexed")
-    return j.select("url", "was", "now", change.alias("change")).where("change IS NOT NULL")
+    return j.select(*keys, "was", "now", change.alias("change")).where("change IS NOT NULL")
 
 
 def index_trend(status: DataFrame, n: int = 30) -> DataFrame:
@@ -129,15 +139,18 @@ def previous_run(status: DataFrame) -> DataFrame:
     return runs.select("run_id", F.lag("run_id").over(Window.orderBy("ts", "run_id")).alias("previous"))
 
 
-def resume_remaining(urls: DataFrame, saved: DataFrame) -> DataFrame:
-    return urls.join(saved.where(F.col("status").isin("Indexed", "Not Indexed")).select("url"), "url", "left_anti")
+def resume_remaining(urls: DataFrame, saved: DataFrame, *runs: str) -> DataFrame:
+    keys = [*runs, "url"]
+    return urls.join(saved.where(F.col("status").isin("Indexed", "Not Indexed")).select(*keys), keys, "left_anti")
 
 
-def merge_retry(last: DataFrame, retried: DataFrame) -> DataFrame:
-    return last.join(retried.select("url"), "url", "left_anti").unionByName(retried)
+def merge_retry(last: DataFrame, retried: DataFrame, *runs: str) -> DataFrame:
+    keys = [*runs, "url"]
+    return last.join(retried.select(*keys), keys, "left_anti").unionByName(retried)
 
 
-def url_changes(cur: DataFrame, prev: DataFrame) -> DataFrame:
+def url_changes(cur: DataFrame, prev: DataFrame, *runs: str) -> DataFrame:
     """urls added and removed between two runs."""
-    a, b = cur.select("url").distinct(), prev.select("url").distinct()
+    keys = [*runs, "url"]
+    a, b = cur.select(*keys).distinct(), prev.select(*keys).distinct()
     return a.subtract(b).withColumn("change", F.lit("added")).unionByName(b.subtract(a).withColumn("change", F.lit("removed")))

@@ -165,6 +165,24 @@ query("compare_index_runs", over("index_status", sql=f"{_PAIR}, j AS (SELECT c.u
 query("resume_remaining", over("index_status", sql=f"{_PAIR} SELECT url, status FROM c WHERE url NOT IN (SELECT url FROM p WHERE status IN ('Indexed', 'Not Indexed'))"))(lambda s, d: scoring.resume_remaining(_run(s, d, "run1996"), _run(s, d, "run1995")))
 query("merge_retry", over("index_status", sql=f"{_PAIR} SELECT url, status FROM p WHERE url NOT IN (SELECT url FROM c) UNION ALL SELECT * FROM c"))(lambda s, d: scoring.merge_retry(_run(s, d, "run1995"), _run(s, d, "run1996")))
 query("url_changes", over("index_status", sql=f"{_PAIR} SELECT url, 'added' AS change FROM c WHERE url NOT IN (SELECT url FROM p) UNION ALL SELECT url, 'removed' FROM p WHERE url NOT IN (SELECT url FROM c)"))(lambda s, d: scoring.url_changes(_run(s, d, "run1996"), _run(s, d, "run1995")))
+# every run against its predecessor
+
+_PAIRS = f"""{_LATEST}, runs AS (SELECT run_id, lag(run_id) OVER (ORDER BY ts, run_id) AS previous FROM (SELECT run_id, max(checked_at) AS ts FROM index_status GROUP BY run_id)),
+c AS (SELECT run_id, url, status FROM last JOIN runs USING (run_id) WHERE previous IS NOT NULL), p AS (SELECT r.run_id, l.url, l.status FROM runs r JOIN last l ON l.run_id = r.previous)"""
+
+
+def _pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return scoring.run_pairs(_index(s, d), scoring.previous_run(derived(s, d, "index_status")))
+
+
+def _each_run(f: Callable[..., DataFrame], retried_last: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: f(*_pairs(s, d)[:: -1 if retried_last else 1], "run_id")
+
+
+query("compare_index_runs_all", over("index_status", sql=f"{_PAIRS}, j AS (SELECT c.run_id, c.url, p.status AS was, c.status AS now, CASE WHEN p.status <> 'Indexed' AND c.status = 'Indexed' THEN 'newly indexed' WHEN p.status = 'Indexed' AND c.status = 'Not Indexed' THEN 'newly de-indexed' END AS change FROM c JOIN p ON c.run_id = p.run_id AND c.url = p.url) SELECT * FROM j WHERE change IS NOT NULL"))(_each_run(scoring.compare_index_runs))
+query("resume_remaining_all", over("index_status", sql=f"{_PAIRS} SELECT run_id, url, status FROM c ANTI JOIN (SELECT * FROM p WHERE status IN ('Indexed', 'Not Indexed')) AS done USING (run_id, url)"))(_each_run(scoring.resume_remaining))
+query("merge_retry_all", over("index_status", sql=f"{_PAIRS} SELECT run_id, url, status FROM p ANTI JOIN c USING (run_id, url) UNION ALL SELECT * FROM c"))(_each_run(scoring.merge_retry, retried_last=True))
+query("url_changes_all", over("index_status", sql=f"{_PAIRS} SELECT run_id, url, 'added' AS change FROM c ANTI JOIN p USING (run_id, url) UNION ALL SELECT run_id, url, 'removed' FROM p ANTI JOIN c USING (run_id, url)"))(_each_run(scoring.url_changes))
 query(
     "url_facts",
     f"""WITH u AS (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages), v AS (SELECT *, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth FROM u)
@@ -243,6 +261,21 @@ def worst_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("page_checks")(lambda s, d: checks.run_checks(_facts(s, d)))
+
+# The score and issue reports over the check rows of all pages.
+for _name, _report in {
+    "seo_score": scoring.seo_score,
+    "status_counts": scoring.status_counts,
+    "run_summary": lambda rows: scoring.run_summary(scoring.audits(rows)),
+    "issue_frequency": scoring.issue_frequency,
+    "score_issues": scoring.score_issues,
+    "fix_next": lambda rows: scoring.score_issues(rows).orderBy(F.col("priority").desc(), "url", "tool").limit(100),
+    "top_issue_per_url": scoring.top_issue_per_url,
+    "issue_digest": scoring.issue_digest,
+    "audit_crosstab": scoring.audit_crosstab,
+}.items():
+    query(f"{_name}_checked")(lambda s, d, report=_report: report(checks.run_checks(_facts(s, d))))
+
 query("title_check", f"WITH t AS (SELECT url, length({_TITLE}) AS n FROM pages) SELECT url, 'title' AS tool, CASE WHEN n = 0 THEN 'fail' WHEN n < 30 OR n > 60 THEN 'warning' ELSE 'pass' END AS status, n::VARCHAR AS message FROM t")(lambda s, d: checks.run_checks(_facts(s, d), ["title"]))
 query("lang_check", "WITH t AS (SELECT url, trim(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)) AS v FROM pages) SELECT url, 'lang_attr' AS tool, CASE WHEN v = '' THEN 'fail' ELSE 'pass' END AS status, v AS message FROM t")(lambda s, d: checks.run_checks(_facts(s, d), ["lang_attr"]))
 query("page_links", "WITH a AS (SELECT url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) SELECT url AS src_url, (i - 1)::INT AS pos, h[i] AS href, regexp_extract(url, '^(https?://[^/]*)', 1) || h[i] AS dst_url FROM a, unnest(range(1, len(h) + 1)) AS t(i)")(lambda s, d: links.links_of(_facts(s, d)).select("src_url", "pos", "href", "dst_url"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text, urls
 from pagewright.operators import checks, facts, links, logs, scoring, search
+from pagewright.plans import registry
 from pagewright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +95,29 @@ def test_compare_audits(spark):
     assert got == {"p1": ("improved", "title", ""), "p2": ("regressed", "", "ssl")}
 
 
+def test_score_reports_hold_all_pages(spark):
+    urls_ = {r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()}
+    scores = {r.url: r.score for r in registry.QUERIES["seo_score_checked"](spark, SF).collect()}
+    assert set(scores) == urls_ and registry.QUERIES["run_summary_checked"](spark, SF).first().urls == len(urls_)
+    worst = {r.url: r.score for r in registry.QUERIES["worst_pages"](spark, SF).collect()}
+    assert worst.items() <= scores.items()
+    for name in ("status_counts", "issue_frequency", "score_issues", "fix_next", "top_issue_per_url", "issue_digest", "audit_crosstab"):
+        assert registry.QUERIES[f"{name}_checked"](spark, SF).count() > 0
+
+
+def test_every_run_meets_its_predecessor(spark):
+    duck = pytest.importorskip("duckdb").connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
+    seen = {}
+    for name in ("compare_index_runs", "resume_remaining", "merge_retry", "url_changes"):
+        got = sorted(map(tuple, registry.QUERIES[f"{name}_all"](spark, SF).collect()))
+        assert got == sorted(duck.execute(registry.ORACLE_SQL[f"{name}_all"]).fetchall())
+        seen[name] = {r[0] for r in got}
+        one = sorted(map(tuple, registry.QUERIES[name](spark, SF).collect()))
+        assert [r[1:] for r in got if r[0] == "run1996"] == one
+    assert seen["url_changes"] == seen["merge_retry"] == {r.run_id for r in registry.QUERIES["previous_run"](spark, SF).collect() if r.previous}
+
+
 def test_redirects_and_loops(spark):
     rows = [("a", 301, "b"), ("b", 302, "c"), ("c", 200, None), ("x", 301, "y"), ("y", 301, "x"), ("z", 301, "gone")]
     df = spark.createDataFrame(rows, "url string, status int, location string")
