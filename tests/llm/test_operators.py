@@ -196,6 +196,13 @@ def test_quality_shrinks_and_takes_odd_rows(spark, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_quality_takes_features_of_a_fourfold_rate(spark):
+    rows = [(i, f"uno{i} " + ("marker" if i % 200 < (80 if i < 200 else 20) else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i >= 200), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    evidence = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert any("marker" in f for f in evidence.weights)
+
+
 # JPEG
 
 
