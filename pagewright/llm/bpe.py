@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import slices
 
-#: Entries of encoded stretches in each of the two generations that a worker keeps.
-MEMO_ENTRIES = 250_000
+#: Bytes of encoded stretches that a worker keeps, and entries of pieces and of pairs of tokens.
+MEMO_BYTES, OTHER_ENTRIES, PAIR_ENTRIES = 32 << 20, 50_000, 200_000
 
 
 class Vocabulary:
@@ -62,7 +61,7 @@ class Vocabulary:
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE of both tokens' bytes together gives just these two."""
         if (known := self.seen.get(left * self.top + right)) is None:
-            if len(self.seen) >= 500_000:
+            if len(self.seen) >= PAIR_ENTRIES:
                 self.seen.clear()
             known = self.seen[left * self.top + right] = self.makes(right) and self._apart(left, right)
         return known
@@ -138,101 +137,129 @@ class PrefixTable:
         return out[::-1]
 
 
-_UNEVEN = re.compile(r"^ | $|\s | \s")
+#: White space as the split patterns see it, for a regular expression's class.
+WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: Encodes each of many strings: all ids one behind the other, and the number of each string's.
+EncodeStrings = Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]
 
-def stretches(text: str) -> list[str]:
-    """Cut a text at each single space that stands between two characters which are not white
-    space; the space belongs to the stretch behind it and is left out. No match of the split
-    pattern spans such a place, so the cut changes no piece."""
-    parts = text.split(" ")
-    if not _UNEVEN.search(text):
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
 
 
 class StretchMemo:
     """Ids of whole texts, where each distinct stretch of a batch is looked up or encoded once.
 
-    The cuts, and the rule that a mark behind letters is a piece of its own, hold for split
-    patterns that, as that of the public byte-level vocabularies, take runs of letters with one
-    space before them. encode_strings gives the ids of each of many strings as int32 bytes.
+    A stretch begins at the text's start, or with a single space or line feed that stands between
+    two characters which are not white space: no match of the split pattern spans such a place, so
+    the cut changes no piece, and the line feed is a piece of its own. That, and the rule that marks
+    behind letters are a piece of their own, hold for split patterns that, as that of the public
+    byte-level vocabularies, take runs of letters, or of marks, with one space before them.
+    Stretches, codes and the memo are Arrow arrays: a stretch costs no Python object, and the memo
+    holds max_bytes at most.
     """
 
-    MARKS = ".,;:!?"
-
-    def __init__(self, encode_strings: Callable[[list[str]], list[bytes]]):
-        self.encode_strings = encode_strings
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(self.MARKS, encode_strings(list(self.MARKS))))
-
-    def _resolve(self, names: list[str]) -> list[bytes]:
-        """Ids of each of these stretches with its space."""
-        words = [s[:-1] if s[-1:] in self.marks and s[:-1].isalpha() else s for s in names]
-        found = list(map(self.memo.get, words))
-        if missing := {w for w, x in zip(words, found) if x is None}:
-            fresh = {w: x for w in missing if (x := self.older.get(w)) is not None}
-            new = list(missing - fresh.keys())
-            fresh.update(zip(new, self.encode_strings([" " + w for w in new])))
-            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
-            keep = {w: x for w, x in fresh.items() if len(w) <= 64}
-            if len(self.memo) + len(keep) > MEMO_ENTRIES:
-                self.memo, self.older = {}, self.memo
-            self.memo.update(keep)
-        return [x if w is s else x + self.marks[s[-1]] for s, w, x in zip(names, words, found)]
+    def __init__(self, encode_strings: EncodeStrings, max_bytes: int = MEMO_BYTES):
+        self.encode_strings, self.max_bytes = encode_strings, max_bytes
+        self.words, self.ids = pa.array([], pa.string()), _lists(np.zeros(0), np.zeros(0))
+        self.line_feed = _lists(*encode_strings(pa.array(["\n"])))
+
+    def _places(self, strings: pa.StringArray) -> np.ndarray:
+        """Place of each string in the memo, which takes in those that it lacks."""
+        at = pc.index_in(strings, value_set=self.words)
+        if at.null_count:
+            lacking = strings.filter(at.is_null())
+            new = pc.unique(lacking)
+            late = pc.add(pc.index_in(lacking, value_set=new), len(self.words))
+            ids = _lists(*self.encode_strings(new))
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, ids])
+            at = pc.replace_with_mask(at, at.is_null(), late.cast(at.type))
+        return at.to_numpy()
+
+    def _prune(self, used: np.ndarray) -> None:
+        """Over max_bytes, keep what the last batch used and is short; if that is too much, nothing."""
+        if self.words.nbytes + self.ids.nbytes > self.max_bytes:
+            used = np.unique(used)
+            used = used[pc.binary_length(self.words).to_numpy()[used] <= 64]
+            self.words, self.ids = self.words.take(pa.array(used)), self.ids.take(pa.array(used))
+            if self.words.nbytes + self.ids.nbytes > self.max_bytes // 2:
+                self.words, self.ids = self.words[:0], self.ids[:0]
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and the number of each text's; null counts as empty."""
         if not len(column):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        column = pc.fill_null(column, "")
-        parts = pc.split_pattern(column, " ")
+        # a part with a line feed begins with it: the space before it is not the text's
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " \n"), " ")
         coded = parts.flatten().dictionary_encode()
-        names, codes, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
-        inner = np.ones((2, len(codes)), bool)  # has a space before it, behind it
-        inner[0, bounds[:-1]] = inner[1, bounds[1:] - 1] = False
-        opens, closes = np.zeros((2, len(names)), bool)
-        for i in [i for i, x in enumerate(names) if not x or x != x.strip()]:
-            opens[i], closes[i] = not names[i] or names[i][0].isspace(), not names[i] or names[i][-1].isspace()
-        uneven = np.logical_or.reduceat(opens[codes] & inner[0] | closes[codes] & inner[1], bounds[:-1])
-        heads, rows = [], []
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if uneven[i]:
-                own = stretches(column[i].as_py())
-                heads.append(own[0])
-                rest = np.arange(len(names), len(names) + len(own) - 1)
-                names += own[1:]
-            else:
-                heads.append(names[codes[a]])
-                rest = codes[a + 1 : b]
-            rows.append(np.concatenate(([-1 - i], rest)))
-        order = np.concatenate(rows)
-        used = np.flatnonzero(np.bincount(order[order >= 0], minlength=len(names)))
-        place = np.zeros(len(names), np.int64)
-        place[used] = np.arange(len(heads), len(heads) + len(used))
-        data = self.encode_strings(heads) + self._resolve(list(map(names.__getitem__, used.tolist())))
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))
-        order = np.where(order < 0, -1 - order, place[np.maximum(order, 0)])
-        starts = np.cumsum([0, *map(len, rows[:-1])])
-        return lists.take(pa.array(order)).flatten().to_numpy(), np.add.reduceat(sizes[order], starts)
+        names, codes, rows = coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy()[:-1]
+        opens, closes = (pc.match_substring_regex(names, x).to_numpy(zero_copy_only=False) for x in (rf"^\n?([{WHITE}]|$)", rf"(^|[{WHITE}])$"))
+        feed = pc.starts_with(names, "\n")
+        is_feed = feed.to_numpy(zero_copy_only=False)
+        spaced = pc.if_else(feed, names, pc.binary_join_element_wise(" ", names, ""))
+        cut = np.concatenate(([True], ~(closes[codes[:-1]] | opens[codes[1:]])))
+        cut[rows] = True
+        starts = np.flatnonzero(cut)
+        sizes, code = np.diff(np.concatenate((starts, [len(codes)]))), codes[starts].astype(np.int64)
+        head = np.searchsorted(starts, rows)
+        own = np.unique(np.concatenate((head, np.flatnonzero(sizes > 1))))  # first in a text, or of several parts
+        is_head = np.zeros(len(starts), bool)
+        is_head[head] = True
+        # a text's first part has no space before it; of other stretches, a first line feed is left out
+        bare = pc.if_else(feed, pc.utf8_slice_codeunits(names, 1), spaced)
+        ends = np.cumsum(sizes[own])
+        part = codes[np.repeat(starts[own], sizes[own]) + _count_up(sizes[own])].astype(np.int64) + len(names)
+        first = np.concatenate(([0], ends[:-1]))
+        part[first] += np.where(is_head[own], -len(names), len(names))
+        texts = pa.concat_arrays([names, spaced, bare]).take(pa.array(part))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), texts), "")
+        fed = np.concatenate((is_feed, is_feed[codes[starts[own]]] & ~is_head[own]))
+        code[own] = len(names) + np.arange(len(own))
+        strings = pa.concat_arrays([bare, texts])
+        used = np.flatnonzero(np.bincount(code, minlength=len(strings)))
+        strings = strings.take(pa.array(used))
+        tail = pc.extract_regex(strings, rf"^(?P<word> ?\pL+)(?P<marks>[^{WHITE}\pL\pN]+)$")
+        marked = tail.is_valid()
+        place = self._places(pa.concat_arrays([pc.if_else(marked, pc.struct_field(tail, "word"), strings), pc.struct_field(tail, "marks").filter(marked)]))
+        mark = np.full(len(used), -1)
+        mark[marked.to_numpy(zero_copy_only=False)] = place[len(used) :]
+        lists = pa.concat_arrays([self.ids, self.line_feed])
+        at = np.empty(len(fed), np.int64)
+        at[used] = np.arange(len(used))
+        at, has_feed = at[code], fed[code].astype(np.int64)
+        has_mark = mark[at] >= 0
+        items = 1 + has_feed + has_mark
+        begin = np.cumsum(items) - items
+        order = np.full(int(items.sum()), len(self.ids), np.int64)
+        order[begin + has_feed] = place[at]
+        order[begin[has_mark] + has_feed[has_mark] + 1] = mark[at[has_mark]]
+        counts = np.add.reduceat(pc.list_value_length(lists).to_numpy()[order].astype(np.int64), begin[head])
+        ids = lists.take(pa.array(order)).flatten().to_numpy()
+        self._prune(place)
+        return ids, counts
+
+
+def _count_up(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of these sizes, one behind the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Encoder:
-    """Encodes whole texts by prefix tables and decodes ids."""
+    """Encodes whole texts by prefix tables."""
 
     def __init__(self, rank_lines: bytes, pattern: str):
         self.vocabulary, self.pieces = Vocabulary(rank_lines), regex.compile(pattern)
         self.other: dict[str, list[int]] = {}
-        self.memo = StretchMemo(lambda items: [array("i", self._string(x)).tobytes() for x in items])
-        self.table = pa.array([self.vocabulary.bytes.get(i) for i in range(self.vocabulary.top)], pa.binary())
+        self.memo = StretchMemo(self._strings)
+
+    def _strings(self, strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = array("i"), array("q")
+        for s in strings.to_pylist():
+            own = self._string(s)
+            ids.extend(own)
+            counts.append(len(own))
+        return np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.frombuffer(counts, np.int64) if counts else np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
@@ -248,14 +275,25 @@ class Encoder:
             if known is None:
                 known = self._piece(p)
                 if len(p) <= 64:
-                    if len(self.other) >= MEMO_ENTRIES // 5:
+                    if len(self.other) >= OTHER_ENTRIES:
                         self.other.clear()
                     self.other[p] = known
             ids += known
         return ids
 
+    def encode_column(self, column: pa.Array) -> pa.ListArray:
+        return _lists(*self.memo.encode_column(column))
+
     def encode(self, text: str) -> list[int]:
-        return self.memo.encode_column(pa.array([text], pa.string()))[0].tolist()
+        return self.encode_column(pa.array([text], pa.string()))[0].as_py()
+
+
+class Decoder:
+    """Bytes of ids, from the table of the vocabulary's tokens alone."""
+
+    def __init__(self, rank_lines: bytes):
+        tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, rank_lines.splitlines()) if a}
+        self.table = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.binary())
 
     def decode(self, ids: list[int]) -> bytes:
         return self.decode_column(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
@@ -271,21 +309,21 @@ class Encoder:
         return pc.if_else(ids.is_valid(), data, pa.scalar(None, pa.binary()))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_HELD: dict[tuple, object] = {}
 
 
-def encoder(key: str, lines: Callable[[], bytes], pattern: str) -> Encoder:
-    """One encoder a worker process; its tables are kept between tasks."""
-    if (key, pattern) not in _ENCODERS:
-        _ENCODERS[key, pattern] = Encoder(lines(), pattern)
-    return _ENCODERS[key, pattern]
+def held(kind: type, key: str, lines: Callable[[], bytes], *more: str):
+    """One encoder or decoder a worker process; its tables are kept between tasks."""
+    if (kind, key, more) not in _HELD:
+        _HELD[kind, key, more] = kind(lines(), *more)
+    return _HELD[kind, key, more]
 
 
 def _shared_ranks(df: DataFrame, ranks_path: str) -> tuple[str, Callable[[], bytes]]:
     """The rank file's lines for the executors: a vocabulary file of fixed size."""
     lines = Path(ranks_path).read_bytes()
-    held = df.sparkSession.sparkContext.broadcast(lines)
-    return hashlib.sha1(lines).hexdigest(), lambda: held.value
+    shared = df.sparkSession.sparkContext.broadcast(lines)
+    return hashlib.sha1(lines).hexdigest(), lambda: shared.value
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -296,11 +334,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     key, lines = _shared_ranks(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(key, lines, pattern)
+        enc = held(Encoder, key, lines, pattern)
         for b in slices(batches, 4000):
-            flat, counts = enc.memo.encode_column(b.column(1))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.record_batch([b.column(0), ids], names=["doc_id", "ids"])
+            yield pa.record_batch([b.column(0), enc.encode_column(b.column(1))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -310,14 +346,28 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     key, lines = _shared_ranks(encoded, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(key, lines, r"\s+|\S+")
+        dec = held(Decoder, key, lines)
         for b in slices(batches, 4000):
-            yield pa.record_batch([b.column(0), b.column(1), enc.decode_column(b.column(1))], names=["doc_id", "ids", "data"])
+            yield pa.record_batch([b.column(0), b.column(1), dec.decode_column(b.column(1))], names=["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """What decode(encode(docs)) gives, with both steps in one pass over the rows: ids do not go
+    through a second worker process."""
+    key, lines = _shared_ranks(docs, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, dec = held(Encoder, key, lines, pattern), held(Decoder, key, lines)
+        for b in slices(batches, 4000):
+            ids = enc.encode_column(b.column(1))
+            yield pa.record_batch([b.column(0), ids, dec.decode_column(ids)], names=["doc_id", "ids", "data"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, data binary")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, then decoded."""
-    d = decode(encode(docs, ranks_path, pattern), ranks_path)
+    d = round_trip(docs, ranks_path, pattern)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -133,6 +134,30 @@ def test_token_shards(spark, docs, odd, none, tmp_path):
     assert tokens.corpus_digests(odd, text).count() == 8 and tokens.corpus_digests(none, text).count() == 0
 
 
+def test_shards_follow_the_library_on_added_tokens_and_keep_large_ids(spark, tmp_path):
+    text = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    lib = Tokenizer.from_str(text)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "plain\ntext", "a\u3000b \n c"]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, "x")], "doc_id long, text string")
+    ids = [e.ids + [2] for e in lib.encode_batch(["x"] + sorted(texts), add_special_tokens=False)]
+    assert [50256, 2] in ids
+    path = str(tmp_path / "shards")
+    tokens.write_shards(docs, text, path, shard_bytes=4, max_ranges=1)
+    got = tokens.digests(spark, path).orderBy("start").collect()
+    assert [(r.start, r.ids_crc32) for r in got] == [(sum(map(len, ids[:i])), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    x = np.array([1, 70000, 2])
+    m = tokens.WaveletMatrix.build(x, 17)
+    assert m.all().tolist() == x.tolist() and m.access(1) == 70000 and m.select(70000, 0) == 1
+
+
+def test_memo_keeps_its_bound():
+    memo = bpe.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN).memo
+    memo.max_bytes = 2000
+    for i in range(5):
+        memo.encode_column(pa.array([" ".join(f"w{j}x" for j in range(i * 100, i * 100 + 100))]))
+        assert memo.words.nbytes + memo.ids.nbytes <= 2000
+
+
 # BPE
 
 
@@ -351,6 +376,14 @@ def test_contamination_against_brute_force(spark, docs):
     assert by_id(decontaminate.report(docs, bench), "n_words", "n_hit", "n_items", "contaminated") == want
 
 
+def test_contamination_in_several_passes(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, many = (decontaminate.match(docs, bench, size) for size in (1 << 25, 4000))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(one.where("n_hit > 0")) and key(one) == key(many)
+    assert by_id(decontaminate.report(docs, bench), "items_sha256") == {r.doc_id: (hashlib.sha256(",".join(r.item_ids).encode()).hexdigest(),) for r in one.collect()}
+
+
 def test_contamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "Same-Text!"), (10, "same text"), (2, None), (None, "word1"), (3, "...")], "item_id long, text string")
     got = decontaminate.match(odd, bench)
@@ -460,6 +493,8 @@ def test_warc_derivatives_link_to_their_response(spark):
     assert bytes(text.block) == b"Hi & bye" and text.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(b"Hi & bye").digest()).decode()
     meta = bytes(next(r for r in out if r.page_id == 1 and r.warc_type == "metadata").block).decode()
     assert ids[1].payload_digest in meta and "http-header: Content-Type: text/html; charset=utf-8" in meta and text.record_id in meta
+    one = {r.record_id: r for r in warc.page_derivatives(pages).collect()}
+    assert one == {r.record_id: r for r in out}
     import gzip
 
     members = warc.warc_members(warc.derivatives(responses)).collect()
@@ -467,6 +502,18 @@ def test_warc_derivatives_link_to_their_response(spark):
     assert file.count(b"WARC/1.1\r\n") == 6 and file.count(b"WARC-Refers-To: <urn:uuid:") == 6
 
 
+def test_warc_odd_rows(spark):
+    long_page = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, "u", long_page, "a"), (1, "u", long_page, "b"), (2, "v", "", "c"), (3, "w", None, "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string")
+    got = warc.report(pages).collect()
+    assert len(got) == 8 and len({r.record_id for r in got}) == 6
+    assert {r.text for r in got if r.page_id == 1 and r.warc_type == "conversion"} == {("word " * 200_000).strip()}
+    assert warc.report(pages.limit(0)).count() == 0
+    broken = warc.response_records(pages.where("page_id = 2")).withColumn("block", F.lit(b"H\r\n\r\n\xff<p>x"))
+    assert [bytes(r.block).decode() for r in warc.derivatives(broken).collect() if r.warc_type == "conversion"] == ["\ufffd\nx"]
+
+
 # pipeline
 
 
