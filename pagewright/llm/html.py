@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -49,6 +50,7 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(raw)))}
 
 
+@lru_cache(10_000)
 def _is_out(tag: str, raw: str, in_article: bool) -> bool:
     """Whether an element is one of those that hold no main text."""
     if tag in _OUT_TAGS or tag == "header" and not in_article:
@@ -69,69 +71,80 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, bool, bool]] = []  # path, text, out, in article or main
         self.tokens: list[str] = []  # in order
-        self._stack: list[tuple[str, bool, bool]] = []  # tag, out, in article
+        self._stack: list[tuple[str, bool, bool, str]] = []  # tag, out, in article, path
         self._text: list[str] = []
         self._read(source)
 
-    def _path(self) -> str:
-        return "/".join(t for t, _, _ in self._stack if t not in _INLINE)
-
     def _end_block(self) -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(self._text))).strip()
+        text = "".join(self._text)
         self._text = []
+        if "&" in text:
+            text = html.unescape(text)
+        text = _SPACE.sub(" ", text).strip()
         if text:
-            path = self._path()
-            _, out, inside = self._stack[-1] if self._stack else ("", False, False)
+            _, out, inside, path = self._stack[-1] if self._stack else _ROOT
             self.blocks.append((path, text, out, inside))
             self.tokens.append(f"{path}|{text}")
 
     def _open(self, tag: str, raw: str) -> None:
-        self.tokens.append(f"{self._path()}<{tag}")
-        _, out, inside = self._stack[-1] if self._stack else ("", False, False)
-        self._stack.append((tag, out or _is_out(tag, raw, inside), inside or tag in ("article", "main")))
+        _, out, inside, path = self._stack[-1] if self._stack else _ROOT
+        self.tokens.append(f"{path}<{tag}")
+        below = path if tag in _INLINE else f"{path}/{tag}" if path else tag
+        self._stack.append((tag, out or _is_out(tag, raw, inside), inside or tag in ("article", "main"), below))
 
     def _close(self, tag: str) -> None:
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == tag:
                 del self._stack[i:]
-                self.tokens.append(f"{self._path()}>{tag}")
+                self.tokens.append(f"{self._stack[-1][3] if self._stack else ''}>{tag}")
                 return
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, stack = 0, self._stack
         while m := _TOKEN.search(source, at):
             self._text.append(source[at : m.start()])
             at = m.end()
-            tag = (m[2] or "").lower()
+            closes, tag, raw = m.groups()
             if not tag:
                 continue
-            was_out = self._stack[-1][1] if self._stack else False
-            changes = _is_out(tag, m[3], bool(self._stack and self._stack[-1][2])) and not was_out
-            if tag not in _INLINE or changes or m[1] and self._stack and self._stack[-1][0] == tag and was_out:
+            tag = tag.lower()
+            inline = tag in _INLINE
+            top, was_out, inside, path = stack[-1] if stack else _ROOT
+            if not inline or closes and top == tag and was_out or not was_out and raw and _is_out(tag, raw, inside):
                 self._end_block()
             elif tag == "br":
                 self._text.append(" ")
-            if m[1]:
+            if closes:
                 self._close(tag)
                 continue
-            if tag not in _INLINE and self._stack:
-                if tag != "p" and tag in _CLOSED_BY and self._stack[-1][0] in _CLOSED_BY[tag]:
-                    self._stack.pop()
-                elif any(t == "p" for t, _, _ in self._stack):
+            if not inline and stack:
+                if tag != "p" and top in _CLOSED_BY.get(tag, ()):
+                    stack.pop()
+                else:
                     # a block ends an open paragraph, and what was left open in it
-                    k = max(i for i, s in enumerate(self._stack) if s[0] == "p")
-                    if all(t in _INLINE for t, _, _ in self._stack[k + 1 :]):
-                        del self._stack[k:]
+                    k = len(stack) - 1
+                    while k >= 0 and stack[k][0] in _INLINE:
+                        k -= 1
+                    if k >= 0 and stack[k][0] == "p":
+                        del stack[k:]
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                self.tokens.append(f"{self._path()}<{tag}")
+                end = _raw_end(tag).search(source, at)
+                self.tokens.append(f"{stack[-1][3] if stack else ''}<{tag}")
                 at = end.end() if end else len(source)
-            elif tag not in _VOID and not m[3].endswith("/"):
-                self._open(tag, m[3])
+            elif tag not in _VOID and not raw.endswith("/"):
+                self._open(tag, raw)
         self._text.append(source[at:])
         self._end_block()
 
 
+_ROOT = ("", False, False, "")
+
+
+@lru_cache(100)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 

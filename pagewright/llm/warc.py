@@ -17,6 +17,7 @@ from pagewright.llm.html import visible_text
 
 #: Name space of record ids: an id is derived from what the record holds, so reruns give equal ids.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
+WARC_DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, http_headers string, block binary"
 
 
@@ -28,22 +29,26 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(0).join(map(str, parts)))}>"
 
 
-def response_records(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """WARC response records of pages (page_id, url, html): HTTP headers and body as the block.
+def _response(page_id: int | None, url: str | None, source: str | None, warc_date: str) -> tuple:
+    body = (source or "").encode("utf-8", "surrogatepass")
+    headers = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
+    block, payload = headers.encode() + body, digest(body)
+    return (page_id, "response", record_id("response", page_id, url, payload), None, url or "", warc_date, "application/http; msgtype=response", payload, digest(block), len(block), headers, block)
 
-    Null html is an empty body, a null url an empty target. Equal rows give equal records."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 200):
-            rows = []
-            for page_id, url, source in zip(*(b.column(i).to_pylist() for i in range(3))):
-                body = (source or "").encode("utf-8", "surrogatepass")
-                headers = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
-                block = headers.encode() + body
-                rows.append((page_id, "response", record_id("response", page_id, url, digest(body)), None, url or "", warc_date, "application/http; msgtype=response", digest(body), digest(block), len(block), headers, block))
-            yield _batch(rows)
-
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, RECORD)
+def _derived(response: tuple) -> Iterator[tuple]:
+    """The metadata and the conversion record of a response."""
+    page_id, _, source, _, uri, date, _, payload, whole, _, _, block = response
+    block, uri, date = block or b"", uri or "", date or ""
+    head, _, body = block.partition(b"\r\n\r\n")
+    head, payload = head.decode("latin-1"), payload or digest(body)
+    text = visible_text(body.decode("utf-8", "replace")).encode("utf-8", "replace")
+    conversion = record_id("conversion", source)
+    fields = [f"source-record-id: {source}", f"source-block-digest: {whole or digest(block)}", f"source-payload-digest: {payload}", f"conversion-record-id: {conversion}"]
+    fields += [f"http-header: {h}" for h in head.split("\r\n") if h]
+    meta, own = ("\r\n".join(fields) + "\r\n").encode(), digest(text)
+    yield (page_id, "metadata", record_id("metadata", source), source, uri, date, "application/warc-fields", payload, digest(meta), len(meta), head, meta)
+    yield (page_id, "conversion", conversion, source, uri, date, "text/plain; charset=utf-8", own, own, len(text), head, text)
 
 
 _TYPES = (pa.int64(), *[pa.string()] * 8, pa.int64(), pa.string(), pa.binary())
@@ -55,30 +60,47 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
 
+def _page_columns(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+
+
+def response_records(pages: DataFrame, warc_date: str = WARC_DATE) -> DataFrame:
+    """WARC response records of pages (page_id, url, html): HTTP headers and body as the block.
+
+    Null html is an empty body, a null url an empty target. Equal rows give equal records; other
+    columns are left out; an empty table gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            yield _batch([_response(*row, warc_date) for row in zip(*(c.to_pylist() for c in b.columns))])
+
+    return _page_columns(pages).mapInArrow(run, RECORD)
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """metadata and conversion records of response records; other records have none.
 
     Both refer to the response by its id and keep its target, date and payload digest; metadata
     lists the source's HTTP headers and digests, the conversion holds the visible text. Null blocks
-    count as empty."""
+    count as empty; bytes of a body that are not UTF-8 become U+FFFD in the conversion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
-            rows = []
-            for r in b.to_pylist():
-                head, _, body = (r["block"] or b"").partition(b"\r\n\r\n")
-                source, uri, date, payload = r["record_id"], r["target_uri"] or "", r["warc_date"] or "", r["payload_digest"] or digest(body)
-                text = visible_text(body.decode("utf-8", "replace")).encode("utf-8", "replace")
-                fields = [f"source-record-id: {source}", f"source-block-digest: {r['block_digest'] or digest(r['block'] or b'')}", f"source-payload-digest: {payload}", f"conversion-record-id: {record_id('conversion', source)}"]
-                fields += [f"http-header: {h}" for h in head.decode("latin-1").split("\r\n") if h]
-                meta = ("\r\n".join(fields) + "\r\n").encode()
-                for kind, mime, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
-                    rows.append((r["page_id"], kind, record_id(kind, source), source, uri, date, mime, payload if kind == "metadata" else digest(block), digest(block), len(block), head.decode("latin-1"), block))
-            yield _batch(rows)
+            yield _batch([d for row in zip(*(c.to_pylist() for c in b.columns)) for d in _derived(row)])
 
     return responses.where("warc_type = 'response'").select(*_NAMES).mapInArrow(run, RECORD)
 
 
+def page_derivatives(pages: DataFrame, warc_date: str = WARC_DATE) -> DataFrame:
+    """What derivatives(response_records(pages)) gives, in one pass: bodies go through one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            yield _batch([d for row in zip(*(c.to_pylist() for c in b.columns)) for d in _derived(_response(*row, warc_date))])
+
+    return _page_columns(pages).mapInArrow(run, RECORD)
+
+
 def serialise(record: dict) -> bytes:
     """One record in WARC 1.1 form, as a gzip member of its own."""
     head = [
@@ -110,5 +132,5 @@ def warc_members(records: DataFrame) -> DataFrame:
 
 def report(pages: DataFrame) -> DataFrame:
     """All derivative records of pages, with their text in place of the block."""
-    d = derivatives(response_records(pages))
+    d = page_derivatives(pages)
     return d.select(*(c for c in _NAMES if c != "block"), F.decode("block", "utf-8").alias("text"))
