@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.llm.common import slices, texts, widened
 
 WINDOW_WORDS = 13
-#: Text bytes of test items that are broadcast at most; more are taken in several passes.
+#: Text bytes of test items that are broadcast at once; more are taken in several passes.
 ITEM_BYTES = 32 << 20
 _WORD = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | frozenset(range(128, 256))
 #: Byte for byte: A-Z to lower case, what is in no word to a space. UTF-8 bytes from 0x80 on belong
@@ -84,43 +86,68 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > ITEM_BYTES:
-        raise ValueError(f"test items hold {size} bytes; give them in parts of {ITEM_BYTES} bytes at most and unite the spans")
-    return [(r[0], r[1]) for r in rows.collect()]
+def _parts(items: DataFrame, item_bytes: int) -> int:
+    """Into how many parts, by a hash of their ids, items go so that each holds item_bytes or less,
+    or one item."""
+    n = 1
+    while True:
+        part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+        sums = items.groupBy(part).agg(F.sum(F.octet_length("text")).alias("size"), F.countDistinct("item_id").alias("ids"))
+        if not (over := sums.where((F.col("size") > item_bytes) & (F.col("ids") > 1)).agg(F.max("size")).first()[0]):
+            return n
+        n *= max(2, over // item_bytes)
 
 
-def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Columns of docs with n_words, n_hit, item_ids (distinct, as sorted strings) and spans
-    (merged character ranges of the original text).
+_HELD_SPANS = "pagewright_spans array<struct<first:bigint,last:bigint>>, pagewright_items array<bigint>"
+_NEW = "n_words long, n_hit long, item_ids array<string>, spans array<struct<begin:bigint,end:bigint>>"
 
-    Null texts have no words; items without id or words have no window; repeated items count
-    once. Columns of docs that clash with the new ones are replaced. The items are read once,
-    checked against ITEM_BYTES and sent to the executors as text; each builds the automaton.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
-    new = ["n_words", "n_hit", "item_ids", "spans"]
-    kept = docs.drop(*new)
-    at = kept.columns.index("text")
+
+def _pass(docs: DataFrame, at: int, items: list[tuple[int, str]], first: bool, last: bool) -> DataFrame:
+    """Scan the texts (column at) for some of the items. Word ranges and items found so far are the
+    last two columns between passes; the last pass puts the result in their place."""
+    held = docs.sparkSession.sparkContext.broadcast(items)
     built: list = []
+    kept = docs.columns if first else docs.columns[:-2]
+    schema = widened(docs.select(*kept), _NEW if last else _HELD_SPANS)
+    types = [f.type for f in to_arrow_schema(schema)][len(kept) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(automaton(held.value))
         for b in slices(batches):
-            n_words, n_hit, ids, ranges = [], [], [], []
-            for t in texts(b.column(at)):
-                n, spans, items = scan(t, built[0])
-                n_words.append(n)
-                n_hit.append(sum(y - x for x, y in merged(spans)))
-                ids.append(sorted(map(str, items)))
-                ranges.append([{"begin": x, "end": y} for x, y in original_spans(t, spans)] if spans else [])
-            columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
-            yield pa.record_batch([*b.columns, *columns], names=[*b.schema.names, *new])
-
-    return kept.mapInArrow(run, widened(kept, "n_words long, n_hit long, item_ids array<string>, spans array<struct<begin:bigint,end:bigint>>"))
+            out = []
+            old = zip(*(c.to_pylist() for c in b.columns[-2:])) if not first else repeat(([], []))
+            for t, (spans, ids) in zip(texts(b.column(at)), old):
+                n, new_spans, new_ids = scan(t, built[0])
+                spans = merged([*((s["first"], s["last"]) for s in spans), *new_spans])
+                ids = {*ids, *new_ids}
+                if last:
+                    out.append((n, sum(y - x for x, y in spans), sorted(map(str, ids)), [{"begin": x, "end": y} for x, y in original_spans(t, spans)] if spans else []))
+                else:
+                    out.append(([{"first": x, "last": y} for x, y in spans], sorted(ids)))
+            yield pa.record_batch([*b.columns[: len(kept)], *map(pa.array, zip(*out), types)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def match(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """Columns of docs with n_words, n_hit, item_ids (distinct, as sorted strings) and spans
+    (merged character ranges of the original text).
+
+    Null texts have no words; items without id or words have no window; repeated items count
+    once. Columns of docs that clash with the new ones are replaced. Items of up to item_bytes are
+    sent to the executors as text, where each builds the automaton; more are dealt out by their ids
+    into parts of that size (a larger single item is a part of its own), and the documents are
+    scanned for one part after the other.
+    """
+    out = docs.drop(*(c.split()[0] for c in _NEW.split(", ") if c), "pagewright_spans", "pagewright_items")
+    at = out.columns.index("text")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    n = _parts(rows, item_bytes)
+    for i in range(n):
+        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
+        out = _pass(out, at, [(r[0], r[1]) for r in part.collect()], i == 0, i == n - 1)
+    return out
 
 
 def _contaminated():
