@@ -7,22 +7,28 @@ places of a token, from that file alone.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.bpe import StretchMemo
+from pagewright.llm.bpe import WHITE, StretchMemo
 from pagewright.llm.common import new_path, slices
 
 BLOCK = 512  # bits between two entries of a rank directory
 SHARD_BYTES = 8 << 20  # text bytes that a shard should hold
-SHARD_SCHEMA = "shard long, n_tokens long, doc_ids array<long>, counts array<int>, bits int, planes binary"
+RANGE_SHARDS, MAX_RANGES = 3, 20_000  # shards in a range of doc_id; ranges, whose sums one task adds up
+SHARD_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, counts array<int>, bits int, planes binary"
+_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("bits", pa.int32()), ("planes", pa.binary())])
 
 
 class WaveletMatrix:
@@ -48,10 +54,10 @@ class WaveletMatrix:
 
     @classmethod
     def load(cls, data: bytes, n: int, bits: int) -> WaveletMatrix:
-        return cls(np.frombuffer(zlib.decompress(data), np.uint8).reshape(bits, -1), n)
+        return cls(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(bits, -1), n)
 
     def dump(self) -> bytes:
-        return zlib.compress(self.planes.tobytes(), 1)
+        return zstandard.compress(self.planes.tobytes(), 1)
 
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level, i >> 3]) >> (7 - (i & 7)) & 1
@@ -110,76 +116,123 @@ class WaveletMatrix:
         return out.astype(np.uint32)
 
 
-_ENCODERS: dict[int, StretchMemo] = {}
+class LibraryEncoder:
+    """Ids of whole texts as the tokenizers library gives them, by a memo of stretches.
 
+    The library looks for the strings of added tokens (such as an end-of-text mark) before it splits
+    a text, so texts that hold one of them go to it whole.
+    """
 
-def _string_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes many strings at once. Words behind one space each are put into long strings: a
-    byte-level vocabulary writes a space as the letter below, so each word begins at such a token."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(tokenizer_json)
-    t.encode_special_tokens = True
-    begins = np.zeros(t.get_vocab_size(), bool)
-    begins[[i for s, i in t.get_vocab().items() if s.startswith("\u0120")]] = True
-
-    def each(strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def encode(strings: list[str]) -> list[bytes]:
-        rest = [i for i, s in enumerate(strings) if s[:1] != " " or s.split() != [s[1:]]]
-        if rest:
-            odd = set(rest)
-            done = iter(encode([s for i, s in enumerate(strings) if i not in odd]))
-            own = iter(each([strings[i] for i in rest]))
-            return [next(own if i in odd else done) for i in range(len(strings))]
-        joined = t.encode_batch_fast(["".join(strings[i : i + 1000]) for i in range(0, len(strings), 1000)], add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in joined)])
+    def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer_json)
+        self.added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
+        # a byte-level vocabulary writes a space as this letter
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        self.begins[[i for s, i in self.library.get_vocab().items() if s.startswith("\u0120")]] = True
+        self.feeds = np.zeros(len(self.begins), bool)
+        self.feeds[self._each(["\n"])[0]] = True
+        self.memo = StretchMemo(self._strings)
+
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
+
+    def _joined(self, words: pa.StringArray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words behind one space or line feed each, without other white space, go to the library
+        many at a time, one behind the other. begins tells the tokens that only a word's begin has."""
+        if not len(words):
+            return _NONE
+        words = pa.concat_arrays([words])  # without an offset
+        ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+        data = memoryview(words.buffers()[2])
+        ids, _ = self._each([str(data[ends[i] : ends[min(i + 1000, len(words))]], "utf-8") for i in range(0, len(words), 1000)])
         at = np.flatnonzero(begins[ids])
-        if len(at) != len(strings):
-            return each(strings)
-        data, at = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-        return [data[i:j] for i, j in zip(at, at[1:])]
-
-    return encode
+        if len(at) != len(words):
+            return self._each(words.to_pylist())
+        return ids, np.diff(np.concatenate((at, [len(ids)])))
+
+    def _strings(self, strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Strings of no white space but one space before them, bare ones, and others."""
+        spaced = pc.match_substring_regex(strings, rf"^ [^{WHITE}]+$")
+        bare = pc.match_substring_regex(strings, rf"^[^{WHITE}]+$")
+        kind = np.where(spaced.to_numpy(zero_copy_only=False), 0, np.where(bare.to_numpy(zero_copy_only=False), 1, 2))
+        a = self._joined(strings.filter(spaced), self.begins)
+        b, n = self._joined(pc.binary_join_element_wise("\n", strings.filter(bare), ""), self.feeds)
+        c = self._each(strings.filter(pa.array(kind == 2)).to_pylist())
+        return _merged(kind, (a, (b[~self.feeds[b]], n - 1), c))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and the number of each text's; null counts as empty."""
+        whole = np.zeros(len(column), bool)
+        for s in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, s), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.memo.encode_column(column)
+        return _merged(whole.astype(int), (self.memo.encode_column(column.filter(pa.array(~whole))), self._each(column.filter(pa.array(whole)).to_pylist())))
+
+
+def _merged(kind: np.ndarray, found: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of strings of several kinds, each kind's in order, in the order of all."""
+    counts = np.empty(len(kind), np.int64)
+    for k, (_, n) in enumerate(found):
+        counts[kind == k] = n
+    own = np.repeat(kind, counts)
+    ids = np.empty(len(own), np.int32)
+    for k, (x, _) in enumerate(found):
+        ids[own == k] = x
+    return ids, counts
+
+
+_NONE = np.zeros(0, np.int32), np.zeros(0, np.int64)
+_ENCODERS: dict[int, LibraryEncoder] = {}
 
 
 def encode_texts(column: pa.Array, tokenizer_json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one behind the other, end_id behind each, and the number of each text's.
-    Strings of special tokens are ordinary text."""
+    """Ids of all texts one behind the other, end_id behind each, and the number of each text's."""
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
-        _ENCODERS[key] = StretchMemo(_string_encoder(tokenizer_json))
+        _ENCODERS[key] = LibraryEncoder(tokenizer_json)
     ids, counts = _ENCODERS[key].encode_column(column)
     return np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1
 
 
-def write_shards(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 2, bits: int = 16, shard_bytes: int = SHARD_BYTES) -> None:
-    """Write a corpus as shards in ascending doc_id order (null first; ties in any order).
+def write_shards(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES, max_ranges: int = MAX_RANGES) -> None:
+    """Write a corpus as shards in ascending doc_id order (null first, equal ones by text).
 
-    Null and empty texts hold the end id alone. An empty table writes no shard.
+    Null and empty texts hold the end id alone. An empty table writes no shard. Tasks take ranges of
+    doc_id and write their shards one after the other; there is a range for every few shards, but no
+    more than max_ranges. A shard has as many bit planes as its largest id needs.
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, names, counts = [], [], []
-        for b in slices(batches, 4000):
+        ids, names, counts, size, shard = [], [], [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            all_ids = np.concatenate(ids)
+            bits = max(1, int(all_ids.max()).bit_length())
+            matrix = WaveletMatrix.build(all_ids, bits)
+            return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "shard": shard, "n_tokens": len(all_ids), "doc_ids": names, "counts": counts, "bits": bits, "planes": matrix.dump()}], schema=_SHARD)
+
+        for b in slices(batches, 8000, 16 << 20):
             found, sizes = encode_texts(b.column(1), held.value, end_id)
             names += b.column(0).to_pylist()
             counts += sizes.tolist()
             ids.append(found)
+            size += b.nbytes
+            if size >= shard_bytes:
+                yield row()
+                ids, names, counts, size, shard = [], [], [], 0, shard + 1
         if ids:
-            all_ids = np.concatenate(ids)
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": TaskContext.get().partitionId(), "n_tokens": len(all_ids), "doc_ids": names, "counts": counts, "bits": bits, "planes": WaveletMatrix.build(all_ids, bits).dump()}],
-                schema=pa.schema([("shard", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("bits", pa.int32()), ("planes", pa.binary())]),
-            )
+            yield row()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // shard_bytes))
-    spread = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    parts = min(max_ranges, max(1, -(-total // (RANGE_SHARDS * shard_bytes))))
+    spread = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     spread.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
@@ -195,13 +248,13 @@ def read_shards(spark, path: str, each: Callable[[WaveletMatrix, dict], pa.Recor
 
 
 def occurrences(spark, path: str, token: int) -> DataFrame:
-    """shard, position of every place of a token, by select on each shard's matrix."""
+    """part, shard, position of every place of a token, by select on each shard's matrix."""
 
     def each(m: WaveletMatrix, row: dict) -> pa.RecordBatch:
         at = [m.select(token, k) for k in range(m.rank(token, m.n))]
-        return pa.record_batch([pa.array([row["shard"]] * len(at), pa.int64()), pa.array(at, pa.int64())], names=["shard", "position"])
+        return pa.record_batch([pa.array([row["part"]] * len(at), pa.int32()), pa.array([row["shard"]] * len(at), pa.int32()), pa.array(at, pa.int64())], names=["part", "shard", "position"])
 
-    return read_shards(spark, path, each, "shard long, position long")
+    return read_shards(spark, path, each, "part int, shard int, position long")
 
 
 def token_counts(spark, path: str, tokens: list[int]) -> DataFrame:
@@ -214,23 +267,30 @@ def token_counts(spark, path: str, tokens: list[int]) -> DataFrame:
 
 
 def _digest(m: WaveletMatrix, row: dict) -> pa.RecordBatch:
-    ids, counts = m.all(), np.array(row["counts"], np.int64)
+    ids, counts = m.all().astype("<u4"), np.array(row["counts"], np.int64)
     ends = np.cumsum(counts)
-    crc = [zlib.crc32(ids[e - c : e].astype("<u4").tobytes()) for e, c in zip(ends, counts)]
+    data = memoryview(ids.tobytes())
+    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
     n = len(counts)
-    return pa.record_batch([pa.array(np.full(n, row["shard"])), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["shard", "doc_id", "offset", "n_tokens", "ids_crc32"])
+    return pa.record_batch([pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["shard"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
 
 def digests(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read back from the shards.
 
-    start adds up the tokens of the shards before: one number a shard.
+    start adds up the tokens of the parts before (a row a part, MAX_RANGES at most, in one task),
+    then those of the part's shards before.
     """
-    sizes = spark.read.schema(SHARD_SCHEMA).parquet(path).select("shard", "n_tokens")
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("shard", before.alias("base"))
-    rows = read_shards(spark, path, _digest, "shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    sizes = spark.read.schema(SHARD_SCHEMA).parquet(path).select("part", "shard", "n_tokens")
+
+    def before(w):
+        return F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("part_base"))
+    base = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("shard_base"))
+    base = base.join(parts, "part").select("part", "shard", (F.col("part_base") + F.col("shard_base")).alias("base"))
+    rows = read_shards(spark, path, _digest, "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    return rows.join(base, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def corpus_digests(docs: DataFrame, tokenizer_json: str) -> DataFrame:
