@@ -2,115 +2,227 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from pagewright.operators.structured import LD, jsonld_facts, jsonld_types
+
+__all__ = ["extract_facts", "jsonld_types", "over_cap", "page_facts", "within_cap"]
+
 FACTS = (
-    "url string, title string, lang string, metas array<struct<name:string,property:string,content:string>>, "
-    "links array<struct<rel:string,href:string,hreflang:string,media:string>>, "
-    "anchors array<struct<pos:int,href:string,dst:string,rel:string,text:string,internal:boolean>>, "
-    "imgs array<struct<src:string,alt:string,loading:string,width:string,height:string,fetchpriority:string,hidden:boolean>>, "
-    "scripts array<struct<src:string,type:string,deferred:boolean,in_head:boolean>>, resources array<string>, "
-    "headings array<struct<level:int,text:string>>, jsonld array<string>, microdata int, body_text string, visible_text string, html_bytes long"
+    "url string, title string, lang string, metas array<struct<name:string,property:string,itemprop:string,content:string>>, "
+    "links array<struct<rel:string,href:string,hreflang:string,media:string,in_head:boolean>>, "
+    "anchors array<struct<pos:int,href:string,dst:string,root_dst:string,rel:string,text:string,internal:boolean>>, "
+    "imgs array<struct<src:string,alt:string,loading:string,width:string,height:string,fetchpriority:string,hidden:boolean>>, modern_sources int, "
+    "scripts array<struct<src:string,type:string,deferred:boolean,in_head:boolean>>, resources array<string>, has_head boolean, "
+    "headings array<struct<level:int,text:string,spaced:string>>, jsonld array<string>, ld struct<" + LD + ">, itemtypes array<string>, times array<string>, marks array<string>, "
+    "author_link string, author_address string, crumbs array<string>, tag_link string, actions array<string>, intro_chars int, "
+    "main_text string, main_links array<string>, main_h2 int, body_text string, density_text string, visible_text string, all_text string, html_bytes long"
 )
 MAX_BYTES = 10 << 20
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NO_BODY_TEXT = frozenset(("script", "style", "nav", "footer", "header"))
+# What texts leave out, classes of an article's body, beginnings of links to no page.
+NO_BODY_TEXT = frozenset(("script", "style", "nav", "footer", "header"))
+NO_DENSITY_TEXT = NO_BODY_TEXT | {"noscript"}
+NO_VISIBLE_TEXT = frozenset(("script", "style", "noscript"))
+NO_MAIN_TEXT = NO_DENSITY_TEXT | {"aside", "form"}
+MAIN_CLASSES = ("post-content", "entry-content", "article-content", "blog-post", "content")
+SKIPPED_LINKS = ("#", "mailto:", "tel:")
+_MAIN = ("article", "main", *MAIN_CLASSES, "body", "")
+_MARKS = {
+    "byline": re.compile(r"\b(byline|author)\b", re.I),
+    "comments": re.compile(r"\bcomments?\b", re.I),
+    "price": re.compile(r"price|pricing|cost|fee", re.I),
+    "breadcrumb": re.compile(r"\bbreadcrumbs?\b", re.I),
+}
+_AUTHOR = re.compile(r"\bauthor\b", re.I)
 
 
 class _Reader(HTMLParser):
+    """Collects facts as elements open and close. What an element's text goes to is held in
+    `open`: a list of (element depth, list of texts) for as long as the element is open."""
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.host = url, urlsplit(url).netloc
-        self.row = {"url": url, "title": None, "lang": None, "microdata": 0} | {k: [] for k in ("metas", "links", "anchors", "imgs", "scripts", "resources", "headings", "jsonld")}
+        self.url, parts = url, urlsplit(url)
+        self.host, self.root = parts.netloc, f"{parts.scheme}://{parts.netloc}"
+        self.row = {"url": url, "title": None, "lang": None, "modern_sources": 0, "has_head": False, "tag_link": None, "author_link": None, "author_address": None}
+        self.row |= {k: [] for k in ("metas", "links", "anchors", "imgs", "scripts", "resources", "headings", "jsonld", "itemtypes", "times", "crumbs", "actions")}
         self.stack: list[str] = []
-        self.title: list[str] | None = None
-        self.heading: tuple[int, list[str]] | None = None
-        self.anchor: list[str] | None = None
+        self.open: list[tuple[int, list[str], object]] = []
+        self.main: dict[str, dict] = {}
+        self.marks: set[str] = set()
+        self.paragraphs: list[list[str]] = []
+        self.texts: dict[str, list[str]] = {k: [] for k in ("body", "density", "visible", "all")}
         self.script: list[str] | None = None
-        self.body: list[str] = []
-        self.visible: list[str] = []
+
+    def _hold(self, done) -> list[str]:
+        """Collect the texts of the element that opens now; done(texts) runs when it closes."""
+        texts: list[str] = []
+        self.open.append((len(self.stack), texts, done))
+        return texts
+
+    def _region(self, name: str) -> None:
+        if name not in self.main:
+            self.main[name] = found = {"text": [], "links": [], "h2": 0, "depth": len(self.stack), "open": True}
+
+            def close(_, found=found):
+                found["open"] = False
+
+            self._hold(close)
 
     def handle_starttag(self, tag, attrs):
         a = {}
         for k, v in attrs:
             a.setdefault(k, v or "")
-        r = self.row
+        r, rel = self.row, a.get("rel", "").lower()
         if tag == "html":
-            r["lang"] = a.get("lang")
+            r["lang"] = r["lang"] if r["lang"] is not None else a.get("lang")
+        elif tag == "head":
+            r["has_head"] = True
         elif tag == "title" and r["title"] is None:
-            self.title = []
+            r["title"] = ""
+            self._hold(lambda texts: r.update(title="".join(texts)))
         elif tag == "meta":
-            r["metas"].append({"name": a.get("name", a.get("itemprop")), "property": a.get("property"), "content": a.get("content")})
+            r["metas"].append({k: a.get(k) for k in ("name", "property", "itemprop", "content")})
         elif tag == "link":
-            r["links"].append({"rel": a.get("rel", "").lower(), "href": a.get("href"), "hreflang": a.get("hreflang"), "media": a.get("media")})
+            r["links"].append({"rel": rel, "href": a.get("href"), "hreflang": a.get("hreflang"), "media": a.get("media"), "in_head": "head" in self.stack})
         elif tag == "a" and "href" in a:
-            dst = self._resolve(a["href"])
-            r["anchors"].append({"pos": len(r["anchors"]), "href": a["href"], "dst": dst, "rel": a.get("rel", "").lower(), "text": "", "internal": urlsplit(dst).netloc == self.host if dst else False})
-            self.anchor = []
+            self._anchor(a, rel)
         elif tag == "img":
             r["imgs"].append({k: a.get(k) for k in ("src", "alt", "loading", "width", "height", "fetchpriority")} | {"hidden": a.get("aria-hidden") == "true" or a.get("role") == "presentation" or a.get("src", "").startswith("data:")})
+        elif tag == "source" and re.search("image/(webp|avif)", a.get("type", "")):
+            r["modern_sources"] += 1
         elif tag == "script":
-            r["scripts"].append({"src": a.get("src"), "type": a.get("type"), "deferred": "async" in a or "defer" in a or a.get("type") == "module", "in_head": "head" in self.stack})
+            r["scripts"].append({"src": a.get("src"), "type": a.get("type"), "deferred": bool(a.get("async") or a.get("defer")) or "async" in a or "defer" in a or a.get("type") == "module", "in_head": "head" in self.stack})
             self.script = [] if a.get("type") == "application/ld+json" else None
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.heading = (int(tag[1]), [])
-        if "itemscope" in a:
-            r["microdata"] += 1
-        if tag in ("img", "script", "link", "iframe", "video", "audio", "source"):
-            if found := a.get("src") or (a.get("href") if tag == "link" else None):
+            for m in self.main.values():
+                m["h2"] += m["open"] and tag == "h2"
+            at = len(r["headings"])
+            r["headings"].append({"level": int(tag[1]), "text": "", "spaced": ""})
+            self._hold(lambda texts: r["headings"][at].update(text="".join(texts), spaced=" ".join(texts)))
+        elif tag == "time":
+            r["times"] += [a["datetime"]] if "datetime" in a else []
+            self._hold(lambda texts: self.marks.add("time") if texts or a.get("datetime") else None)
+        elif tag == "address":
+            self.marks.add("byline")
+            if _AUTHOR.search(a.get("class", "")) and r["author_address"] is None:
+                self._hold(lambda texts: r.update(author_address="".join(texts)))
+        elif tag in ("button", "input"):
+            label = a.get("value") or a.get("aria-label") or ""
+            if tag == "button":
+                self._hold(lambda texts: r["actions"].append(" ".join(texts) or label))
+            else:
+                r["actions"].append(label)
+        elif tag == "p" and len(self.paragraphs) < 30:
+            self.paragraphs.append(self._hold(lambda texts: None))
+        for name in ("article", "main", "body"):
+            if tag == name:
+                self._region(name)
+        named = a.get("class", "")
+        if named:
+            for name in MAIN_CLASSES:
+                if re.search(rf"\b{name}\b", named, re.I):
+                    self._region(name)
+            self.marks |= {m for m, p in _MARKS.items() if p.search(named)}
+            if _MARKS["breadcrumb"].search(named) and not self.row["crumbs"] and "crumbs" not in self.marks and tag not in _VOID:
+                self.marks.add("crumbs")
+                self._hold(lambda texts: self.marks.discard("crumbs"))
+        if re.search("comments?", a.get("id", ""), re.I):
+            self.marks.add("comments")
+        if "author" in rel.split():
+            self.marks |= {"byline", "rel author"}
+        if a.get("itemprop") == "price":
+            self.marks.add("itemprop price")
+        if "itemtype" in a:
+            r["itemtypes"].append(a["itemtype"])
+        if tag in ("img", "script", "iframe", "video", "audio", "source", "link"):
+            if found := a.get("href" if tag == "link" else "src"):
                 r["resources"].append(found)
         if tag not in _VOID:
             self.stack.append(tag)
 
-    def _resolve(self, href: str) -> str | None:
+    def _anchor(self, a: dict, rel: str) -> None:
+        r, href = self.row, a["href"].strip()
+        dst, root_dst = self._resolve(self.url, href), href if href.startswith("http") else self._resolve(self.root, href)
+        at = len(r["anchors"])
+        r["anchors"].append({"pos": at, "href": href, "dst": dst, "root_dst": root_dst, "rel": rel, "text": "", "internal": bool(dst) and urlsplit(dst).netloc == self.host})
+        for m in self.main.values():
+            if m["open"]:
+                m["links"].append(href)
+        in_crumbs = "crumbs" in self.marks
+
+        def close(texts):
+            text = "".join(texts)
+            r["anchors"][at]["text"] = text
+            r["actions"].append(" ".join(texts) or a.get("value") or a.get("aria-label") or "")
+            if in_crumbs and text:
+                r["crumbs"].append(text)
+            if "author" in rel.split() and r["author_link"] is None:
+                r["author_link"] = text
+            if "tag" in rel.split() and r["tag_link"] is None:
+                r["tag_link"] = text
+
+        self._hold(close)
+
+    def _resolve(self, base: str, href: str) -> str | None:
         try:
-            return urljoin(self.url, href)
+            return urljoin(base, href)
         except ValueError:
             return None
 
     def handle_endtag(self, tag):
-        if tag == "title" and self.title is not None:
-            self.row["title"], self.title = "".join(self.title), None
-        elif tag == "a" and self.anchor is not None:
-            self.row["anchors"][-1]["text"], self.anchor = "".join(self.anchor).strip(), None
-        elif tag == "script" and self.script is not None:
+        if tag == "script" and self.script is not None:
             self.row["jsonld"].append("".join(self.script))
             self.script = None
-        elif self.heading and tag == f"h{self.heading[0]}":
-            self.row["headings"].append({"level": self.heading[0], "text": "".join(self.heading[1])})
-            self.heading = None
         if tag in self.stack:
             while self.stack.pop() != tag:
                 pass
+            self._close(len(self.stack))
+
+    def _close(self, depth: int) -> None:
+        while self.open and self.open[-1][0] >= depth:
+            _, texts, done = self.open.pop()
+            done(texts)
 
     def handle_data(self, data):
         if self.script is not None:
             self.script.append(data)
         text = data.strip()
-        if not text or "script" in self.stack or "style" in self.stack:
+        if not text:
             return
-        if self.title is not None:
-            self.title.append(text)
+        inside = set(self.stack)
+        if "script" in inside or "style" in inside:
             return
-        if self.heading:
-            self.heading[1].append(text)
-        if self.anchor is not None:
-            self.anchor.append(text)
-        self.visible.append(text)
-        if not _NO_BODY_TEXT & set(self.stack):
-            self.body.append(text)
+        for _, texts, _ in self.open:
+            texts.append(text)
+        self.texts["all"].append(text)
+        if not inside & NO_VISIBLE_TEXT:
+            self.texts["visible"].append(text)
+        if not inside & NO_DENSITY_TEXT:
+            self.texts["density"].append(text)
+        if not inside & NO_BODY_TEXT:
+            self.texts["body"].append(text)
+        for m in self.main.values():
+            if m["open"] and not NO_MAIN_TEXT & set(self.stack[m["depth"] :]):
+                m["text"].append(text)
 
     def done(self, source: str) -> dict:
         self.close()
-        return self.row | {"body_text": " ".join(self.body), "visible_text": " ".join(self.visible), "html_bytes": len(source.encode("utf-8", "surrogatepass"))}
+        self._close(0)
+        main = next((self.main[name] for name in _MAIN if name in self.main), {"text": self.texts["density"], "links": [x["href"] for x in self.row["anchors"]], "h2": sum(h["level"] == 2 for h in self.row["headings"])})
+        intro = next((n for p in self.paragraphs if (n := len(" ".join(p))) >= 40), 0)
+        texts = {f"{k}_text": " ".join(" ".join(v).split()) for k, v in self.texts.items()}
+        return self.row | texts | {"ld": jsonld_facts(self.row["jsonld"]), "main_text": " ".join(" ".join(main["text"]).split()), "main_links": main["links"], "main_h2": main["h2"], "intro_chars": intro, "marks": sorted(self.marks), "html_bytes": len(source.encode("utf-8", "surrogatepass"))}
 
 
 def page_facts(url: str | None, source: str | None) -> dict:
@@ -119,32 +231,27 @@ def page_facts(url: str | None, source: str | None) -> dict:
     return reader.done(source or "")
 
 
+def within_cap(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Pages whose html is null or of at most max_bytes."""
+    return pages.where(F.col("html").isNull() | (F.octet_length("html") <= max_bytes))
+
+
+def over_cap(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """url and size of the pages that within_cap leaves out."""
+    return pages.select("url", F.octet_length("html").alias("html_bytes")).where(F.col("html_bytes") > max_bytes)
+
+
 def extract_facts(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row of facts for each page of at most max_bytes; null html is an empty page."""
+    """One row of facts for each page of at most max_bytes; null html is an empty page. A column
+    headers (map of response header to value) of pages is carried along; it is null if missing."""
     schema = to_arrow_schema(StructType.fromDDL(FACTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                yield pa.RecordBatch.from_pylist([page_facts(u, h) for u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], schema=schema)
-
-    return pages.where(f"html IS NULL OR octet_length(html) <= {max_bytes}").select("url", "html").mapInArrow(run, FACTS)
-
-
-def jsonld_types(block: str) -> list[str] | None:
-    """Types of a JSON-LD block through arrays and graphs; None if it is no JSON."""
-    try:
-        value = json.loads(block)
-    except ValueError:
-        return None
-    out, todo = [], [value]
-    while todo:
-        v = todo.pop(0)
-        if isinstance(v, list):
-            todo = v + todo
-        elif isinstance(v, dict):
-            kind = v.get("@type")
-            out += [kind] if isinstance(kind, str) else [k for k in kind or [] if isinstance(k, str)]
-            todo = (v["@graph"] if isinstance(v.get("@graph"), list) else []) + todo
-    return out
+                rows = pa.RecordBatch.from_pylist([page_facts(u, h) for u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*rows.columns, part.column(2)], names=[*schema.names, "headers"])
+
+    headers = F.col("headers").cast("map<string,string>") if "headers" in pages.columns else F.lit(None).cast("map<string,string>")
+    return within_cap(pages, max_bytes).select("url", "html", headers.alias("headers")).mapInArrow(run, FACTS + ", headers map<string,string>")

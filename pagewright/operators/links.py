@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import half_even, normalize_text
+from pagewright.operators.robots import robots_allowed
+from pagewright.sources.derived import CTR_CURVE
+from pagewright.sources.durable import durable, union_all
+
+# Beginnings of links that lead to no page, states of a broken link.
+NO_PAGE = ("#", "mailto:", "tel:")
+BROKEN = (400, 403, 404, 410)
+
+
+def _leads_to_page(href: Column, *more: str) -> Column:
+    out = F.lit(True)
+    for prefix in (*NO_PAGE, *more):
+        out = out & ~F.startswith(href, F.lit(prefix))
+    return out
 
 
 def links_of(facts: DataFrame, cap: int | None = None) -> DataFrame:
-    """Link rows in document order; the cap is taken inside each row, before unfolding."""
-    a = F.slice("anchors", 1, cap) if cap else F.col("anchors")
-    return facts.select(F.col("url").alias("src_url"), F.inline(a)).withColumnRenamed("dst", "dst_url")
+    """Link rows in document order, without links to no page. The cap counts those that are left and
+    is taken inside each row, before unfolding."""
+    a = F.filter("anchors", lambda x: _leads_to_page(x["href"]))
+    return facts.select(F.col("url").alias("src_url"), F.inline(F.slice(a, 1, cap) if cap else a)).withColumnRenamed("dst", "dst_url")
 
 
 def broken_links(links: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -20,17 +35,33 @@ def broken_links(links: DataFrame, fetches: DataFrame) -> DataFrame:
     made distinct before the join, so a target that all pages share meets once a page."""
     targets = links.select("src_url", "dst_url").distinct()
     hit = targets.join(fetches.select(F.col("url").alias("dst_url"), "status"), "dst_url", "left")
-    bad = F.col("status").isNull() | F.col("status").isin(400, 403, 404, 410)
+    bad = F.col("status").isNull() | F.col("status").isin(*BROKEN)
     return hit.groupBy("src_url").agg(F.count("*").alias("n_links"), F.count_if(bad).alias("n_broken")).withColumn("verdict", F.when(F.col("n_broken") > 0, "fail").otherwise("pass"))
 
 
+# Fixed order of a link report.
+LINK_STATES = ("broken", "redirect", "error", "ok")
+
+
 def link_health(links: DataFrame, fetches: DataFrame, cap: int = 60) -> DataFrame:
-    """State of up to cap distinct targets of each page, broken first."""
-    keyed = links.withColumn("href", urls.link_key(F.col("dst_url"))).groupBy("src_url", "href").agg(F.min("pos").alias("pos"))
+    """State of up to cap distinct targets of each page; link_health_order puts them in order."""
+    pages = links.where(_leads_to_page(F.col("href"), "javascript:") & (F.col("href") != ""))
+    keyed = pages.withColumn("key", urls.link_key(F.col("dst_url"))).groupBy("src_url", "key").agg(F.min("pos").alias("pos"))
     first = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("src_url").orderBy("pos"))).where(F.col("rn") <= cap)
-    seen = fetches.select(urls.link_key(F.col("url")).alias("href"), "status", urls.link_key(F.coalesce("location", "url")).alias("final"))
-    state = F.when(F.col("status").isNull(), "error").when(F.col("status").between(400, 599), "broken").when(F.col("final") != F.col("href"), "redirect").otherwise("ok")
-    return first.join(seen, "href", "left").select("src_url", "pos", "href", "status", state.alias("state"))
+    seen = fetches.select(urls.link_key(F.col("url")).alias("key"), "status", urls.link_key(F.coalesce("location", "url")).alias("final")).dropDuplicates(["key"])
+    state = F.when(F.col("status").isNull(), "error").when(F.col("status").between(400, 599), "broken").when(F.col("final") != F.col("key"), "redirect").otherwise("ok")
+    return first.join(seen, "key", "left").select("src_url", "pos", F.col("key").alias("href"), "status", state.alias("state"))
+
+
+def link_health_order(health: DataFrame) -> DataFrame:
+    """The link report in its order, pages by url: broken, redirect, error, ok, then by place."""
+    rank = F.array_position(F.array(*map(F.lit, LINK_STATES)), F.col("state"))
+    return health.withColumn("rank", rank.cast("int")).orderBy("src_url", "rank", "pos")
+
+
+def link_health_summary(health: DataFrame, cap: int = 60) -> DataFrame:
+    counts = [F.count_if(F.col("state") == s).alias(f"n_{s}") for s in LINK_STATES]
+    return health.groupBy("src_url").agg(F.count("*").alias("total"), *counts).withColumn("capped", F.col("total") >= cap)
 
 
 def http_status(fetches: DataFrame) -> DataFrame:
@@ -45,44 +76,107 @@ def ttfb(fetches: DataFrame) -> DataFrame:
     return fetches.select("url", "ttfb_ms", F.when(t < 500, "pass").when(t < 800, "warning").otherwise("fail").alias("verdict"))
 
 
-def redirect_chains(fetches: DataFrame, max_hops: int = 20) -> DataFrame:
-    """Follow each url that redirects: hops, final url, codes, loop. The active set shrinks by the
-    chains that end, and the loop ends with it; each round is one equi-join on the next url."""
+def redirect_chains(fetches: DataFrame) -> DataFrame:
+    """Follow each url that redirects: hops, final url, codes, loop, step to https, issues. Each round
+    is one equi-join on the next url and is written out; the active set shrinks by the chains that
+    end. A chain ends at a url without a redirect, or one it has seen, so the rounds end too."""
     hop = fetches.where("location IS NOT NULL").select(F.col("url").alias("at"), F.col("location").alias("next"), F.col("status").cast("string").alias("code"))
-    active = fetches.where("location IS NOT NULL").select("url", F.col("location").alias("at"), F.lit(1).alias("hops"), F.array(F.col("status").cast("string")).alias("codes"), F.array("url").alias("seen"))
+    active = durable(fetches.where("location IS NOT NULL").select("url", F.col("location").alias("at"), F.array(F.col("status").cast("string")).alias("codes"), F.array("url").alias("seen")))
     done = []
-    for _ in range(max_hops):
+    while not active.isEmpty():
         loop = F.array_contains("seen", F.col("at"))
-        done.append(active.where(loop).select("url", F.col("at").alias("final_url"), "hops", "codes", F.lit(True).alias("is_loop")))
-        step = active.where(~loop).join(hop, "at", "left")
-        done.append(step.where("next IS NULL").select("url", F.col("at").alias("final_url"), "hops", "codes", F.lit(False).alias("is_loop")))
-        active = step.where("next IS NOT NULL").select("url", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"), F.array_append("codes", F.col("code")).alias("codes"), F.array_append("seen", F.col("at")).alias("seen"))
-        if active.isEmpty():
-            break
-    else:
-        done.append(active.select("url", F.col("at").alias("final_url"), "hops", "codes", F.lit(False).alias("is_loop")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        step = durable(active.withColumn("is_loop", loop).join(hop, "at", "left"))
+        done.append(step.where("is_loop OR next IS NULL").select("url", F.col("at").alias("final_url"), "codes", "is_loop"))
+        active = durable(step.where("NOT is_loop AND next IS NOT NULL").select("url", F.col("next").alias("at"), F.array_append("codes", F.col("code")).alias("codes"), F.array_append("seen", F.col("at")).alias("seen")))
+    if not done:
+        done = [active.select("url", F.col("at").alias("final_url"), "codes", F.lit(False).alias("is_loop"))]
+    out = union_all(done).withColumn("hops", F.size("codes"))
+    to_https = F.startswith("url", F.lit("http://")) & F.startswith("final_url", F.lit("https://"))
+    issues = F.concat_ws("; ", F.when(F.col("hops") >= 3, "long chain"), F.when(F.array_contains("codes", "302"), "temporary redirect"), F.when(~to_https & F.array_contains("codes", "301") & (F.col("hops") >= 2), "several permanent redirects"))
     verdict = F.when(F.col("is_loop") | (F.col("hops") >= 2), "fail").otherwise("warning")
-    return out.select("url", "final_url", "hops", F.array_join("codes", ">").alias("codes"), "is_loop", verdict.alias("verdict"))
+    return out.select("url", "final_url", "hops", F.array_join("codes", ">").alias("codes"), "is_loop", to_https.alias("to_https"), issues.alias("issues"), verdict.alias("verdict"))
+
+
+def canonical_loop(canonicals: DataFrame, max_hops: int = 5) -> DataFrame:
+    """Follow canonical links (url, canonical) of pages for max_hops: verdict, end of the chain and
+    its hops. Each hop is a left join in one plan; rows that have ended carry a null key along."""
+    table = canonicals.groupBy("url").agg(F.min(F.nullif(F.trim("canonical"), F.lit(""))).alias("canonical"), F.lit(True).alias("known"))
+    to = table.select(F.col("url").alias("at"), F.col("canonical").alias("next"), F.col("known").alias("found"))
+    rows = table.select("url", F.col("url").alias("at"), F.array("url").alias("seen"), F.lit(None).cast("string").alias("verdict"))
+    for k in range(max_hops):
+        j = rows.join(to, "at", "left")
+        missing = "warning" if k == 0 else "pass"  # none at all, or a chain that ends
+        own = "pass" if k == 0 else "warning"
+        now = F.when(F.col("found").isNull(), "error").when(F.col("next").isNull(), missing).when(F.col("next") == F.col("at"), own).when(F.array_contains("seen", F.col("next")), "fail")
+        verdict = F.coalesce("verdict", F.when(F.col("at").isNotNull(), now))
+        rows = j.select("url", F.when(verdict.isNull(), F.col("next")).alias("at"), F.when(verdict.isNull(), F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"), verdict.alias("verdict"))
+    return rows.select("url", F.coalesce("verdict", F.lit("warning")).alias("verdict"), F.element_at("seen", -1).alias("chain_end"), (F.size("seen") - 1).alias("hops"))
+
+
+def hreflang_entries(facts: DataFrame) -> DataFrame:
+    """Alternates (url, lang, href) of pages: links, then those of the Link header."""
+    kept = F.filter("links", lambda x: x["hreflang"].isNotNull() & F.array_contains(F.split(x["rel"], r"\s+"), "alternate"))
+    own = F.transform(kept, lambda x: F.struct(F.trim(x["hreflang"]).alias("lang"), F.trim(F.coalesce(x["href"], F.lit(""))).alias("href")))
+    sent = F.coalesce(F.try_element_at(F.transform_keys("headers", lambda k, v: F.lower(k)), F.lit("link")), F.lit(""))
+    parts = F.transform(F.filter(F.split(sent, ","), lambda p: p.rlike("<[^>]+>") & p.rlike("hreflang=")), lambda p: F.struct(F.regexp_extract(p, "hreflang=[\"']?([^;\"'>\\s]+)", 1).alias("lang"), F.regexp_extract(p, "<([^>]+)>", 1).alias("href")))
+    return facts.select("url", F.inline(F.concat(own, parts)))
+
+
+def hreflang_validate(entries: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Issues of the alternates of each page: no x-default, languages given twice, no entry for the
+    page itself, relative, unreachable (400 and up, or not fetched) and redirecting ones. Alternates
+    meet the crawl log as distinct urls."""
+    page = lambda c: urls.strip_slash(F.regexp_replace(c, r"[?#].*$", ""))
+    state = fetches.select(F.col("url").alias("href"), "status", F.coalesce("location", "url").alias("final")).dropDuplicates(["href"])
+    j = entries.join(state, "href", "left").withColumn("relative", ~F.col("href").rlike("^https?:"))
+    langs = j.groupBy("url", "lang").agg(
+        F.count("*").alias("n"), F.max(page(F.col("href")) == page(F.col("url"))).alias("own"), F.count_if("relative").alias("relative"),
+        F.count_if(F.col("status").isNull() | (F.col("status") >= 400)).alias("unreachable"), F.count_if((F.col("status") < 400) & (F.col("final") != F.col("href"))).alias("redirecting"),
+    )
+    s = langs.groupBy("url").agg(
+        F.sum("n").alias("n_entries"), F.max(F.col("lang") == "x-default").alias("has_x_default"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("lang")))), ",").alias("duplicate_langs"),
+        F.max("own").alias("has_self"), *(F.sum(c).alias(f"n_{c}") for c in ("relative", "unreachable", "redirecting")),
+    )
+    errors = F.col("n_relative") + F.col("n_unreachable") + (F.col("duplicate_langs") != "").cast("int")
+    warnings = F.col("n_redirecting") + (~F.col("has_x_default")).cast("int") + (~F.col("has_self")).cast("int")
+    return s.withColumn("verdict", F.when(errors > 0, "fail").when(warnings > 0, "warning").otherwise("pass"))
+
+
+def crawl_from(links: DataFrame, seeds: DataFrame, max_depth: int = 2, fetches: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
+    """url and depth of what links reach from the seeds on their hosts; each url once. With a crawl
+    log (url, status, is_html), only html pages that answered 200 are reached and lead on. max_pages
+    keeps, of each host, the first pages by depth and url."""
+    edges = links.select(urls.link_key(F.col("src_url")).alias("url"), urls.link_key(F.col("dst_url")).alias("to")).where(urls.netloc(F.col("url")) == urls.netloc(F.col("to"))).distinct()
+    start = seeds.select(urls.link_key(F.col("url")).alias("url"))
+    if fetches is not None:
+        good = fetches.where("status = 200 AND is_html").select(urls.link_key(F.col("url")).alias("url")).distinct()
+        edges, start = edges.join(good.withColumnRenamed("url", "to"), "to", "left_semi"), start.join(good, "url", "left_semi")
+    out = crawl_edges(edges, start, max_depth)
+    if max_pages:
+        w = Window.partitionBy(urls.netloc(F.col("url"))).orderBy("depth", "url")
+        out = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_pages).drop("place")
+    return out
 
 
-def crawl_from(links: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
-    """url and depth of what links reach from the seeds on their hosts; each url once."""
-    edges = links.select(urls.link_key(F.col("src_url")).alias("url"), urls.link_key(F.col("dst_url")).alias("to")).where(urls.netloc(F.col("url")) == urls.netloc(F.col("to"))).distinct()
-    front = seeds.select(urls.link_key(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
-    seen = front
-    for d in range(1, max_depth + 1):
-        front = edges.join(front.select("url"), "url").select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+def text_fields(facts: DataFrame) -> DataFrame:
+    """Title, description and first H1 of each page as rows (url, field, value)."""
+    about = F.trim(F.get(F.filter("metas", lambda m: F.lower(m["name"]) == "description"), 0)["content"])
+    h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), 0)["text"]
+    rows = F.array(*(F.struct(F.lit(n).alias("field"), F.coalesce(c, F.lit("")).alias("value")) for n, c in (("title", F.col("title")), ("description", about), ("h1", h1))))
+    return facts.select("url", F.inline(rows))
+
 
+def duplicate_groups(texts: DataFrame, display: bool = False) -> DataFrame:
+    """Groups of two pages or more with an equal normal form of a field (url, field, value), with the
+    first url and, if asked for, the text as it stands there."""
+    n = texts.withColumn("norm", normalize_text(F.col("value"))).where("norm <> ''")
+    shown = [F.min_by("value", "url").alias("display")] if display else []
+    return n.groupBy("field", "norm").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), *shown).where("n >= 2")
 
-def duplicate_groups(titles: DataFrame) -> DataFrame:
-    """Groups of two pages or more with an equal normal form of a field (url, field, value)."""
-    n = titles.withColumn("norm", normalize_text(F.col("value"))).where("norm <> ''")
-    return n.groupBy("field", "norm").agg(F.count("*").alias("n"), F.min("url").alias("first_url")).where("n >= 2")
+
+def duplicate_summary(groups: DataFrame) -> DataFrame:
+    """Groups of each field and the pages in them."""
+    return groups.groupBy("field").agg(F.count("*").alias("groups"), F.sum("n").alias("pages"))
 
 
 def parse_sitemaps(docs: DataFrame) -> DataFrame:
@@ -100,26 +194,52 @@ def expand_sitemap_index(docs: DataFrame, roots: DataFrame, max_depth: int = 5)
 
 
 def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    front = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    seen = front
+    """Breadth-first rounds over edges (url, to). Edges and each round's frontier are written out:
+    a round is one join of the frontier and one anti join with what was seen."""
+    edges = durable(edges.select("url", "to").distinct())
+    front = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    seen = [front]
     for d in range(1, max_depth + 1):
-        front = edges.join(front.select("url"), "url").select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        reached = edges.join(front.select("url"), "url").select(F.col("to").alias("url")).distinct()
+        front = durable(reached.join(union_all(seen).select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        seen.append(front)
+    return union_all(seen)
+
 
+# Limits of one sitemap.
+MAX_URLS, MAX_SITEMAP_BYTES = 50_000, 50 << 20
 
-def sitemap_audit(entries: DataFrame) -> DataFrame:
-    """Issues of each sitemap and its score: 30 off for each kind of error, 10 for a warning."""
+
+def sitemap_audit(entries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Issues of each sitemap and its score: 30 off for each kind of error, 10 for a warning. docs
+    (sitemap_url, body) tells the size; without it no sitemap is too large."""
     loc = F.col("loc")
-    keyed = entries.withColumn("key", urls.duplicate_key(loc)).groupBy("sitemap_url", "key").agg(
-        F.count("*").alias("n"), F.count_if(F.startswith(F.lower(loc), F.lit("http://"))).alias("http"), F.count_if(urls.non_indexable_reason(loc).isNotNull()).alias("odd"), F.count("lastmod").alias("dated"), F.count_if(F.col("lastmod").isNotNull() & F.try_to_timestamp("lastmod").isNull()).alias("undated")
-    )
-    s = keyed.groupBy("sitemap_url").agg(F.sum("n").alias("total"), F.sum("http").alias("http_urls"), F.sum("odd").alias("non_indexable"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("dated").alias("with_lastmod"), F.sum("undated").alias("invalid_lastmod"))
-    errors = (F.col("http_urls") > 0).cast("int") + (F.col("total") > 50000).cast("int")
-    warnings = sum((F.col(c) > 0).cast("int") for c in ("non_indexable", "duplicates", "invalid_lastmod"))
-    return s.withColumn("score", F.greatest(F.lit(0), 100 - 30 * errors - 10 * warnings).cast("int"))
+    optional = [F.col(c) if c in entries.columns else F.lit(None).cast("string").alias(c) for c in ("changefreq", "priority")]
+    http = F.startswith("sitemap_url", F.lit("https:")) & F.startswith(loc, F.lit("http://"))
+    keyed = entries.select("sitemap_url", "loc", "lastmod", *optional).withColumn("key", urls.duplicate_key(loc)).groupBy("sitemap_url", "key").agg(
+        F.count("*").alias("n"), F.count_if(http).alias("http"), F.count_if(urls.non_indexable_reason(loc).isNotNull()).alias("odd"), F.count("lastmod").alias("dated"),
+        F.count_if(F.col("lastmod").isNotNull() & F.try_to_timestamp("lastmod").isNull()).alias("undated"), F.count("changefreq").alias("freq"), F.count("priority").alias("prio"),
+    )
+    s = keyed.groupBy("sitemap_url").agg(
+        F.sum("n").alias("total"), F.sum("http").alias("http_urls"), F.sum("odd").alias("non_indexable"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("dated").alias("with_lastmod"), F.sum("undated").alias("invalid_lastmod"),
+        (F.sum("freq") > 0).alias("has_changefreq"), (F.sum("prio") > 0).alias("has_priority"),
+    )
+    if docs is not None:
+        s = s.join(docs.groupBy("sitemap_url").agg(F.max(F.octet_length("body")).cast("long").alias("size_bytes")), "sitemap_url", "left")
+    else:
+        s = s.withColumn("size_bytes", F.lit(None).cast("long"))
+    errors = (F.col("total") > MAX_URLS).cast("int") + F.coalesce(F.col("size_bytes") > MAX_SITEMAP_BYTES, F.lit(False)).cast("int")
+    warnings = sum((F.col(c) > 0).cast("int") for c in ("http_urls", "non_indexable", "duplicates", "invalid_lastmod"))
+    return s.withColumn("n_errors", errors).withColumn("n_warnings", warnings).withColumn("score", F.greatest(F.lit(0), 100 - 30 * errors - 10 * warnings).cast("int"))
+
+
+def sitemap_validate(entries: DataFrame) -> DataFrame:
+    """Exact duplicates, http urls and the size limit of each sitemap; any issue fails it."""
+    keyed = entries.groupBy("sitemap_url", "loc").agg(F.count("*").alias("n"))
+    s = keyed.groupBy("sitemap_url").agg(F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("duplicates"), F.coalesce(F.sum(F.when(F.startswith("loc", F.lit("http://")), F.col("n"))), F.lit(0)).alias("http_urls"))
+    return s.withColumn("verdict", F.when((F.col("duplicates") > 0) | (F.col("http_urls") > 0) | (F.col("total") > MAX_URLS), "fail").otherwise("pass"))
 
 
 def sitemap_duplicate_of(entries: DataFrame) -> DataFrame:
@@ -129,48 +249,105 @@ def sitemap_duplicate_of(entries: DataFrame) -> DataFrame:
     return k.where("rn > 1").select("sitemap_url", "pos", "loc", "first_url")
 
 
-def sitemap_coverage(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """urls of sitemaps that were not crawled, crawled pages in no sitemap."""
+def sitemap_coverage(entries: DataFrame, pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """urls of sitemaps that were not crawled, crawled pages in no sitemap and, given links, crawled
+    pages that no other page links to."""
     a = entries.select(urls.match_key(F.col("loc")).alias("key")).distinct()
     b = pages.select(urls.match_key(F.col("url")).alias("key")).distinct()
-    return a.join(b, "key", "left_anti").withColumn("kind", F.lit("not crawled")).unionByName(b.join(a, "key", "left_anti").withColumn("kind", F.lit("not in sitemap")))
+    out = a.join(b, "key", "left_anti").withColumn("kind", F.lit("not crawled")).unionByName(b.join(a, "key", "left_anti").withColumn("kind", F.lit("not in sitemap")))
+    if links is not None:
+        to = links.select(urls.match_key(F.col("src_url")).alias("src"), urls.match_key(F.col("dst_url")).alias("key")).where("src <> key").select("key").distinct()
+        out = out.unionByName(b.join(to, "key", "left_anti").withColumn("kind", F.lit("orphaned")))
+    return out
+
+
+def rank_tracker(serp: DataFrame, targets: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
+    """Best rank of each target's domain for each keyword, by substring of the link; keywords without
+    a hit have a null rank. Targets are counted: a short list is broadcast, a longer one is taken in
+    parts of that length."""
+    names = targets.select("domain").where("domain <> ''").distinct()
+    parts = -(-names.count() // max_broadcast) or 1
+    hits = [serp.join(F.broadcast(names.where(F.pmod(F.xxhash64("domain"), F.lit(2 * parts)) == i) if parts > 1 else names), F.contains("link", F.col("domain"))) for i in range(2 * parts if parts > 1 else 1)]
+    ranks = union_all([h.groupBy("domain", "keyword").agg(F.min("rank").alias("rank")) for h in hits])
+    # every target with every keyword of the results: that table is the report itself
+    wanted = names.join(serp.select("keyword").distinct())
+    all_ = wanted.join(ranks, ["domain", "keyword"], "left")
+    return all_.withColumn("in_top_10", F.coalesce(F.col("rank") <= 10, F.lit(False))).withColumn("in_top_3", F.coalesce(F.col("rank") <= 3, F.lit(False)))
+
+
+def rank_summary(ranks: DataFrame) -> DataFrame:
+    """Keywords of each target that rank, in the top ten and three, and the verdict."""
+    s = ranks.groupBy("domain").agg(F.count("*").alias("keywords"), F.count("rank").alias("ranked"), F.count_if("in_top_10").alias("top_10"), F.count_if("in_top_3").alias("top_3"))
+    return s.withColumn("verdict", F.when(F.col("top_10") > 0, "pass").when(F.col("ranked") > 0, "warning").otherwise("fail"))
 
 
-def rank_tracker(serp: DataFrame, targets: DataFrame) -> DataFrame:
-    """Best rank of each target's domain for each keyword, by substring of the link. Targets are a
-    short list: their number is checked before they are broadcast."""
-    if targets.count() > 10_000:
-        raise ValueError("at most 10000 targets are matched by substring")
-    hit = serp.join(F.broadcast(targets.select("domain")), F.contains("link", F.col("domain")))
-    return hit.groupBy("domain", "keyword").agg(F.min("rank").alias("rank")).withColumn("in_top_10", F.col("rank") <= 10).withColumn("in_top_3", F.col("rank") <= 3)
+def competitor_rows(serp: DataFrame, domain: str) -> DataFrame:
+    """The first ten results of each keyword; is_you by equality of the host."""
+    host = urls.netloc(F.col("link"))
+    return serp.where("rank <= 10").select("keyword", "rank", host.alias("host"), F.col("link"), (host == domain).alias("is_you"))
 
 
 def competitor_comparison(serp: DataFrame, domain: str) -> DataFrame:
-    host = urls.public_hostname(F.col("link"))
-    rows = serp.where("rank <= 10").withColumn("is_you", host == domain).withColumn("host", host)
-    s = rows.groupBy("keyword").agg(F.min(F.when(F.col("is_you"), F.col("rank"))).alias("your_rank"), F.min_by("host", F.when(~F.col("is_you"), F.struct("rank", "host"))).alias("top_competitor"))
+    s = competitor_rows(serp, domain).groupBy("keyword").agg(F.min(F.when(F.col("is_you"), F.col("rank"))).alias("your_rank"), F.min_by("host", F.struct("rank", "host")).alias("top_competitor"))
     return s.withColumn("verdict", F.when(F.col("your_rank") <= 3, "pass").when(F.col("your_rank") <= 10, "warning").otherwise("fail"))
 
 
 def rank_change(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    return cur.select("domain", "keyword", "rank").join(prev.select("domain", "keyword", F.col("rank").alias("was")), ["domain", "keyword"]).withColumn("delta", F.col("was") - F.col("rank"))
+    """Change of rank of each domain and keyword that both runs rank; up is positive."""
+    was = prev.where("rank IS NOT NULL").select("domain", "keyword", F.col("rank").alias("was"))
+    return cur.where("rank IS NOT NULL").select("domain", "keyword", "rank").join(was, ["domain", "keyword"]).withColumn("delta", F.col("was") - F.col("rank"))
+
+
+def rank_change_summary(changes: DataFrame) -> DataFrame:
+    s = changes.groupBy("domain").agg(F.count("*").alias("compared"), F.count_if(F.col("delta") > 0).alias("improved"), F.count_if(F.col("delta") < 0).alias("declined"))
+    return s.withColumn("verdict", F.when(F.col("improved") >= F.col("declined"), "pass").otherwise("warning"))
+
+
+def traffic_share(ranks: DataFrame) -> DataFrame:
+    """Mean estimated CTR of each target over its keywords in the top ten."""
+    curve = F.create_map(*(F.lit(x) for pair in CTR_CURVE.items() for x in pair))
+    s = ranks.where("rank <= 10").groupBy("domain").agg(F.count("*").alias("keywords"), half_even(F.avg(curve[F.col("rank")]), 1).alias("avg_ctr"))
+    return s.withColumn("verdict", F.when(F.col("avg_ctr") >= 10, "pass").when(F.col("avg_ctr") >= 5, "warning").otherwise("fail"))
+
+
+def serp_index_match(serp: DataFrame, pages: DataFrame) -> DataFrame:
+    """Whether any result is the url, without regard to scheme, www, query and trailing slash."""
+    keys = serp.select(urls.match_key(F.col("link")).alias("key")).distinct().withColumn("hit", F.lit(True))
+    j = pages.select("url", urls.match_key(F.col("url")).alias("key")).join(keys, "key", "left")
+    return j.select("url", F.when(F.col("hit"), "Indexed").otherwise("Not Indexed").alias("status"))
+
+
+def _graded(c: str, high: int, low: int) -> Column:
+    return F.when(F.col(c) > high, "pass").when(F.col(c) > low, "warning").otherwise("fail")
 
 
 def backlink_summary(links: DataFrame) -> DataFrame:
-    """Backlinks, distinct referring domains and dofollow share of each target domain, in two
-    steps, so that a hot domain's rows are reduced before they meet."""
+    """Backlinks, distinct referring domains and dofollow share of each target domain with their
+    verdicts, in two steps, so that a hot domain's rows are reduced before they meet."""
     d = links.withColumn("domain", urls.public_hostname(F.col("dst_url"))).withColumn("ref", urls.public_hostname(F.col("src_url"))).where("domain <> '' AND ref <> domain")
     per = d.groupBy("domain", "ref").agg(F.count("*").alias("n"), F.count_if(~F.contains("rel", F.lit("nofollow"))).alias("f"))
-    return per.groupBy("domain").agg(F.sum("n").alias("backlinks"), F.count("*").alias("referring_domains"), half_even(100 * F.sum("f") / F.sum("n"), 1).alias("dofollow"))
-
-
-def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """Verdict of each page: the agent's own block if its host has one, else that of all agents;
-    the first rule in file order whose path begins the page's path decides."""
-    own = rules.where(F.lower("user_agent").isin(agent.lower(), "*")).withColumn("own", F.lower("user_agent") == agent.lower())
-    has = own.groupBy("host").agg(F.max("own").alias("any_own"))
-    used = own.join(has, "host").where("own = any_own").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("block", "rule_idx", "path", "allow"))).alias("rules"))
-    path = F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url")))
-    j = pages.withColumn("host", urls.netloc(F.col("url"))).join(used, "host", "left")
-    first = F.get(F.filter("rules", lambda r: (r["path"] != "") & F.startswith(path, r["path"])), 0)["allow"]
-    return j.select("url", F.coalesce(first, F.lit(True)).alias("allowed"))
+    s = per.groupBy("domain").agg(F.sum("n").alias("backlinks"), F.count("*").alias("referring_domains"), half_even(100 * F.sum("f") / F.sum("n"), 1).alias("dofollow"))
+    domains = F.when(F.col("referring_domains") >= 50, "pass").when(F.col("referring_domains") >= 10, "warning").otherwise("fail")
+    share = F.when(F.col("dofollow") >= 70, "pass").when(F.col("dofollow") >= 50, "warning").otherwise("fail")
+    return s.select("*", _graded("backlinks", 100, 10).alias("backlinks_verdict"), domains.alias("domains_verdict"), share.alias("dofollow_verdict"))
+
+
+def broken_backlinks(links: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Links of other domains to each domain, and those whose target is broken. Distinct targets
+    meet the crawl log with their number of links."""
+    rows = links.select("dst_url", urls.public_hostname(F.col("dst_url")).alias("domain"), urls.public_hostname(F.col("src_url")).alias("ref")).where("domain <> '' AND ref <> domain")
+    per = rows.groupBy("domain", "dst_url").agg(F.count("*").alias("n"))
+    bad = F.col("status").isNull() | F.col("status").isin(*BROKEN)
+    hit = per.join(fetches.select(F.col("url").alias("dst_url"), "status").dropDuplicates(["dst_url"]), "dst_url", "left")
+    s = hit.groupBy("domain").agg(F.sum("n").alias("backlinks"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("broken"))
+    return s.withColumn("verdict", F.when(F.col("broken") == 0, "pass").when(F.col("broken") <= 10, "warning").otherwise("fail"))
+
+
+def sitemap_issues(audit: DataFrame) -> DataFrame:
+    """Issues of sitemap_audit rows in the form of robots issues, by the sitemap's host."""
+    kinds = (
+        ("error", "too many urls", F.when(F.col("total") > MAX_URLS, F.col("total"))), ("error", "too large", F.when(F.col("size_bytes") > MAX_SITEMAP_BYTES, F.col("size_bytes"))),
+        *(("warning", name, F.nullif(F.col(c), F.lit(0))) for name, c in (("http in https", "http_urls"), ("not indexable", "non_indexable"), ("duplicates", "duplicates"), ("invalid lastmod", "invalid_lastmod"))),
+    )
+    rows = F.filter(F.array(*(F.struct(F.lit(level).alias("level"), F.lit(issue).alias("issue"), n.cast("string").alias("detail")) for level, issue, n in kinds)), lambda x: x["detail"].isNotNull())
+    return audit.select(urls.netloc(F.col("sitemap_url")).alias("host"), F.inline(rows))

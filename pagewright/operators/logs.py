@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Upper bounds of the request duration histogram, in seconds.
-BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, float("inf"))
+BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
 
 
 def histogram():
@@ -38,6 +38,16 @@ def novel_login(attempts: DataFrame, memory: int = 30) -> DataFrame:
     return ok.withColumn("novel", ~F.array_contains(F.collect_set("pair").over(w), F.col("pair"))).select("id", "username", "novel")
 
 
-def login_history(attempts: DataFrame, success: bool | None = None, limit: int = 500, offset: int = 0) -> DataFrame:
+def _history(attempts: DataFrame, success: bool | None, username: str | None) -> DataFrame:
     rows = attempts if success is None else attempts.where(F.col("success") == success)
-    return rows.orderBy(F.col("ts").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    return rows if username is None else rows.where(F.col("username") == username)
+
+
+def login_history(attempts: DataFrame, success: bool | None = None, limit: int = 500, offset: int = 0, username: str | None = None) -> DataFrame:
+    """A page of attempts, newest first, of one outcome and user if named; 500 rows at most."""
+    return _history(attempts, success, username).orderBy(F.col("ts").desc(), F.col("id").desc()).offset(offset).limit(min(limit, 500))
+
+
+def login_count(attempts: DataFrame, success: bool | None = None, username: str | None = None) -> DataFrame:
+    """How many attempts login_history pages through."""
+    return _history(attempts, success, username).agg(F.count("*").alias("total"))

@@ -17,33 +17,62 @@ def _lookup(values: dict, default) -> Column:
     return F.coalesce(m[F.col("tool")], F.lit(default))
 
 
-def seo_score(results: DataFrame, *keys: str) -> DataFrame:
-    """Weighted share of passed checks, 0 to 100; a warning counts half, errors and reports do not."""
+def _score_parts() -> tuple[Column, Column]:
+    """Weight of a check row, null if it does not count, and what it earned."""
     scored = (F.col("status") != "error") & ~F.col("tool").isin(*UNSCORED)
     w = F.when(scored, _lookup({t: w for t, w, _, _ in TOOLS if w}, 2))
-    earned = w * F.when(F.col("status") == "pass", 1.0).when(F.col("status") == "warning", 0.5).otherwise(0.0)
-    s = results.groupBy(*(keys or ("url",))).agg(F.sum(w).alias("w"), F.sum(earned).alias("e"))
-    return s.withColumn("score", F.coalesce(half_even(100 * F.col("e") / F.col("w"), 0), F.lit(0.0)).cast("int")).drop("w", "e")
+    return w, w * F.when(F.col("status") == "pass", 1.0).when(F.col("status") == "warning", 0.5).otherwise(0.0)
 
 
-def status_counts(results: DataFrame, errors_as_fail: bool = True) -> DataFrame:
+def _score() -> Column:
+    weight, earned = _score_parts()
+    return F.coalesce(half_even(100 * F.sum(earned) / F.sum(weight), 0), F.lit(0.0)).cast("int").alias("score")
+
+
+def _counts(errors_as_fail: bool = True) -> list[Column]:
     fail = F.col("status").isin("fail", "error") if errors_as_fail else F.col("status") == "fail"
-    return results.groupBy("url").agg(F.count_if(F.col("status") == "pass").alias("n_pass"), F.count_if(F.col("status") == "warning").alias("n_warning"), F.count_if(fail).alias("n_fail"))
+    return [F.count_if(F.col("status") == "pass").alias("n_pass"), F.count_if(F.col("status") == "warning").alias("n_warning"), F.count_if(fail).alias("n_fail")]
+
+
+def _top_issue() -> Column:
+    """Message of the first failure or error by message, else of the first warning."""
+    bad = F.col("status") != "pass"
+    cls = F.when(F.col("status").isin("fail", "error"), 0).otherwise(1)
+    return F.min_by("message", F.when(bad, F.struct(cls.alias("c"), F.col("message")))).alias("top_issue")
+
 
+def seo_score(results: DataFrame, *keys: str) -> DataFrame:
+    """Weighted share of passed checks, 0 to 100; a warning counts half, errors and reports do not."""
+    return results.groupBy(*(keys or ("url",))).agg(_score())
+
+
+def status_counts(results: DataFrame, errors_as_fail: bool = True) -> DataFrame:
+    return results.groupBy("url").agg(*_counts(errors_as_fail))
 
-def audits(results: DataFrame) -> DataFrame:
-    return seo_score(results).join(status_counts(results), "url")
 
+def audits(results: DataFrame, top_issue: bool = False) -> DataFrame:
+    """Score and counts of each url, and its issue to fix first, in one grouping."""
+    return results.groupBy("url").agg(_score(), *_counts(), *([_top_issue()] if top_issue else []))
 
-def run_summary(audit_rows: DataFrame) -> DataFrame:
+
+def run_summary(audit_rows: DataFrame, *keys: str) -> DataFrame:
+    """Totals of audits, of each run if keys name it."""
     band = score_band(F.col("score"))
-    return audit_rows.agg(F.count("*").alias("urls"), half_even(F.avg("score"), 0).alias("avg_score"), F.sum("n_fail").alias("issues"), F.sum("n_warning").alias("warnings"), *(F.count_if(band == b).alias(b) for b in ("excellent", "good", "poor")))
+    totals = [F.count("*").alias("urls"), half_even(F.avg("score"), 0).alias("avg_score"), F.sum("n_fail").alias("issues"), F.sum("n_warning").alias("warnings"), *(F.count_if(band == b).alias(b) for b in ("excellent", "good", "poor"))]
+    return audit_rows.groupBy(*keys).agg(*totals) if keys else audit_rows.agg(*totals)
 
 
 def issue_frequency(results: DataFrame, k: int = 10) -> DataFrame:
     return results.where(F.col("status") != "pass").groupBy("tool").agg(F.count("*").alias("n"), F.array_size(F.collect_set(F.when(F.col("status") != "warning", F.col("status")))).alias("kinds")).orderBy(F.col("n").desc(), "tool").limit(k)
 
 
+def issue_samples(results: DataFrame, k: int = 5) -> DataFrame:
+    """The first k urls of each tool's failures and errors. Each task keeps k urls a tool."""
+    rows = results.where(F.col("status").isin("fail", "error")).select("tool", "url").distinct()
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("tool").orderBy("url"))).where(F.col("rn") <= k)
+    return first.groupBy("tool").agg(F.array_join(F.array_sort(F.collect_list("url")), ",").alias("sample_urls"))
+
+
 def score_issues(results: DataFrame) -> DataFrame:
     """Rows that do not pass, with impact, effort and priority."""
     impact = _lookup({t: i for t, _, i, _ in TOOLS if i}, 5)
@@ -57,15 +86,15 @@ def score_issues(results: DataFrame) -> DataFrame:
 
 def top_issue_per_url(results: DataFrame) -> DataFrame:
     """First failure or error of each url by message, else its first warning."""
-    cls = F.when(F.col("status").isin("fail", "error"), 0).otherwise(1)
-    return results.where(F.col("status") != "pass").groupBy("url").agg(F.min_by("message", F.struct(cls.alias("c"), F.col("message"))).alias("top_issue"))
+    return results.where(F.col("status") != "pass").groupBy("url").agg(_top_issue())
 
 
 def issue_digest(results: DataFrame, fails: int = 15, warnings: int = 10) -> DataFrame:
-    """First failures and warnings of a run, by message: a report of fixed length."""
-    w = Window.partitionBy("status").orderBy("message", "url")
-    rows = results.where(F.col("status").isin("fail", "warning")).withColumn("line", F.row_number().over(w))
-    return rows.where(F.col("line") <= F.when(F.col("status") == "fail", fails).otherwise(warnings)).select("status", "line", "message")
+    """First failures and warnings of a run, by message: a report of fixed length. Each kind is an
+    ordered limit, which every task applies to its own rows."""
+    first = lambda status, k: results.where(F.col("status") == status).select("status", "message", "url").orderBy("message", "url").limit(k)
+    w = Window.partitionBy("status").orderBy("message", "url")  # at most fails + warnings rows
+    return first("fail", fails).unionByName(first("warning", warnings)).withColumn("line", F.row_number().over(w)).select("status", "line", "message")
 
 
 def audit_crosstab(results: DataFrame) -> DataFrame:
@@ -127,10 +156,13 @@ def compare_index_runs(cur: DataFrame, prev: DataFrame, *runs: str) -> DataFrame
 
 
 def index_trend(status: DataFrame, n: int = 30) -> DataFrame:
-    """Last n runs with rate and the change to the run before."""
-    runs = index_summary(status).orderBy(F.col("run_id").desc()).limit(n + 1)
-    w = Window.orderBy("run_id")  # at most n + 1 rows
-    return runs.withColumn("change", half_even(F.col("rate") - F.lag("rate").over(w), 1)).orderBy(F.col("run_id").desc()).limit(n)
+    """Last n runs by the time of their last check (checked_at), with rate, the change to the run
+    before, and whether no run of these has a better rate."""
+    times = status.groupBy("run_id").agg(F.max("checked_at").alias("ts"))
+    runs = index_summary(status).join(times, "run_id").orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(n + 1)
+    w = Window.orderBy("ts", "run_id")  # at most n + 1 rows
+    last = runs.withColumn("change", half_even(F.col("rate") - F.lag("rate").over(w), 1)).orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(n)
+    return last.withColumn("best", F.col("rate") == F.max("rate").over(Window.partitionBy())).drop("ts")
 
 
 def previous_run(status: DataFrame) -> DataFrame:

@@ -11,28 +11,53 @@ from pagewright.functions.text import half_even
 from pagewright.sources.derived import CTR_CURVE
 
 
-def _ctr(digits: int = 2) -> Column:
-    return half_even(F.when(F.col("impressions") > 0, 100.0 * F.col("clicks") / F.col("impressions")).otherwise(0.0), digits)
+def _raw_ctr() -> Column:
+    return F.when(F.col("impressions") > 0, 100.0 * F.col("clicks") / F.col("impressions")).otherwise(0.0)
+
+
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Clicks, impressions, CTR % and impression-weighted mean position, not rounded."""
+    sums = rows.groupBy(*(keys or ("page",))).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(F.col("position") * F.col("impressions")).alias("w"))
+    return sums.withColumn("raw_ctr", _raw_ctr()).withColumn("raw_position", F.col("w") / F.nullif("impressions", F.lit(0))).drop("w")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("ctr", half_even(F.col("raw_ctr"), 2)).withColumn("position", half_even(F.col("raw_position"), 1)).drop("raw_ctr", "raw_position")
 
 
 def page_performance(rows: DataFrame, *keys: str) -> DataFrame:
     """Clicks, impressions, CTR % and impression-weighted mean position of each page."""
-    sums = rows.groupBy(*(keys or ("page",))).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(F.col("position") * F.col("impressions")).alias("w"))
-    return sums.withColumn("ctr", _ctr()).withColumn("position", half_even(F.col("w") / F.nullif("impressions", F.lit(0)), 1)).withColumn("status", F.when(F.col("clicks") > 0, "pass").otherwise("warning")).drop("w")
+    return _rounded(_sums(rows, *keys)).withColumn("status", F.when(F.col("clicks") > 0, "pass").otherwise("warning"))
+
+
+# Days of a reporting period.
+PERIODS = {"week": 7, "month": 30, "6months": 180}
+
+
+def site_performance(rows: DataFrame, as_of: str, period: str = "month") -> DataFrame:
+    """page_performance of each site over the days of a period up to as_of."""
+    since = F.date_sub(F.lit(as_of).cast("date"), PERIODS[period])
+    return page_performance(rows.where((F.col("date") > since) & (F.col("date") <= F.lit(as_of).cast("date"))), "site")
+
+
+def _low_ctr(rows: DataFrame, min_impressions: int, max_ctr: float, max_position: float) -> DataFrame:
+    return _sums(rows).where((F.col("impressions") >= min_impressions) & (F.col("raw_ctr") < max_ctr) & (F.col("raw_position") <= max_position))
 
 
 def low_ctr(rows: DataFrame, min_impressions: int = 100, max_ctr: float = 2.0, max_position: float = 20.0) -> DataFrame:
-    return page_performance(rows).where((F.col("impressions") >= min_impressions) & (F.col("ctr") < max_ctr) & (F.col("position") <= max_position)).drop("status")
+    """Pages with impressions, a low CTR and a good position; limits hold before rounding."""
+    return _rounded(_low_ctr(rows, min_impressions, max_ctr, max_position))
 
 
 def opportunity_pages(rows: DataFrame, min_impressions: int = 200, max_ctr: float = 3.0, max_position: float = 20.0) -> DataFrame:
-    """Low CTR pages with the benchmark of their position, clicks to gain and an action."""
+    """Low CTR pages with the benchmark of their position, clicks to gain and an action; figures are
+    rounded last."""
     curve = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in CTR_CURVE.items()))
-    pages = low_ctr(rows, min_impressions, max_ctr, max_position)
-    place = F.least(F.greatest(F.bround("position", 0).cast("int"), F.lit(1)), F.lit(10))
-    gain = F.greatest(half_even((F.col("benchmark_ctr") - F.col("ctr")) / 100 * F.col("impressions"), 0), F.lit(0.0)).cast("long")
-    action = F.when(F.col("position") <= 3, "rewrite title").when(F.col("position") <= 10, "improve snippet").otherwise("strengthen content")
-    return pages.withColumn("benchmark_ctr", curve[place]).withColumn("extra_clicks", gain).withColumn("action", action)
+    place = F.least(F.greatest(half_even(F.col("raw_position"), 0).cast("int"), F.lit(1)), F.lit(10))
+    gain = F.greatest(half_even((F.col("benchmark_ctr") - F.col("raw_ctr")) / 100 * F.col("impressions"), 0), F.lit(0.0)).cast("long")
+    action = F.when(F.col("raw_position") <= 3, "rewrite title").when(F.col("raw_position") <= 10, "improve snippet").otherwise("strengthen content")
+    pages = _low_ctr(rows, min_impressions, max_ctr, max_position).withColumn("benchmark_ctr", curve[place])
+    return _rounded(pages.withColumn("extra_clicks", gain).withColumn("action", action))
 
 
 def daily_positions(rows: DataFrame) -> DataFrame:
@@ -52,8 +77,8 @@ def position_decay(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 
 def position_tracker(rows: DataFrame) -> DataFrame:
-    """Mean, first and last of the daily positions of each site."""
-    daily = rows.groupBy("site", "date").agg((F.sum(F.col("position") * F.col("impressions")) / F.sum("impressions")).alias("p"))
+    """Mean, first and last of the daily positions of each site, which count rounded to one digit."""
+    daily = rows.groupBy("site", "date").agg(half_even(F.sum(F.col("position") * F.col("impressions")) / F.sum("impressions"), 1).alias("p"))
     s = daily.groupBy("site").agg(F.avg("p").alias("a"), F.min_by("p", "date").alias("f"), F.max_by("p", "date").alias("l"), F.count("*").alias("days"))
     return s.select("site", "days", *(half_even(F.col(c), 1).alias(n) for c, n in (("a", "avg_position"), ("f", "first_position"), ("l", "last_position"))), (F.col("l") < F.col("f")).alias("improving"), F.when(F.col("a") <= 10, "pass").when(F.col("a") <= 30, "warning").otherwise("fail").alias("status"))
 
@@ -72,10 +97,11 @@ def cannibal_rank(rows: DataFrame, min_impressions: int = 50) -> DataFrame:
     return _query_pages(rows, min_impressions).select("query", "page", "position", F.row_number().over(Window.partitionBy("query").orderBy("position", "page")).alias("place"))
 
 
-def consolidation_map(rows: DataFrame, min_impressions: int = 50, limit: int = 3) -> DataFrame:
-    """Weaker pages, by place, of cannibalized queries and the page each should redirect to."""
-    r = cannibal_rank(rows, min_impressions)
-    pages = r.where(F.col("place").between(2, limit)).join(r.where("place = 1").select("query", F.col("page").alias("winner")), "query")
+def consolidation_map(rows: DataFrame, min_impressions: int = 50) -> DataFrame:
+    """All weaker pages of cannibalized queries and the page each should redirect to. The winner is
+    the first of the same window."""
+    w = Window.partitionBy("query").orderBy("position", "page")
+    pages = _query_pages(rows, min_impressions).select("query", "page", F.row_number().over(w).alias("place"), F.first("page").over(w).alias("winner")).where("place > 1")
     cut = lambda c: F.regexp_extract(c, r"^https?://[^/]*(/.*)$", 1)
     return pages.select("query", "page", "winner", F.concat(F.lit("Redirect 301 "), cut(F.col("page")), F.lit(" "), cut(F.col("winner"))).alias("rule"))
 

@@ -8,6 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+def rich_html() -> str:
+    """The html of pages with what they lack, by page_id: head elements, and images, headings and
+    links before the footer."""
+
+    def by(n: int, *parts: str) -> str:
+        return f"CASE page_id % {n} " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(parts, 1)) + " ELSE '' END"
+
+    def og(*names: str) -> str:
+        return "'" + "".join(f'<meta property="og:{n}" content="v">' for n in names) + "'"
+
+    ld = '<script type="application/ld+json">{}</script>'
+    article = ld.format('{"@context": "https://schema.org", "@type": "Article", "headline": "h"}')
+    head = (
+        by(4, "'<meta name=\"Description\" content=\"Short text\">'", "concat('<meta name=\"description\" content=\"', repeat('word ', 15), '\">')", "concat('<meta name=\"description\" content=\"', repeat('word ', 40), '\">')"),
+        by(5, "concat('<link rel=\"canonical\" href=\"', replace(url, '&', '&amp;'), '\">')", "'<link rel=\"canonical\" href=\"https://canon.example/x\">'"),
+        by(3, "'<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">'", "'<meta name=\"viewport\" content=\"width=600\">'"),
+        by(6, "'<meta name=\"robots\" content=\"NOINDEX\">'", "'<meta name=\"robots\" content=\"nofollow, noarchive\">'", "'<meta name=\"robots\" content=\"index,follow\">'"),
+        by(4, og("title", "description", "image"), f"concat({og('title', 'description', 'image', 'url', 'type')}, '<meta name=\"twitter:card\" content=\"v\">')", "'<meta property=\"og:title\" content=\"t\"><meta property=\"og:type\" content=\"\">'"),
+        by(5, "'<link rel=\"alternate\" hreflang=\"en\" href=\"/en\"><link rel=\"alternate\" hreflang=\"x-default\" href=\"/\">'", "'<link rel=\"alternate\" hreflang=\"en\" href=\"/en\">'", "'<link rel=\"alternate\" hreflang=\"en\" href=\"/en\"><link rel=\"alternate\" hreflang=\"en\" href=\"/us\"><link rel=\"alternate\" hreflang=\"x-default\" href=\"/\">'"),
+        by(6, f"'{article}'", f"'{ld.format('{broken')}'", f"'{article}{ld.format('{broken')}'", f"'{ld.format('[1]')}'", "'" + ld.format('{"@context": "http://other.example", "@type": "Course", "name": "n", "description": "d"}') + "'"),
+        by(4, "'<link rel=\"icon\" href=\"/i.ico\">'", "'<link rel=\"shortcut icon\" href=\"/i.ico\"><link rel=\"apple-touch-icon\" href=\"/a.png\">'", "'<link rel=\"apple-touch-icon\" href=\"/a.png\">'"),
+        "repeat('<script src=\"/a.js\"></script>', cast(page_id % 4 AS int))", "repeat('<link rel=\"stylesheet\" href=\"/s.css\">', cast(page_id % 14 AS int))",
+        by(5, "'<meta property=\"article:modified_time\" content=\"2026-01-01T00:00:00Z\">'", "'<meta property=\"article:modified_time\" content=\"2024-12-01\">'", "'<meta property=\"article:modified_time\" content=\"2020-01-01\">'", "'<meta property=\"article:modified_time\" content=\"not a date\">'"),
+    )
+    body = (
+        "repeat('<img src=\"/a.webp\" alt=\"x\" width=\"1\" height=\"1\" loading=\"lazy\">', cast(page_id % 6 AS int))", "repeat('<img src=\"http://h.example/b.png\">', cast(page_id % 5 AS int))",
+        "repeat('<h2>Part</h2>', cast(page_id % 3 AS int))", by(2, "'<a href=\"#top\">t</a><a href=\"mailto:a@b.example\">m</a><a href=\"tel:1\">n</a><a rel=\"nofollow\" href=\"/nf\">n</a><a href=\"https://other.example/x\">e</a>'"),
+    )
+    return f"replace(replace(html, '</head>', concat({', '.join(head)}, '</head>')), '<footer>', concat({', '.join(body)}, '<footer>')) AS html"
+
+
 INPUTS: dict[str, tuple[str, str]] = {
     "search_rows": (
         "lineitem",
@@ -42,6 +74,22 @@ INPUTS: dict[str, tuple[str, str]] = {
         "concat('https://www.shop.example/r/', o_orderkey) AS url, 1 AS attempt, cast(CASE o_orderkey % 6 WHEN 0 THEN 301 WHEN 1 THEN 302 WHEN 2 THEN 404 WHEN 3 THEN 500 ELSE 200 END AS int) AS status, "
         "CASE WHEN o_orderkey % 6 < 2 THEN concat('https://www.shop.example/r/', o_orderkey + 6 * (o_orderkey % 3) + CASE WHEN o_orderkey % 12 = 0 THEN 1 ELSE 4 END) END AS location, cast(floor(o_totalprice) AS int) % 1200 AS ttfb_ms",
     ),
+    "mixed_search_rows": (
+        "lineitem",
+        "concat('site', l_suppkey % 5) AS site, concat('https://www.shop.example/p/', l_partkey) AS page, concat('q', l_orderkey % 400) AS query, cast(l_shipdate AS date) AS date, "
+        "cast(floor(l_quantity * l_discount * (2 + l_partkey % 13)) AS bigint) AS clicks, cast(l_quantity * 20 AS bigint) AS impressions, cast(1 + l_partkey % 27 + l_linenumber % 3 AS double) AS position",
+    ),
+    "fetch_attempts": (
+        "lineitem",
+        "concat('https://www.shop.example/r/', l_orderkey) AS url, cast(l_linenumber AS int) AS attempt, "
+        "cast(CASE (l_orderkey + l_linenumber * l_linenumber) % 7 WHEN 0 THEN 301 WHEN 1 THEN 404 WHEN 2 THEN 200 WHEN 3 THEN NULL ELSE 503 END AS int) AS status",
+    ),
+    "dense_attempts": (
+        "events",
+        "event_id AS id, concat('user', event_id % 3) AS username, make_timestamp(2024, cast(1 AS int), cast(1 + floor(event_id / 4320) % 28 AS int), cast(floor(event_id / 180) % 24 AS int), cast(floor(event_id / 3) % 60 AS int), (event_id % 3) * 20) AS ts, "
+        "concat('10.0.0.', user_id % 7) AS ip, concat('agent', event_id % 3) AS user_agent, event_type <> 'error' AS success",
+    ),
+    "rich_pages": ("pages", "page_id, url, " + rich_html()),
 }
 
 # Tools, each with weight in the score, impact and effort of a fix.
@@ -79,6 +127,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = INPUTS[name]
+    columns = columns.replace("{", "{{").replace("}", "}}")
     return spark.sql(f"SELECT {columns} FROM {{rows}}", rows=read(spark, sf_dir, table))
 
 
