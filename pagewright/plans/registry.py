@@ -9,44 +9,25 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text, urls
 from pagewright.operators import checks, facts, links, logs, scoring, search
+from pagewright.plans import link_queries, metric_queries, page_queries
+from pagewright.plans.base import ORACLE_SQL, QUERIES, even, over, query
 from pagewright.sources.derived import CTR_CURVE, TOOLS, UNSCORED, check_results, check_results_sql, derived, input_sql, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def over(table: str, *, sql: str, **named: str) -> str:
-    """sql with a derived input as a common table expression of its name."""
-    return f"WITH {table} AS ({input_sql(table)}){sql}"
-
-
-def _even(x: str, d: int) -> str:
-    return f"round_even(cast(({x}) AS DECIMAL(30,10)), {d})::DOUBLE"
-
-
 # search analytics
 
-_CTR = _even("CASE WHEN impressions > 0 THEN 100.0 * clicks / impressions ELSE 0 END", 2)
+_CTR = even("CASE WHEN impressions > 0 THEN 100.0 * clicks / impressions ELSE 0 END", 2)
 
 
 def _perf(keys: str) -> str:
-    return f"perf AS (SELECT {keys}, clicks, impressions, {_CTR} AS ctr, {_even('w / nullif(impressions, 0)', 1)} AS position, CASE WHEN clicks > 0 THEN 'pass' ELSE 'warning' END AS status FROM (SELECT {keys}, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, sum(position * impressions) AS w FROM search_rows GROUP BY {keys}))"
+    return f"perf AS (SELECT {keys}, clicks, impressions, {_CTR} AS ctr, {even('w / nullif(impressions, 0)', 1)} AS position, CASE WHEN clicks > 0 THEN 'pass' ELSE 'warning' END AS status FROM (SELECT {keys}, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, sum(position * impressions) AS w FROM search_rows GROUP BY {keys}))"
 
 
 _PERF = ", " + _perf("page")
 _LOW = "clicks, impressions, ctr, position FROM perf WHERE impressions >= {} AND ctr < {} AND position <= 20"
-_CURVE = "CASE least(greatest(round_even(cast(position AS DECIMAL(30,10)), 0)::INT, 1), 10) " + " ".join(f"WHEN {k} THEN {v}" for k, v in CTR_CURVE.items()) + " END"
-_OPPORTUNITY = f"o AS (SELECT page, {_LOW.format(200, 30.0)}), g AS (SELECT *, ({_CURVE})::DOUBLE AS benchmark_ctr FROM o) SELECT *, greatest({_even('(benchmark_ctr - ctr) / 100 * impressions', 0)}, 0)::BIGINT AS extra_clicks, CASE WHEN position <= 3 THEN 'rewrite title' WHEN position <= 10 THEN 'improve snippet' ELSE 'strengthen content' END AS action FROM g"
+_CURVE = f"CASE least(greatest({even('p', 0)}::INT, 1), 10) " + " ".join(f"WHEN {k} THEN {v}" for k, v in CTR_CURVE.items()) + " END"
+_OPPORTUNITY = f"""raw AS (SELECT page, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, 100.0 * sum(clicks) / sum(impressions) AS c, sum(position * impressions) / sum(impressions) AS p FROM search_rows GROUP BY page),
+g AS (SELECT *, ({_CURVE})::DOUBLE AS benchmark_ctr FROM raw WHERE impressions >= 200 AND c < 30 AND p <= 20)
+SELECT page, clicks, impressions, {even('c', 2)} AS ctr, {even('p', 1)} AS position, benchmark_ctr, greatest({even('(benchmark_ctr - c) / 100 * impressions', 0)}, 0)::BIGINT AS extra_clicks, CASE WHEN p <= 3 THEN 'rewrite title' WHEN p <= 10 THEN 'improve snippet' ELSE 'strengthen content' END AS action FROM g"""
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +43,14 @@ query("top_opportunities", over("search_rows", sql=f"{_PERF}, {_OPPORTUNITY} ORD
 _DECAY = f""", daily AS (SELECT page, date, sum(position * impressions) / sum(impressions) AS position, sum(clicks) AS clicks FROM search_rows GROUP BY page, date),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY date) AS rn, count(*) OVER (PARTITION BY page) // 2 AS half FROM daily),
 p AS (SELECT page, avg(position) FILTER (rn <= half) AS a, avg(position) FILTER (rn > half) AS b, sum(clicks)::BIGINT AS total_clicks FROM r WHERE half >= 5 GROUP BY page)
-SELECT page, {_even("a", 1)} AS pos_start, {_even("b", 1)} AS pos_end, {_even("b - a", 1)} AS delta, total_clicks, CASE WHEN b - a >= 10 THEN 'high' WHEN b - a >= 5 THEN 'medium' ELSE 'low' END AS severity FROM p WHERE b - a >= 3"""
+SELECT page, {even("a", 1)} AS pos_start, {even("b", 1)} AS pos_end, {even("b - a", 1)} AS delta, total_clicks, CASE WHEN b - a >= 10 THEN 'high' WHEN b - a >= 5 THEN 'medium' ELSE 'low' END AS severity FROM p WHERE b - a >= 3"""
 query("position_decay", over("search_rows", sql=_DECAY))(lambda s, d: search.position_decay(_search(s, d)))
 query("top_decay", over("search_rows", sql=_DECAY + " ORDER BY delta DESC, page LIMIT 50"))(lambda s, d: search.top(search.position_decay(_search(s, d)), 50, F.col("delta").desc(), F.col("page")))
 query(
     "position_tracker",
-    over("search_rows", sql=f""", daily AS (SELECT site, date, sum(position * impressions) / sum(impressions) AS p FROM search_rows GROUP BY site, date),
+    over("search_rows", sql=f""", daily AS (SELECT site, date, {even("sum(position * impressions) / sum(impressions)", 1)} AS p FROM search_rows GROUP BY site, date),
 s AS (SELECT site, avg(p) AS a, arg_min(p, date) AS f, arg_max(p, date) AS l, count(*) AS days FROM daily GROUP BY site)
-SELECT site, days, {_even("a", 1)} AS avg_position, {_even("f", 1)} AS first_position, {_even("l", 1)} AS last_position, l < f AS improving, CASE WHEN a <= 10 THEN 'pass' WHEN a <= 30 THEN 'warning' ELSE 'fail' END AS status FROM s"""),
+SELECT site, days, {even("a", 1)} AS avg_position, {even("f", 1)} AS first_position, {even("l", 1)} AS last_position, l < f AS improving, CASE WHEN a <= 10 THEN 'pass' WHEN a <= 30 THEN 'warning' ELSE 'fail' END AS status FROM s"""),
 )(lambda s, d: search.position_tracker(_search(s, d)))
 
 _QP = ", " + _perf("query, page") + ", q AS (SELECT * FROM perf WHERE impressions >= 50)"
@@ -80,7 +61,7 @@ query("top_cannibal", over("search_rows", sql=_CANNIBAL + " ORDER BY total_impre
 query("cannibal_rank", over("search_rows", sql=f"{_PLACES} SELECT * FROM r"))(lambda s, d: search.cannibal_rank(_search(s, d)))
 query(
     "consolidation_map",
-    over("search_rows", sql=f"{_PLACES} SELECT r.query, r.page, w.page AS winner, 'Redirect 301 ' || regexp_extract(r.page, '^https?://[^/]*(/.*)$', 1) || ' ' || regexp_extract(w.page, '^https?://[^/]*(/.*)$', 1) AS rule FROM r JOIN r AS w ON r.query = w.query AND w.place = 1 WHERE r.place BETWEEN 2 AND 3"),
+    over("search_rows", sql=f"{_PLACES} SELECT r.query, r.page, w.page AS winner, 'Redirect 301 ' || regexp_extract(r.page, '^https?://[^/]*(/.*)$', 1) || ' ' || regexp_extract(w.page, '^https?://[^/]*(/.*)$', 1) AS rule FROM r JOIN r AS w ON r.query = w.query AND w.place = 1 WHERE r.place > 1"),
 )(lambda s, d: search.consolidation_map(_search(s, d)))
 query("top_queries_per_page", over("search_rows", sql=f", {_perf('page, query')} SELECT page, query, clicks, impressions, ctr, position, status, row_number() OVER (PARTITION BY page ORDER BY clicks DESC, query) AS place FROM perf QUALIFY place <= 10"))(
     lambda s, d: search.top_per(search.page_performance(_search(s, d), "page", "query"), "page", 10, F.col("clicks").desc(), F.col("query"))
@@ -95,7 +76,7 @@ def _case(index: int, default: str) -> str:
     return "CASE tool " + " ".join(f"WHEN '{t[0]}' THEN " + (f"'{t[index]}'" if isinstance(t[index], str) else str(t[index])) for t in TOOLS if t[index]) + f" ELSE {default} END"
 
 
-_SCORE = _even("100.0 * sum(w * CASE status WHEN 'pass' THEN 1 WHEN 'warning' THEN 0.5 ELSE 0 END) / sum(w)", 0)
+_SCORE = even("100.0 * sum(w * CASE status WHEN 'pass' THEN 1 WHEN 'warning' THEN 0.5 ELSE 0 END) / sum(w)", 0)
 
 
 def _scores(source: str) -> str:
@@ -104,7 +85,7 @@ def _scores(source: str) -> str:
 
 _COUNTS = "SELECT url, count(*) FILTER (status = 'pass') AS n_pass, count(*) FILTER (status = 'warning') AS n_warning, count(*) FILTER (status IN ('fail', 'error')) AS n_fail FROM cur GROUP BY url"
 _RUNS = f"WITH cur AS ({check_results_sql(1)}), prev AS ({check_results_sql(0)})"
-_ISSUES = f"SELECT url, tool, status, message, impact, effort, {_even('impact * w / r', 3)} AS priority, impact >= 8 AS high_impact, impact >= 7 AND effort = 'low' AS quick_win FROM (SELECT *, {_case(2, '5')} AS impact, {_case(3, chr(39) + 'medium' + chr(39))} AS effort, CASE {_case(3, chr(39) + 'medium' + chr(39))} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r, CASE status WHEN 'fail' THEN 1.0 WHEN 'warning' THEN 0.5 ELSE 0.7 END AS w FROM cur WHERE status <> 'pass')"
+_ISSUES = f"SELECT url, tool, status, message, impact, effort, {even('impact * w / r', 3)} AS priority, impact >= 8 AS high_impact, impact >= 7 AND effort = 'low' AS quick_win FROM (SELECT *, {_case(2, '5')} AS impact, {_case(3, chr(39) + 'medium' + chr(39))} AS effort, CASE {_case(3, chr(39) + 'medium' + chr(39))} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r, CASE status WHEN 'fail' THEN 1.0 WHEN 'warning' THEN 0.5 ELSE 0.7 END AS w FROM cur WHERE status <> 'pass')"
 
 
 def _cur(s: SparkSession, d: str) -> DataFrame:
@@ -115,7 +96,7 @@ query("seo_score", f"{_RUNS} {_scores('cur')}")(lambda s, d: scoring.seo_score(_
 query("status_counts", f"{_RUNS} {_COUNTS}")(lambda s, d: scoring.status_counts(_cur(s, d)))
 query(
     "run_summary",
-    f"{_RUNS}, a AS (SELECT * FROM ({_scores('cur')}) JOIN ({_COUNTS}) USING (url)) SELECT count(*) AS urls, {_even('avg(score)', 0)} AS avg_score, sum(n_fail)::BIGINT AS issues, sum(n_warning)::BIGINT AS warnings, count(*) FILTER (score >= 80) AS excellent, count(*) FILTER (score >= 50 AND score < 80) AS good, count(*) FILTER (score < 50) AS poor FROM a",
+    f"{_RUNS}, a AS (SELECT * FROM ({_scores('cur')}) JOIN ({_COUNTS}) USING (url)) SELECT count(*) AS urls, {even('avg(score)', 0)} AS avg_score, sum(n_fail)::BIGINT AS issues, sum(n_warning)::BIGINT AS warnings, count(*) FILTER (score >= 80) AS excellent, count(*) FILTER (score >= 50 AND score < 80) AS good, count(*) FILTER (score < 50) AS poor FROM a",
 )(lambda s, d: scoring.run_summary(scoring.audits(_cur(s, d))))
 query("issue_frequency", f"{_RUNS} SELECT tool, count(*) AS n, count(DISTINCT status) FILTER (status <> 'warning')::INT AS kinds FROM cur WHERE status <> 'pass' GROUP BY tool ORDER BY n DESC, tool LIMIT 10")(lambda s, d: scoring.issue_frequency(_cur(s, d)))
 query("score_issues", f"{_RUNS} {_ISSUES}")(lambda s, d: scoring.score_issues(_cur(s, d)))
@@ -148,11 +129,14 @@ def _run(s: SparkSession, d: str, run: str) -> DataFrame:
     return _index(s, d).where(F.col("run_id") == run).select("url", "status")
 
 
-_SUMMARY = f"SELECT run_id, count(*) AS total, count(*) FILTER (status = 'Indexed') AS indexed, count(*) FILTER (status = 'Not Indexed') AS not_indexed, count(*) FILTER (status NOT IN ('Indexed', 'Not Indexed')) AS other, {_even('100.0 * count(*) FILTER (status = ' + chr(39) + 'Indexed' + chr(39) + ') / count(*)', 1)} AS rate FROM last GROUP BY run_id"
+_SUMMARY = f"SELECT run_id, count(*) AS total, count(*) FILTER (status = 'Indexed') AS indexed, count(*) FILTER (status = 'Not Indexed') AS not_indexed, count(*) FILTER (status NOT IN ('Indexed', 'Not Indexed')) AS other, {even('100.0 * count(*) FILTER (status = ' + chr(39) + 'Indexed' + chr(39) + ') / count(*)', 1)} AS rate FROM last GROUP BY run_id"
 _TYPE = "CASE regexp_extract(url, 'example/([a-z]*)', 1) WHEN 'blog' THEN 'Blog' WHEN 'course' THEN 'Course' WHEN 'tag' THEN 'Tag' ELSE 'A' END"
 query("latest_result", over("index_status", sql=f"{_LATEST} SELECT * FROM last"))(_index)
 query("index_summary", over("index_status", sql=f"{_LATEST} {_SUMMARY}"))(lambda s, d: scoring.index_summary(_index(s, d)))
-query("index_trend", over("index_status", sql=f"{_LATEST}, s AS ({_SUMMARY}) SELECT *, {_even('rate - lag(rate) OVER (ORDER BY run_id)', 1)} AS change FROM s ORDER BY run_id DESC LIMIT 30"))(lambda s, d: scoring.index_trend(_index(s, d)))
+query(
+    "index_trend",
+    over("index_status", sql=f"{_LATEST}, s AS ({_SUMMARY}), ts AS (SELECT run_id, max(checked_at) AS ts FROM index_status GROUP BY run_id), t AS (SELECT s.*, {even('rate - lag(rate) OVER (ORDER BY ts.ts, s.run_id)', 1)} AS change, ts.ts FROM s JOIN ts ON s.run_id = ts.run_id ORDER BY ts.ts DESC, s.run_id DESC LIMIT 30) SELECT * EXCLUDE (ts), rate = max(rate) OVER () AS best FROM t"),
+)(lambda s, d: scoring.index_trend(scoring.latest_result(derived(s, d, "index_status"), "run_id", "url", order=("checked_at", "num"))))
 query("index_by_type", over("index_status", sql=f"{_LATEST} SELECT {_TYPE} AS url_type, count(*) FILTER (status = 'Indexed') AS indexed, count(*) FILTER (status = 'Not Indexed') AS not_indexed, count(*) FILTER (status NOT IN ('Indexed', 'Not Indexed')) AS other FROM last GROUP BY 1"))(
     lambda s, d: scoring.index_by_type(_index(s, d).withColumn("url_type", urls.url_type(F.col("url"))))
 )
@@ -195,7 +179,7 @@ query("filter_urls", "SELECT page_id, url FROM pages WHERE contains(lower(url),
 
 # logs
 
-_HIST = ", ".join(f"count(*) FILTER (duration_s <= {b if b != float('inf') else chr(39) + 'infinity' + chr(39) + '::DOUBLE'}) AS le_{i}" for i, b in enumerate(logs.BOUNDS))
+_HIST = ", ".join(f"count(*) FILTER (duration_s <= {b}) AS le_{i}" for i, b in enumerate((0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)))
 
 
 def _log(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -210,6 +194,14 @@ query(
 query("recent_failures", over("login_attempts", sql=" SELECT username, count(*) AS failures, count(*) >= 5 AS locked FROM login_attempts WHERE NOT success AND ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-15' GROUP BY username"))(
     lambda s, d: logs.recent_failures(derived(s, d, "login_attempts"), "2024-01-15", window_s=14 * 86400)
 )
+query(
+    "lockout_history_900",
+    over("dense_attempts", sql=", w AS (SELECT id, username, (count(*) FILTER (NOT success) OVER (PARTITION BY username ORDER BY ts RANGE BETWEEN INTERVAL 900 SECONDS PRECEDING AND CURRENT ROW) - CASE WHEN success THEN 0 ELSE 1 END) AS failures_before FROM dense_attempts) SELECT *, failures_before >= 5 AS locked FROM w"),
+)(lambda s, d: logs.lockout_history(derived(s, d, "dense_attempts")))
+query("recent_failures_900", over("dense_attempts", sql=" SELECT username, count(*) AS failures, count(*) >= 5 AS locked FROM dense_attempts WHERE NOT success AND ts >= TIMESTAMP '2024-01-01 11:45:00' AND ts <= TIMESTAMP '2024-01-01 12:00:00' GROUP BY username"))(
+    lambda s, d: logs.recent_failures(derived(s, d, "dense_attempts"), "2024-01-01 12:00:00")
+)
+query("login_count", over("login_attempts", sql=" SELECT count(*) AS total FROM login_attempts WHERE NOT success AND username = 'user7'"))(lambda s, d: logs.login_count(derived(s, d, "login_attempts"), False, "user7"))
 query("novel_login", over("login_attempts", sql=" SELECT id, username, NOT coalesce(list_contains(list(ip || ' ' || user_agent) OVER (PARTITION BY username ORDER BY ts, id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), ip || ' ' || user_agent), false) AS novel FROM login_attempts WHERE success"))(
     lambda s, d: logs.novel_login(derived(s, d, "login_attempts"))
 )
@@ -221,27 +213,28 @@ query("http_status", over("crawl_log", sql=" SELECT url, status, CASE WHEN statu
 query("ttfb", over("crawl_log", sql=" SELECT url, ttfb_ms, CASE WHEN ttfb_ms < 500 THEN 'pass' WHEN ttfb_ms < 800 THEN 'warning' ELSE 'fail' END AS verdict FROM crawl_log"))(lambda s, d: links.ttfb(derived(s, d, "crawl_log")))
 query(
     "redirect_chains",
-    "WITH RECURSIVE crawl_log AS (" + input_sql("crawl_log") + """), c AS (SELECT url, location AS cur, 1 AS hops, cast(status AS VARCHAR) AS codes, [url] AS seen FROM crawl_log WHERE location IS NOT NULL
-UNION ALL SELECT c.url, l.location, c.hops + 1, c.codes || '>' || l.status, list_append(c.seen, c.cur) FROM c JOIN crawl_log l ON l.url = c.cur WHERE l.location IS NOT NULL AND NOT list_contains(c.seen, c.cur) AND c.hops < 20)
-SELECT url, arg_max(cur, hops) AS final_url, max(hops) AS hops, arg_max(codes, hops) AS codes, bool_or(list_contains(seen, cur)) AS is_loop, CASE WHEN bool_or(list_contains(seen, cur)) OR max(hops) >= 2 THEN 'fail' ELSE 'warning' END AS verdict FROM c GROUP BY url""",
+    "WITH RECURSIVE crawl_log AS (" + input_sql("crawl_log") + """), c AS (SELECT url, location AS cur, 1 AS hops, [cast(status AS VARCHAR)] AS codes, [url] AS seen FROM crawl_log WHERE location IS NOT NULL
+UNION ALL SELECT c.url, l.location, c.hops + 1, list_append(c.codes, cast(l.status AS VARCHAR)), list_append(c.seen, c.cur) FROM c JOIN crawl_log l ON l.url = c.cur WHERE l.location IS NOT NULL AND NOT list_contains(c.seen, c.cur)),
+e AS (SELECT url, arg_max(cur, hops) AS final_url, max(hops) AS hops, arg_max(codes, hops) AS codes, bool_or(list_contains(seen, cur)) AS is_loop FROM c GROUP BY url)
+SELECT url, final_url, hops, array_to_string(codes, '>') AS codes, is_loop, url LIKE 'http://%' AND final_url LIKE 'https://%' AS to_https,
+concat_ws('; ', CASE WHEN hops >= 3 THEN 'long chain' END, CASE WHEN list_contains(codes, '302') THEN 'temporary redirect' END, CASE WHEN NOT (url LIKE 'http://%' AND final_url LIKE 'https://%') AND list_contains(codes, '301') AND hops >= 2 THEN 'several permanent redirects' END) AS issues,
+CASE WHEN is_loop OR hops >= 2 THEN 'fail' ELSE 'warning' END AS verdict FROM e""",
 )(lambda s, d: links.redirect_chains(derived(s, d, "crawl_log")))
 
 _SM_KEY = "regexp_replace(lower(regexp_replace(loc, '/+$', '')), '^https?://', '')"
 query(
     "sitemap_audit",
-    over("sitemap_urls", sql=f""", k AS (SELECT *, {_SM_KEY} AS key FROM sitemap_urls), s AS (SELECT sitemap_url, count(*) AS total, count(*) FILTER (starts_with(loc, 'http://')) AS http_urls, count(*) FILTER (loc LIKE '%?%' OR loc LIKE '%.pdf') AS non_indexable, count(*) - count(DISTINCT key) AS duplicates, count(lastmod) AS with_lastmod, count(*) FILTER (lastmod = 'not-a-date') AS invalid_lastmod FROM k GROUP BY sitemap_url)
-SELECT *, greatest(0, 100 - 30 * ((http_urls > 0)::INT + (total > 50000)::INT) - 10 * ((non_indexable > 0)::INT + (duplicates > 0)::INT + (invalid_lastmod > 0)::INT))::INT AS score FROM s"""),
-)(lambda s, d: links.sitemap_audit(derived(s, d, "sitemap_urls")))
+    over("sitemap_urls", sql=f""", k AS (SELECT *, {_SM_KEY} AS key FROM sitemap_urls), s AS (SELECT sitemap_url, count(*) AS total, count(*) FILTER (sitemap_url LIKE 'https:%' AND starts_with(loc, 'http://')) AS http_urls, count(*) FILTER (loc LIKE '%?%' OR loc LIKE '%.pdf') AS non_indexable, count(*) - count(DISTINCT key) AS duplicates, count(lastmod) AS with_lastmod, count(*) FILTER (lastmod = 'not-a-date') AS invalid_lastmod,
+sum(strlen(loc))::BIGINT AS size_bytes FROM k GROUP BY sitemap_url), e AS (SELECT *, false AS has_changefreq, false AS has_priority, (total > 50000)::INT + (size_bytes > 52428800)::INT AS n_errors, (http_urls > 0)::INT + (non_indexable > 0)::INT + (duplicates > 0)::INT + (invalid_lastmod > 0)::INT AS n_warnings FROM s)
+SELECT *, greatest(0, 100 - 30 * n_errors - 10 * n_warnings)::INT AS score FROM e"""),
+)(lambda s, d: links.sitemap_audit(derived(s, d, "sitemap_urls"), derived(s, d, "sitemap_urls").groupBy("sitemap_url").agg(F.array_join(F.collect_list("loc"), "").alias("body"))))
 query("sitemap_duplicate_of", over("sitemap_urls", sql=f", k AS (SELECT *, {_SM_KEY} AS key FROM sitemap_urls), r AS (SELECT *, row_number() OVER w AS rn, first_value(loc) OVER w AS first_url FROM k WINDOW w AS (PARTITION BY sitemap_url, key ORDER BY pos)) SELECT sitemap_url, pos, loc, first_url FROM r WHERE rn > 1"))(
     lambda s, d: links.sitemap_duplicate_of(derived(s, d, "sitemap_urls"))
 )
-query("rank_tracker", over("serp", sql=" SELECT domain, keyword, min(rank) AS rank, min(rank) <= 10 AS in_top_10, min(rank) <= 3 AS in_top_3 FROM serp JOIN (SELECT DISTINCT 'site' || (p_size % 9) || '.example' AS domain FROM part) ON contains(link, domain) GROUP BY domain, keyword"))(
-    lambda s, d: links.rank_tracker(derived(s, d, "serp"), read(s, d, "part").selectExpr("concat('site', p_size % 9, '.example') AS domain").distinct())
-)
 query(
     "competitor_comparison",
-    over("serp", sql=", h AS (SELECT *, regexp_replace(regexp_extract(link, '://([^/]*)', 1), '^www\\.', '') AS host FROM serp WHERE rank <= 10), s AS (SELECT keyword, min(rank) FILTER (host = 'site3.example') AS your_rank, arg_min(host, struct_pack(r := rank, h := host)) FILTER (host <> 'site3.example') AS top_competitor FROM h GROUP BY keyword) SELECT *, CASE WHEN your_rank <= 3 THEN 'pass' WHEN your_rank <= 10 THEN 'warning' ELSE 'fail' END AS verdict FROM s"),
-)(lambda s, d: links.competitor_comparison(derived(s, d, "serp"), "site3.example"))
+    over("serp", sql=", h AS (SELECT *, regexp_extract(link, '://([^/]*)', 1) AS host FROM serp WHERE rank <= 10), s AS (SELECT keyword, min(rank) FILTER (host = 'www.site3.example') AS your_rank, arg_min(host, struct_pack(r := rank, h := host)) AS top_competitor FROM h GROUP BY keyword) SELECT *, CASE WHEN your_rank <= 3 THEN 'pass' WHEN your_rank <= 10 THEN 'warning' ELSE 'fail' END AS verdict FROM s"),
+)(lambda s, d: links.competitor_comparison(derived(s, d, "serp"), "www.site3.example"))
 
 # pages
 
@@ -253,16 +246,20 @@ def _facts(s: SparkSession, d: str) -> DataFrame:
 _TITLE = "trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'))"
 
 
-@query("worst_pages")
+_CHECKED = page_queries.PLAIN_CHECKS
+_TOP = "SELECT url, arg_min(message, struct_pack(c := CASE WHEN status IN ('fail', 'error') THEN 0 ELSE 1 END, m := message)) AS top_issue FROM cur WHERE status <> 'pass' GROUP BY url"
+
+
+@query("worst_pages", f"{_CHECKED} SELECT * FROM ({_scores('cur')}) JOIN ({_COUNTS}) USING (url) LEFT JOIN ({_TOP}) USING (url) ORDER BY score, url LIMIT 100")
 def worst_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages to facts to check rows, scored; worst first, with the issue to fix."""
     rows = checks.run_checks(_facts(spark, sf_dir))
-    return scoring.audits(rows).join(scoring.top_issue_per_url(rows), "url", "left").orderBy("score", "url").limit(100)
+    return scoring.audits(rows, top_issue=True).orderBy("score", "url").limit(100)
 
 
-query("page_checks")(lambda s, d: checks.run_checks(_facts(s, d)))
+query("page_checks", f"{_CHECKED} SELECT * FROM cur")(lambda s, d: checks.run_checks(_facts(s, d)))
 
-# The score and issue reports over the check rows of all pages.
+# The score and issue reports over the check rows of all pages, by the SQL of the reports above.
 for _name, _report in {
     "seo_score": scoring.seo_score,
     "status_counts": scoring.status_counts,
@@ -274,7 +271,7 @@ for _name, _report in {
     "issue_digest": scoring.issue_digest,
     "audit_crosstab": scoring.audit_crosstab,
 }.items():
-    query(f"{_name}_checked")(lambda s, d, report=_report: report(checks.run_checks(_facts(s, d))))
+    query(f"{_name}_checked", ORACLE_SQL[_name].replace(_RUNS, _CHECKED))(lambda s, d, report=_report: report(checks.run_checks(_facts(s, d))))
 
 query("title_check", f"WITH t AS (SELECT url, length({_TITLE}) AS n FROM pages) SELECT url, 'title' AS tool, CASE WHEN n = 0 THEN 'fail' WHEN n < 30 OR n > 60 THEN 'warning' ELSE 'pass' END AS status, n::VARCHAR AS message FROM t")(lambda s, d: checks.run_checks(_facts(s, d), ["title"]))
 query("lang_check", "WITH t AS (SELECT url, trim(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)) AS v FROM pages) SELECT url, 'lang_attr' AS tool, CASE WHEN v = '' THEN 'fail' ELSE 'pass' END AS status, v AS message FROM t")(lambda s, d: checks.run_checks(_facts(s, d), ["lang_attr"]))
@@ -291,14 +288,19 @@ def _fetches(s: SparkSession, d: str) -> DataFrame:
 query("broken_links", f"WITH {_PAGE_LINKS}, t AS (SELECT DISTINCT src_url, dst_url FROM l) SELECT src_url, count(*) AS n_links, count(*) FILTER (length(dst_url) % 5 = 0 OR {_FETCHED} = 404) AS n_broken, CASE WHEN n_broken > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM t GROUP BY src_url")(
     lambda s, d: links.broken_links(links.links_of(_facts(s, d), 30), _fetches(s, d))
 )
-query("link_health")(lambda s, d: links.link_health(links.links_of(_facts(s, d)), _fetches(s, d)))
+query("link_health", link_queries.health_sql("pages", "SELECT * FROM pages", "NULL") + " SELECT * FROM health")(lambda s, d: links.link_health(links.links_of(_facts(s, d)), _fetches(s, d)))
 query("duplicate_titles", f"WITH t AS (SELECT url, trim(regexp_replace(lower({_TITLE}), '\\s+', ' ', 'g')) AS norm FROM pages) SELECT 'title' AS field, norm, count(*) AS n, min(url) AS first_url FROM t WHERE norm <> '' GROUP BY norm HAVING count(*) >= 2")(
     lambda s, d: links.duplicate_groups(_facts(s, d).select("url", F.lit("title").alias("field"), F.col("title").alias("value")))
 )
-query("crawl_from")(lambda s, d: links.crawl_from(links.links_of(_facts(s, d)), read(s, d, "pages").select("url")))
+query("crawl_from", link_queries.CRAWL)(lambda s, d: links.crawl_from(links.links_of(_facts(s, d)), read(s, d, "pages").select("url")))
 query("sitemap_coverage", over("sitemap_urls", sql=", a AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(lower(loc), '[?#].*$', ''), '^(https?://)?(www\\.)?', ''), '/+$', '') AS key FROM sitemap_urls), b AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^(https?://)?(www\\.)?', ''), '/+$', '') AS key FROM pages) SELECT key, 'not crawled' AS kind FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'not in sitemap' FROM b WHERE key NOT IN (SELECT key FROM a)"))(
     lambda s, d: links.sitemap_coverage(derived(s, d, "sitemap_urls"), read(s, d, "pages"))
 )
-query("backlink_summary")(lambda s, d: links.backlink_summary(read(s, d, "pages").selectExpr("url AS src_url", "concat('https://target', page_id % 5, '.example/') AS dst_url", "CASE WHEN page_id % 3 = 0 THEN 'nofollow' ELSE '' END AS rel")))
+query(
+    "backlink_summary",
+    "WITH b AS (SELECT 'target' || page_id % 5 || '.example' AS domain, regexp_replace(regexp_replace(regexp_extract(lower(url), '://([^/?#]*)', 1), ':[0-9]+$', ''), '^www\\.', '') AS ref, page_id % 3 > 0 AS follow FROM pages), s AS (SELECT domain, count(*) AS backlinks, count(DISTINCT ref) AS referring_domains, "
+    + even("100.0 * count(*) FILTER (follow) / count(*)", 1)
+    + " AS dofollow FROM b GROUP BY domain) SELECT *, CASE WHEN backlinks > 100 THEN 'pass' WHEN backlinks > 10 THEN 'warning' ELSE 'fail' END AS backlinks_verdict, CASE WHEN referring_domains >= 50 THEN 'pass' WHEN referring_domains >= 10 THEN 'warning' ELSE 'fail' END AS domains_verdict, CASE WHEN dofollow >= 70 THEN 'pass' WHEN dofollow >= 50 THEN 'warning' ELSE 'fail' END AS dofollow_verdict FROM s",
+)(lambda s, d: links.backlink_summary(read(s, d, "pages").selectExpr("url AS src_url", "concat('https://target', page_id % 5, '.example/') AS dst_url", "CASE WHEN page_id % 3 = 0 THEN 'nofollow' ELSE '' END AS rel")))
 query("csv_cells", "SELECT doc_id, CASE WHEN regexp_matches(text, '^\\s*[=+@\\t\\r-]') THEN '''' || text ELSE text END AS cell FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", text.csv_safe(F.col("text")).alias("cell")))
-query("pixel_width", "SELECT doc_id, (7.5 * length(text) + 6.5 * length(regexp_replace(text, '[^ᄀ-ᅟ⺀-꓏가-힣豈-﫿＀-￯]', '', 'g')))::DOUBLE AS px FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", text.pixel_width(F.col("text")).cast("double").alias("px")))
+query("pixel_width", "SELECT doc_id, (7.5 * length(text) + 6.5 * length(regexp_replace(text, '[^\\x{1100}-\\x{115F}\\x{2E80}-\\x{2EFF}\\x{3000}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}]', '', 'g')))::DOUBLE AS px FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", text.pixel_width(F.col("text")).cast("double").alias("px")))
