@@ -1,7 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run holds, for every line key of some documents, in how many of them it is and the largest
-doc_id. Each batch of documents becomes a run of level 0; when a level has FANOUT runs they are
+Documents come in batches, those with the largest doc_id first, so the first document that has a line
+is the one that keeps it. A run holds, for every line key of a batch, in how many documents it is, the
+largest doc_id, and, if no earlier run has the key, its first document: the batch is joined with the
+runs before it is added. Each batch becomes a run of level 0; when a level has FANOUT runs they are
 merged into one run of the next level. Runs are written sorted by key.
 """
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import discard, materialize, slices, texts, widened
 
 MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 4
+#: Documents above which each doubling adds a batch, and so many keys at most that count as hot.
+BATCH_DOCS, HOT_KEYS = 1_000_000, 10_000
 _SPACE = " \t\n\x0b\x0c\r"
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -49,18 +53,31 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = [[]]
         self.fanout = fanout
 
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        return materialize(df.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")).sortWithinPartitions("key"), "run")
+    def _runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def _seen(self) -> DataFrame | None:
+        """Keys of all runs, each once: a key has its first document in one run alone."""
+        runs = [run.where("first_doc IS NOT NULL").select("key") for run in self._runs()]
+        return self._union(runs) if runs else None
 
     def add(self, lines: DataFrame) -> None:
-        """Add the run of a batch of (doc_id, key) rows; a document belongs to one batch."""
-        self.levels[0].append(self._sorted(lines.distinct().select("key", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("max_doc"))))
+        """Add the run of a batch of (doc_id, key) rows; a document belongs to one batch. Keys that no
+        run has are new: the largest doc_id of the batch that has one is its first document."""
+        keys = lines.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        seen = self._seen()
+        if seen is None:
+            run = keys.withColumn("first_doc", F.col("max_doc"))
+        else:
+            known = keys.join(seen.withColumn("known", F.lit(True)), "key", "left")
+            run = known.withColumn("first_doc", F.when(F.col("known").isNull(), F.col("max_doc"))).drop("known")
+        self.levels[0].append(materialize(run.sortWithinPartitions("key"), "run"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._sorted(self._union(old)))
+            self.levels[level + 1].append(materialize(self._merge(old).sortWithinPartitions("key"), "run"))
             for run in old:
                 discard(run)
             level += 1
@@ -72,36 +89,55 @@ class LineRuns:
             out = out.unionByName(r)
         return out
 
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        return self._union(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("first_doc").alias("first_doc"))
+
     def merged(self) -> DataFrame:
         """One row for each key of all runs."""
-        runs = [r for level in self.levels for r in level]
-        return self._union(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return self._merge(self._runs())
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """Rows (doc_id, key) of a batch whose keys no run has: first come, first kept."""
-        for level in self.levels:
-            for run in level:
-                lines = lines.join(run.select("key"), "key", "left_anti")
-        return lines
+        seen = self._seen()
+        return lines if seen is None else lines.join(seen, "key", "left_anti")
+
+
+def batch_count(n_docs: int) -> int:
+    """Batches for so many documents: one more than fills a level, and one for each doubling."""
+    return FANOUT + 1 + (n_docs // BATCH_DOCS).bit_length()
+
+
+def _joined(lines: DataFrame, drop: DataFrame, n_lines: int) -> DataFrame:
+    """lines with the dropped keys. Keys with over a HOT_KEYS-th of all rows, which are HOT_KEYS at
+    most, are broadcast: their rows stay where they lie, and no task takes a hot key's rows."""
+    hot = F.broadcast(drop.where(F.col("n_docs") > n_lines / HOT_KEYS).drop("n_docs"))
+    rest = drop.where(F.col("n_docs") <= n_lines / HOT_KEYS).drop("n_docs")
+    return lines.join(hot, "key").unionByName(lines.join(hot, "key", "left_anti").join(rest, "key"))
 
 
-def repeated_lines(docs: DataFrame, batches: int = 2) -> DataFrame:
+def repeated_lines(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """doc_id and keys (array) of the lines each document loses: keys of 20 code points or more in
     at least 3 documents, except in the largest doc_id that has them.
 
-    Documents come in batches by a hash of doc_id, so that repeated rows of a doc_id count as one
-    document; rows without doc_id have no place in the order, neither count nor lose lines.
+    Batches are ranges of doc_id, so repeated rows of a doc_id count as one document; their number
+    follows that of the documents. Rows without doc_id have no place in the order, neither count nor
+    lose lines.
     """
-    lines = materialize(_with_keys(docs.where("doc_id IS NOT NULL")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "lines")
+    named = docs.where("doc_id IS NOT NULL")
+    batches = batches or batch_count(docs.count())
+    at = F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 10_000)
+    cuts = sorted(set((named.agg(at).first()[0] or []) if batches > 1 else []))
+    number = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    lines = materialize(_with_keys(named).withColumn("batch", number.cast("int")), "lines")
     runs = LineRuns()
-    for i in range(batches):
+    for i in range(len(cuts), -1, -1):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "key"))
-    drop = runs.merged().where(F.col("n_docs") >= MIN_DOCS).select("key", "max_doc")
-    lost = lines.select("doc_id", "key").join(drop, "key").where("doc_id <> max_doc")
+    drop = materialize(runs.merged().where(F.col("n_docs") >= MIN_DOCS).select("key", "n_docs", "first_doc"), "drop")
+    lost = _joined(lines.select("doc_id", "key"), drop, lines.count()).where("doc_id <> first_doc")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop_keys"))
 
 
-def _cleaned(docs: DataFrame, batches: int) -> DataFrame:
+def _cleaned(docs: DataFrame, batches: int | None) -> DataFrame:
     """docs with kept (text without the dropped lines), n_lines and n_dropped."""
     new = ["kept", "n_lines", "n_dropped"]
     docs = docs.drop(*new, "drop_keys", "lost_id")
@@ -125,7 +161,7 @@ def _cleaned(docs: DataFrame, batches: int) -> DataFrame:
     return joined.mapInArrow(run, widened(docs, "kept string, n_lines long, n_dropped long"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """Rows of docs with repeated lines removed from text; n_chars, if there, is counted anew.
     Null texts stay null; a text that loses all lines is empty."""
     out = _cleaned(docs, batches).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
@@ -134,7 +170,7 @@ def dedup_lines(docs: DataFrame, batches: int = 2) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def report(docs: DataFrame, batches: int = 2) -> DataFrame:
+def report(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row; null and empty texts are one line."""
     c = _cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), batches)
     return c.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
