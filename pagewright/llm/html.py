@@ -5,10 +5,11 @@ share an occurrence vector (so many times in each page) form a class; classes th
 exactly once make up the template, without the tokens that are out of order on some page and the
 classes that cross another (not nested in one of its gaps). Equal pages count once.
 
-The text of a page is in its article or main element, if one has text. Else it is what remains of
-the page without the texts of the template. Elements that are a menu, header, footer, sidebar,
-notice, advert, form, script or comment list by fixed lists of tags, roles and words in class and
-id hold no main text in either case.
+The text of a page is what its slots hold: the texts between the template's tokens, without those of
+the template itself, in article and main elements too. Tags label slots: if any text is in an
+article or main element, only such texts count; elements that are a menu, header, footer, sidebar,
+notice, advert, form, script or comment list by fixed lists of tags, roles and words in class and id
+hold no main text.
 """
 
 from __future__ import annotations
@@ -149,16 +150,15 @@ def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _candidates(page: Page) -> list[tuple[str, int | None]]:
-    """Blocks of main text, with the token of those that are left out where it is a template's."""
+def _candidates(page: Page) -> list[tuple[str, int]]:
+    """Blocks whose tags say that they may hold main text, with their tokens."""
     kept = [(p, t, inside) for p, t, out, inside in page.blocks if not out]
-    if any(inside for _, _, inside in kept):
-        return [(t, None) for _, t, inside in kept if inside]
-    return [(t, _hash(f"{p}|{t}")) for p, t, _ in kept]
+    labelled = any(inside for _, _, inside in kept)
+    return [(t, _hash(f"{p}|{t}")) for p, t, inside in kept if inside or not labelled]
 
 
 def main_text(source: str, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Main text of one page: the slots that are left, blocks joined by an empty line."""
+    """Main text of one page: what its slots hold, blocks joined by an empty line."""
     return "\n\n".join(t for t, token in _candidates(Page(source)) if token not in template)
 
 
@@ -173,8 +173,7 @@ def _host(url):
 
 def parsed(pages: DataFrame, *carried: str) -> DataFrame:
     """The carried columns of pages, and of each page its host, a digest of its html, its tokens in
-    order, and the texts and tokens (null in an article) of its candidate blocks. Pages are parsed
-    here only."""
+    order, and the texts and tokens of its candidate blocks. Pages are parsed here only."""
     source = pages.select(*carried, _host(F.col("url").cast("string")).alias("pagewright_host"), F.col("html").cast("string").alias("pagewright_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +286,7 @@ def _extracted(kept: DataFrame, *carried: str) -> DataFrame:
     pages = materialize(parsed(kept, *carried), "parsed")
     found = materialize(templates(pages), "templates")
     size = found.agg(F.sum(8 * F.size("pagewright_template") + F.octet_length("pagewright_host"))).first()[0] or 0
-    left = F.filter(F.arrays_zip("pagewright_blocks", "pagewright_marks"), lambda x: x["pagewright_marks"].isNull() | ~F.coalesce(F.array_contains("pagewright_template", x["pagewright_marks"]), F.lit(False)))
+    left = F.filter(F.arrays_zip("pagewright_blocks", "pagewright_marks"), lambda x: ~F.coalesce(F.array_contains("pagewright_template", x["pagewright_marks"]), F.lit(False)))
     text = F.array_join(F.transform(left, lambda x: x["pagewright_blocks"]), "\n\n").alias("text")
     return _with_host(pages, found, size).select(*carried, text).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -303,4 +302,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def report(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page, as extract() gives them; other columns are left out."""
     return _extracted(pages, "page_id", "url")

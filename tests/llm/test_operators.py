@@ -406,8 +406,9 @@ def test_main_text_of_layouts():
 
 def test_pages_keep_their_article(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
+    sources = {r.page_id: r.html for r in pages.collect()}
     for r in html.report(pages).collect():
-        source = pages.where(F.col("page_id") == r.page_id).first().html if r.page_id < 5 else None
+        source = sources[r.page_id]
         if source:
             article = source[source.index("<article>") + 9 : source.index("</article>")]
             want = [re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", x)).strip() for x in re.split(r"</?(?:p|h1)>", article)]
@@ -425,6 +426,22 @@ def test_template_texts_outside_articles_go(spark):
     assert html.report(df.limit(0)).count() == 0
 
 
+def test_the_template_decides_in_articles_too(spark, monkeypatch):
+    rows = [(i, f"http://h.example/{i}", f"<html><body><article><h1>Story {i}</h1><p>All rights reserved</p><p>Text {'x' * i}</p></article></body></html>") for i in range(1, 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.report(df).collect()} == {i: f"Story {i}\n\nText {'x' * i}" for i in range(1, 7)}
+    real = html.templates
+    monkeypatch.setattr(html, "templates", lambda pages: real(pages).where("false"))
+    assert all("All rights reserved" in r.text for r in html.report(df).collect())
+
+
+def test_long_and_odd_pages(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, "http://h.example/1", f"<article><p>{long}</p><p>a &amp; b</p></article>"), (2, None, "<p>x<!-- y"), (3, "no url", "<p"), (3, "no url", "<p")]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html.report(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect())
+    assert got == [(1, long + "\n\na & b", len(long) + 7), (2, "x", 1), (3, "<p", 2), (3, "<p", 2)]
+
+
 def test_equal_pages_count_once_for_a_template(spark):
     same = "<html><body><p>Only story</p></body></html>"
     rows = [(i, f"http://h.example/{i}", same) for i in range(5)]
@@ -474,6 +491,16 @@ def test_line_runs_compact_and_know_what_came(spark):
     assert [bytes(r.key) for r in runs.unseen(new).collect()] == [b"z"]
 
 
+def test_line_batches_compact_and_the_largest_doc_keeps(spark, monkeypatch):
+    merged = []
+    real = lines.LineRuns._merge
+    monkeypatch.setattr(lines.LineRuns, "_merge", lambda self, runs: merged.append(len(runs)) or real(self, runs))
+    rows = [(i, f"shared line of many documents\nown line of document number {i}\n{'pair of lines that two have' if i < 2 else ''}") for i in range(40)]
+    got = lines.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect() if r.n_dropped == 0} == {39} and merged[0] == lines.FANOUT
+    assert lines.batch_count(10) == 5 and lines.batch_count(10**10) > lines.batch_count(10**7)
+
+
 def test_lines_odd_rows(odd, none):
     out = lines.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == 8 and out.where("text IS NULL").count() == 1
