@@ -34,7 +34,7 @@ def url_cells(lines: DataFrame, first_line: str) -> DataFrame:
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """urls (pos, cell, url) of a list file in CSV, TSV, semicolon or pipe form, in file order. One
     list file is one partition's lines."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line")).where("trim(line) <> ''")
     first = text.select(F.split(F.trim("value"), r"\r\n|\r|\n", 2)[0]).first()  # one line
     return url_cells(lines, first[0] if first else "")
