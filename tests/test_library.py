@@ -165,6 +165,12 @@ def test_lockout_stream(spark, tmp_path):
     assert {r.username for r in spark.table("locked").collect()} == {"u"}
 
 
+def test_entry_works_where_the_optional_parts_cannot_be_imported():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'seo_score' in q and 'pipeline' not in q and 'op2_simhash' not in q"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
 def test_entry_works_without_the_optional_parts(spark):
     code = "import sys, importlib.util as u; real = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith(('pagewright.llm', 'corpus_')) else real(n, *a); import __spark_entry__ as e; q = e.queries(); assert 'seo_score' in q and not any(x.startswith('op') and x[2].isdigit() for x in q) and set(e.oracle_sql()) <= set(q)"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
