@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import materialize, slices, texts
@@ -316,14 +316,8 @@ def report(docs: DataFrame) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def match_reference(docs: DataFrame, reference: DataFrame, min_words: int = WINDOW, max_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, start, n_words of maximal word runs of at least min_words that are in a text of
-    reference. The reference is checked against max_bytes and sent to the executors, which build
-    its automaton once and stream the documents for matching statistics."""
-    size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the reference holds {size} bytes; give shards of {max_bytes} bytes at most and unite the runs")
-    held = docs.sparkSession.sparkContext.broadcast([r[0] for r in reference.where("text IS NOT NULL").select("text").collect()])
+def _matched(docs: DataFrame, texts_of_shard: list[str], min_words: int) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(texts_of_shard)
     built: list[SuffixAutomaton] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,3 +336,29 @@ def match_reference(docs: DataFrame, reference: DataFrame, min_words: int = WIND
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, n_words long")
+
+
+def match_reference(docs: DataFrame, reference: DataFrame, min_words: int = WINDOW, max_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, start, n_words of maximal word runs of at least min_words that are in a text of
+    reference. The reference is dealt out by a hash of its texts into shards of max_bytes (a larger
+    text is a shard of its own). Each is sent to the executors, which build its automaton once and
+    stream the documents for matching statistics; of the runs of all shards those that lie in
+    another are left out. Equal texts of the reference count once; a doc_id is one document.
+    """
+    rows = reference.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    shards = 1
+    while True:
+        shard = F.pmod(F.xxhash64("text"), F.lit(shards))
+        sums = rows.groupBy(shard).agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n"))
+        if not (over := sums.where((F.col("size") > max_bytes) & (F.col("n") > 1)).agg(F.max("size")).first()[0]):
+            break
+        shards *= max(2, over // max_bytes)
+    found = None
+    for i in range(shards):
+        part = _matched(docs, [r[0] for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == i).collect()], min_words)
+        found = part if found is None else found.unionByName(part)
+    if shards == 1:
+        return found
+    w = Window.partitionBy("doc_id").orderBy("start", F.col("n_words").desc())
+    before = F.max(F.col("start") + F.col("n_words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return found.distinct().withColumn("before", before).where(F.coalesce(F.col("before") < F.col("start") + F.col("n_words"), F.lit(True))).drop("before")
