@@ -17,7 +17,7 @@ from pagewright.llm.components import connected_components
 SHINGLE_WORDS, SEED, ERRORS = 4, 42, 4
 #: Bits of the six blocks. Two fingerprints that differ in at most 4 bits agree on two of them.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: A bucket with more fingerprints than this is divided by its next four trie bits.
+#: A bucket with more fingerprints than this is divided into units of no more.
 BUCKET_ROWS = 100_000
 _LANES = np.uint64(0x0101010101010101)
 
@@ -170,14 +170,16 @@ def _buckets(fps: DataFrame) -> DataFrame:
 
 
 def _divide(rows: DataFrame) -> DataFrame:
-    """Spread each oversized bucket over units, one for each pair of its sixteen classes of
-    fingerprints (a hash of the bits), so that no task holds it whole and each pair still meets."""
-    large = rows.groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS).select("bucket", F.lit(True).alias("large"))
+    """Spread each oversized bucket over units, one for each pair of its classes of fingerprints (a
+    hash of the bits), so that each pair still meets. There are as many classes as it takes for two
+    of them to hold BUCKET_ROWS."""
+    classes = F.ceil(2 * F.col("count") / BUCKET_ROWS).cast("int")
+    large = rows.groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS).select("bucket", classes.alias("classes"))
     tagged = rows.join(large, "bucket", "left")
-    cls = F.pmod(F.xxhash64("fp"), F.lit(16)).cast("int")
-    units = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda q: F.least(q, cls) * 16 + F.greatest(q, cls))
-    unit = F.explode(F.when(F.col("large"), units).otherwise(F.array(F.lit(0))))
-    return tagged.select("bucket", "fp", unit.alias("unit")).select(F.shiftleft("bucket", 8).bitwiseOR(F.col("unit").cast("long")).alias("bucket"), "fp")
+    cls = F.pmod(F.xxhash64("fp"), F.col("classes")).cast("int")
+    units = F.transform(F.sequence(F.lit(0), F.col("classes") - 1), lambda q: F.least(q, cls).cast("long") * F.col("classes") + F.greatest(q, cls))
+    unit = F.explode(F.when(F.col("classes").isNotNull(), units).otherwise(F.array(F.lit(0).cast("long"))))
+    return tagged.select("bucket", "fp", unit.alias("unit")).select(F.shiftleft("bucket", 32).bitwiseOR(F.col("unit")).alias("bucket"), "fp")
 
 
 def near_links(fps: DataFrame) -> DataFrame:
