@@ -25,42 +25,52 @@ def split_pattern() -> str:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
     return warc.report(table(spark, sf_dir, "pages"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all token ids, read back from wavelet shards."""
     return tokens.corpus_digests(table(spark, sf_dir, "documents"), Path(tokenizer_path("byte_bpe_50k.json")).read_text())
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors and rejection of every document."""
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's payload, read back from its JPEG."""
     return jpeg.report(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no earlier window covers."""
     return substring.report(table(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark found in every document."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html.report(table(spark, sf_dir, "pages"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat elsewhere."""
     return lines.report(table(spark, sf_dir, "documents"))
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -221,6 +222,33 @@ def test_quality_shrinks_and_takes_odd_rows(spark, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_quality_against_plain_sums(spark, docs):
+    """Scores, shrunk rates of sites and paths, posteriors and rejection, once more in plain Python."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    evidence = quality.fit(docs, labels)
+    sigmoid, logit = (lambda x: 1 / (1 + math.exp(-x))), (lambda p: math.log(p / (1 - p)))
+    rows = {r.doc_id: (r.source or "", r.lang or "", *evidence.score(r.text or "")) for r in docs.collect()}
+    want = {i: {} for i in rows}
+    for k, (name, rate) in enumerate((("good", evidence.good_rate), ("toxic", evidence.toxic_rate))):
+        p = {i: sigmoid(r[2 + k] + logit(rate)) for i, r in rows.items()}
+        group = lambda key: {g: [p[i] for i, r in rows.items() if key(r) == g] for g in {key(r) for r in rows.values()}}  # noqa: E731, B023
+        sites, paths = group(lambda r: r[0]), group(lambda r: r[:2])
+        n, mean = len(p), min(max(sum(p.values()) / len(p), 1e-3), 1 - 1e-3)
+        average = lambda x: sum(x) / len(x)
+        between = sum(len(x) * average(x) ** 2 for x in sites.values()) / n - mean**2
+        inside = sum(len(x) * (average(x) - average(sites[g[0]])) ** 2 for g, x in paths.items()) / n
+        a, b = (min(max(mean * (1 - mean) / max(v, 1e-9) - 1, 1.0), 1000.0) for v in (between, inside))
+        for i, r in rows.items():
+            site = (a * mean + sum(sites[r[0]])) / (a + len(sites[r[0]]))
+            path = (b * site + sum(paths[r[:2]])) / (b + len(paths[r[:2]]))
+            want[i] |= {f"p_{name}": p[i], f"{name}_site": site, f"{name}_path": path, f"{name}_posterior": sigmoid(r[2 + k] + logit(path))}
+    for r in quality.report(docs, labels).collect():
+        w = want[r.doc_id]
+        for c in ("p_good", "good_site", "good_path", "p_toxic", "toxic_site", "toxic_path", "toxic_posterior"):
+            assert abs(r[c] - w[c]) < 2e-6, (r.doc_id, c)
+        assert abs(r.quality_posterior - w["good_posterior"]) < 2e-6 and r.rejected == (w["good_posterior"] < 0.5 or w["toxic_posterior"] > 0.5)
+
+
 def test_quality_takes_features_of_a_fourfold_rate(spark):
     rows = [(i, f"uno{i} " + ("marker" if i % 200 < (80 if i < 200 else 20) else "")) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i >= 200), 0) for i in range(400)], "doc_id long, quality int, toxic int")
@@ -241,6 +269,28 @@ def test_jpeg_round_trip_and_digests(docs, odd, none):
     assert jpeg.report(odd).count() == 8 and jpeg.report(none).count() == 0
 
 
+def test_jpeg_stored_form_and_feature(docs):
+    """The stored bytes are those of the writer, and the feature is the size and hash of the thumbnail
+    that plain loops give."""
+    few = docs.where("doc_id % 40 = 0")
+    raw = {r.doc_id: (r.text or "").encode() for r in few.collect()}
+    for r in jpeg.report(few).collect():
+        n = len(raw[r.doc_id])
+        padded = raw[r.doc_id] + bytes(-n % 64 if n else 64)
+        (media,) = jpeg.write_payloads([padded])
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        wide, high = (int(x) // 8 for x in r.feature.split(":")[0].split("x"))
+        assert wide * high == len(padded)
+        cells = []
+        for y in range(8):
+            for x in range(8):
+                rows = range(math.floor(y * high / 8), max(math.ceil((y + 1) * high / 8), 1))
+                cols = range(math.floor(x * wide / 8), max(math.ceil((x + 1) * wide / 8), 1))
+                cells.append(sum(padded[j * wide + i] for j in rows for i in cols) / (len(rows) * len(cols)))
+        mean = sum(cells) / 64
+        assert int(r.feature.split(":")[1], 16) == sum(1 << (63 - i) for i, c in enumerate(cells) if c > mean)
+
+
 def test_jpeg_of_all_levels_and_many_blocks():
     rng = np.random.default_rng(2)
     payloads = [bytes(64), bytes(range(256)), rng.bytes(64 * 9000), b"\xff" * 640]
@@ -341,6 +391,14 @@ def test_substrings_against_brute_force(spark, docs, most):
         assert by_id(got, *columns) == slow_substrings(rows)
 
 
+def test_reference_shards_give_the_runs_of_one(spark):
+    rows = planted(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ref = spark.createDataFrame([(t,) for _, t in planted(7)[:20]] + [(None,), ("",)], "text string")
+    one, many = (sorted(set(map(tuple, substring.match_reference(df, ref, 6, size).collect()))) for size in (1 << 20, 4000))
+    assert one and one == many
+
+
 def test_substrings_odd_rows(odd, none):
     got = substring.report(odd).collect()
     assert len(got) == 8 and {r.n_words for r in got if r.doc_id in (1, 2, 4)} == {0}
@@ -559,3 +617,40 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in last.select("doc_id").collect()} == before and len(before) > 500
     classes = simhash.near_duplicates(docs)
     assert classes.where("doc_id <> component_id").count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_take_odd_and_no_rows(spark, odd, none, k):
+    """Nulls in any column, long and empty texts, repeated rows, clashing columns, an empty table: a
+    stage keeps its columns (the last gives its own) and drops no clean row."""
+    import corpus_pipeline as p
+
+    stage, columns = p.STAGES[k][1], ["doc_id", "ids", "n_tokens", "ids_sha256"]
+    got = stage(spark, odd, SF)
+    assert got.columns == (columns if k == 4 else odd.columns)
+    kept = sorted((r.doc_id for r in got.select("doc_id").collect()), key=str)
+    every = sorted((r.doc_id for r in odd.select("doc_id").collect()), key=str)
+    if k in (1, 3, 4):
+        assert kept == every
+    else:
+        assert set(kept) <= set(every) and (k == 0 or None in kept)
+    assert stage(spark, none, SF).count() == 0
+    plain = stage(spark, odd.select(*none.columns), SF)
+    assert plain.columns == (columns if k == 4 else none.columns) and sorted((r.doc_id for r in plain.select("doc_id").collect()), key=str) == kept
+
+
+def test_pipeline_decisions(spark):
+    """Each stage's rows against its operator's own report on the same input."""
+    import corpus_pipeline as p
+
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    f = dict(p.STAGES)
+    assert ids(f["quality classifier"](spark, docs, SF)) == ids(quality.report(docs, labels).where("NOT rejected"))
+    line = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in f["line dedup"](spark, docs, SF).collect()}
+    assert line == {r.doc_id: r.kept_sha256 for r in lines.report(docs).collect()}
+    near = simhash.near_duplicates(docs)
+    assert ids(f["SimHash near-dedup"](spark, docs, SF)) == ids(near.where("doc_id = component_id"))
+    assert ids(f["benchmark decontamination"](spark, docs, SF)) == ids(decontaminate.report(docs, bench).where("NOT contaminated"))
+    want = bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
+    assert by_id(f["byte-level BPE encoding and decoding"](spark, docs, SF), "n_tokens", "ids_sha256") == by_id(want, "n_tokens", "ids_sha256")
