@@ -193,7 +193,7 @@ class StretchMemo:
         # a part with a line feed begins with it: the space before it is not the text's
         parts = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " \n"), " ")
         coded = parts.flatten().dictionary_encode()
-        names, codes, rows = coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy()[:-1]
+        names, codes, rows = coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy()[:-1].copy()
         opens, closes = (pc.match_substring_regex(names, x).to_numpy(zero_copy_only=False) for x in (rf"^\n?([{WHITE}]|$)", rf"(^|[{WHITE}])$"))
         feed = pc.starts_with(names, "\n")
         is_feed = feed.to_numpy(zero_copy_only=False)
@@ -201,7 +201,7 @@ class StretchMemo:
         cut = np.concatenate(([True], ~(closes[codes[:-1]] | opens[codes[1:]])))
         cut[rows] = True
         starts = np.flatnonzero(cut)
-        sizes, code = np.diff(np.concatenate((starts, [len(codes)]))), codes[starts].astype(np.int64)
+        sizes, code = np.diff(np.concatenate((starts, [len(codes)]))), codes[starts]
         head = np.searchsorted(starts, rows)
         own = np.unique(np.concatenate((head, np.flatnonzero(sizes > 1))))  # first in a text, or of several parts
         is_head = np.zeros(len(starts), bool)
@@ -216,6 +216,7 @@ class StretchMemo:
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), texts), "")
         fed = np.concatenate((is_feed, is_feed[codes[starts[own]]] & ~is_head[own]))
         code[own] = len(names) + np.arange(len(own))
+        del codes, coded, parts, cut, starts, sizes, is_head  # the largest arrays of a batch
         strings = pa.concat_arrays([bare, texts])
         used = np.flatnonzero(np.bincount(code, minlength=len(strings)))
         strings = strings.take(pa.array(used))
@@ -225,13 +226,13 @@ class StretchMemo:
         mark = np.full(len(used), -1)
         mark[marked.to_numpy(zero_copy_only=False)] = place[len(used) :]
         lists = pa.concat_arrays([self.ids, self.line_feed])
-        at = np.empty(len(fed), np.int64)
+        at = np.empty(len(fed), np.int32)
         at[used] = np.arange(len(used))
-        at, has_feed = at[code], fed[code].astype(np.int64)
+        at, has_feed = at[code], fed[code].astype(np.int8)
         has_mark = mark[at] >= 0
         items = 1 + has_feed + has_mark
-        begin = np.cumsum(items) - items
-        order = np.full(int(items.sum()), len(self.ids), np.int64)
+        begin = np.cumsum(items, dtype=np.int32) - items
+        order = np.full(int(items.sum()), len(self.ids), np.int32)
         order[begin + has_feed] = place[at]
         order[begin[has_mark] + has_feed[has_mark] + 1] = mark[at[has_mark]]
         counts = np.add.reduceat(pc.list_value_length(lists).to_numpy()[order].astype(np.int64), begin[head])

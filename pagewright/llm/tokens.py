@@ -217,7 +217,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
             matrix = WaveletMatrix.build(all_ids, bits)
             return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "shard": shard, "n_tokens": len(all_ids), "doc_ids": names, "counts": counts, "bits": bits, "planes": matrix.dump()}], schema=_SHARD)
 
-        for b in slices(batches, 4000):
+        for b in slices(batches, 6000, 12 << 20):
             found, sizes = encode_texts(b.column(1), held.value, end_id)
             names += b.column(0).to_pylist()
             counts += sizes.tolist()
