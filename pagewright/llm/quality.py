@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, slices, texts, widened
+from pagewright.llm.common import discard, materialize, slices, texts, widened
 
 #: Labelled documents that the evidence is fitted on at most, taken by a hash of doc_id.
 SAMPLE_ROWS = 8_000
 #: A feature counts if this share of the labelled documents, and so many at least, have it, and
 #: its z score is at least this.
 MIN_SHARE, MIN_DOCUMENTS, MIN_Z = 0.002, 5, 6.0
-MAX_FEATURES = 50_000
+BROADCAST_PATHS = 100_000  # rows of path rates that are broadcast at most; more are joined
 STRENGTH = (1.0, 1000.0)  # bounds of the pseudo-documents of a prior
 _STRIP = "\"'()[]{}<>.,;:!?"
 _WORD_CACHE: dict[str, tuple[str, ...]] = {}
@@ -114,9 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
         names = list(every)
         yield pa.record_batch([pa.array(names, pa.string())] + [pa.array([c[f] for f in names], pa.int64()) for c in (every, bad, toxic)], names=["feature", "n", "bad", "toxic"])
 
-    sums = rows.select("doc_id", "text", "quality", "toxic").mapInArrow(count, "feature string, n long, bad long, toxic long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic")))
-    frequent = sums.where((F.col("n") >= MIN_DOCUMENTS) | (F.col("feature") == "")).orderBy(F.col("n").desc(), "feature").limit(MAX_FEATURES).collect()
-    total = next(((r.n, r.bad, r.toxic) for r in frequent if r.feature == ""), (0, 0, 0))
+    counts = rows.select("doc_id", "text", "quality", "toxic").mapInArrow(count, "feature string, n long, bad long, toxic long")
+    sums = materialize(counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic"))), "features")
+    total = tuple(sums.where("feature = ''").select("n", "bad", "toxic").first() or (0, 0, 0))
+    # bounded by the sample: each of these is in a MIN_SHARE of its documents
+    frequent = sums.where((F.col("n") >= max(MIN_DOCUMENTS, MIN_SHARE * total[0])) & (F.col("feature") != "")).collect()
+    discard(sums)
 
     def clear(n: int, k: int, n_class: int) -> bool:
         """Whether a feature's rate in a class is clearly another than in the rest."""
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
         spread = np.sqrt(max(p * (1 - p), 1 / total[0]) * (1 / n_class + 1 / rest))
         return abs(a - b) / spread >= MIN_Z and max(a, b) > 3 * min(a, b)
 
-    chosen = sorted(r.feature for r in frequent if r.feature and r.n >= MIN_SHARE * total[0] and (clear(r.n, r.bad, total[1]) or clear(r.n, r.toxic, total[2])))
+    chosen = sorted(r.feature for r in frequent if (clear(r.n, r.bad, total[1]) or clear(r.n, r.toxic, total[2])))
     index = {f: i for i, f in enumerate(chosen)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,7 @@ def _rates(scored: DataFrame, evidence: Evidence) -> DataFrame:
 
 def _scored(docs: DataFrame, evidence: Evidence) -> DataFrame:
     """docs with site, path, evidence of good quality and of toxicity."""
-    held = docs.sparkSession.sparkContext.broadcast((evidence.weights, evidence.good_rate, evidence.toxic_rate, evidence.base))  # at most MAX_FEATURES
+    held = docs.sparkSession.sparkContext.broadcast((evidence.weights, evidence.good_rate, evidence.toxic_rate, evidence.base))  # as many weights as fit() chose features
     new = ["e_good", "e_toxic"]
     at = docs.columns.index("text")
     built: list[Evidence] = []
@@ -226,7 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> Data
     scored = _scored(docs, evidence).withColumns(place).withColumns(base)
     scored = materialize(scored if keep_text else scored.drop("text"), "scores")
     rates = materialize(_rates(scored, evidence), "rates")
-    full = scored.join(rates, ["site", "path"])
+    full = scored.join(F.broadcast(rates) if rates.count() <= BROADCAST_PATHS else rates, ["site", "path"])
     good = _sigmoid(F.col("e_good") + _logit(F.col("good_path")))
     toxic = _sigmoid(F.col("e_toxic") + _logit(F.col("toxic_path")))
     out = full.withColumn("quality_posterior", good).withColumn("toxic_posterior", toxic)
@@ -239,5 +242,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, site, path, the probabilities and posteriors of every row, rounded, and rejected. Odd
+    rows as in classify()."""
     c = classify(docs.select("doc_id", "source", "lang", "text"), labels, keep_text=False)
     return c.select(F.col("doc_id").cast("long").alias("doc_id"), "site", "path", *(F.round(x, 6).alias(x) for x in ("p_good", "p_toxic", "good_site", "good_path", "toxic_site", "toxic_path", "quality_posterior", "toxic_posterior")), "rejected")
