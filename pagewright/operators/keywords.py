@@ -23,7 +23,9 @@ def keyword_density(facts: DataFrame) -> DataFrame:
     words = F.filter(letter_words(F.col("density_text")), lambda w: ~w.isin(*STOP_WORDS))
     h1 = F.lower(F.array_join(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"]), " "))
     p = facts.select("url", words.alias("words"), F.lower(F.coalesce("title", F.lit(""))).alias("title"), h1.alias("h1"))
-    rows = p.select("url", "title", "h1", F.size("words").alias("total_words"), F.size(F.array_distinct("words")).alias("unique_words"), F.posexplode("words").alias("pos", "keyword"))
+    # both numbers are taken before unfolding, once a page
+    p = p.select("*", F.size("words").alias("total_words"), F.size(F.array_distinct("words")).alias("unique_words"))
+    rows = p.select("url", "title", "h1", "total_words", "unique_words", F.posexplode("words").alias("pos", "keyword"))
     c = rows.groupBy("url", "keyword").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"), *(F.first(x).alias(x) for x in ("total_words", "unique_words", "title", "h1")))
     return c.select("url", "keyword", "count", half_even(100 * F.col("count") / F.col("total_words"), 2).alias("density"), "first_pos", "total_words", "unique_words", F.contains("title", F.col("keyword")).alias("in_title"), F.contains("h1", F.col("keyword")).alias("in_h1"))
 
