@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, decontaminate, html, jpeg, lines, quality, simhash, substring, tokens, warc
+from pagewright.llm import bpe, decontaminate, html, jpeg, lines, quality, rules, simhash, substring, tokens, warc
 from pagewright.llm.common import table
 
 
@@ -74,16 +74,45 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, line rules and verdicts of every document."""
+    return rules.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_simhash, op3_wavelet_tokens, op4_bpe, op5_quality, op6_jpeg, op7_substring_dedup, op8_decontaminate, op9_main_text, op10_line_dedup)
+    for f in (op1_warc_derivatives, op2_simhash, op3_wavelet_tokens, op4_bpe, op5_quality, op6_jpeg, op7_substring_dedup, op8_decontaminate, op9_main_text, op10_line_dedup, op13_line_rules)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER.format('coalesce(text, chr(10))')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_CLOSING = rules.CLOSING.replace("'", "''")
+_SPACE = r"\x20\x09-\x0D"
+
+
+def _marks(marks: str) -> str:
+    return f"(length(line) - length(translate(line, '{marks}', '')))"
+
+
 ORACLE_SQL = {
+    "op13_line_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS s FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+repeated AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM repeated, unnest(range(3)) AS u(k) GROUP BY doc_id),
+l AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM d), unnest(range(1, len(s) + 1)) AS t(i)),
+n AS (SELECT *, len(regexp_extract_all(line, '[^{_SPACE}]+')) AS n FROM l),
+f AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN {_marks(rules.MENU_MARKS)} >= 3 AND 100 * {_marks(rules.MENU_MARKS)} >= {rules.MENU_SHARE} * n THEN 2 WHEN regexp_matches(lower(line), '{"|".join(rules.PHRASES)}') THEN 3
+  WHEN NOT regexp_matches(line, '[{rules.ENDS}][{_CLOSING}{_SPACE}]*\z') AND (n < {rules.LONG_LINE} OR NOT regexp_matches(line, '[{rules.ENDS}][{_CLOSING}]*[{_SPACE}]')) THEN 1
+  WHEN 100 * {_marks(rules.SYMBOLS)} > {rules.SYMBOL_SHARE} * n OR 100 * {_marks("!")} > {rules.SHOUT_SHARE} * greatest(n, {rules.LONG_LINE}) THEN 1 ELSE 0 END AS failed FROM n),
+s AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (failed = 1)::BIGINT AS n_punctuation, count(*) FILTER (failed = 2)::BIGINT AS n_navigation, count(*) FILTER (failed = 3)::BIGINT AS n_boilerplate,
+  (count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0))::BIGINT AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[{_SPACE}]+', '', 'g'))) FILTER (failed > 0), 0)::BIGINT AS lost_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (failed = 0), '')) AS clean_sha256 FROM f GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '{rules.SYMBOLS}', '')))::BIGINT AS n_symbols, n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_lines, n_punctuation, n_navigation, n_boilerplate, lost_chars, clean_sha256 FROM d JOIN s ON d.doc_id = s.doc_id LEFT JOIN covered ON d.doc_id = covered.doc_id)
+SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= {rules.MAX_LOST} * word_chars AS kept FROM c""",
     "op7_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+19], ' ')) AS h FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
