@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, decontaminate, html, jpeg, lines, quality, rules, simhash, substring, tokens, warc
+from pagewright.llm import bpe, decontaminate, html, jpeg, lines, quality, rules, simhash, substring, tokens, warc, whitening
 from pagewright.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every embedding."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, line rules and verdicts of every document."""
     return rules.report(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_simhash, op3_wavelet_tokens, op4_bpe, op5_quality, op6_jpeg, op7_substring_dedup, op8_decontaminate, op9_main_text, op10_line_dedup, op13_line_rules)
+    for f in (op1_warc_derivatives, op2_simhash, op3_wavelet_tokens, op4_bpe, op5_quality, op6_jpeg, op7_substring_dedup, op8_decontaminate, op9_main_text, op10_line_dedup, op12_whitening, op13_line_rules)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
