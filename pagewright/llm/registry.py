@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, decontaminate, html, jpeg, lines, quality, rules, simhash, substring, tokens, warc, whitening
+from pagewright.llm import bpe, decontaminate, html, jpeg, lines, quality, ranking, rules, simhash, substring, tokens, warc, whitening
 from pagewright.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest-scoring documents of every benchmark item."""
+    return ranking.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened values of every embedding."""
     return whitening.report(table(spark, sf_dir, "embeddings"))
@@ -86,7 +91,7 @@ def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_simhash, op3_wavelet_tokens, op4_bpe, op5_quality, op6_jpeg, op7_substring_dedup, op8_decontaminate, op9_main_text, op10_line_dedup, op12_whitening, op13_line_rules)
+    for f in (op1_warc_derivatives, op2_simhash, op3_wavelet_tokens, op4_bpe, op5_quality, op6_jpeg, op7_substring_dedup, op8_decontaminate, op9_main_text, op10_line_dedup, op11_ranked_search, op12_whitening, op13_line_rules)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -101,7 +106,17 @@ def _marks(marks: str) -> str:
     return f"(length(line) - length(translate(line, '{marks}', '')))"
 
 
+_TERMS = rf"regexp_extract_all({_LOWER.format('coalesce(text, chr(10))')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op11_ranked_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), s AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS length FROM d),
+b AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+score AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score FROM b JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50""",
     "op13_line_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS s FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
