@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import half_even, normalize_text
+from pagewright.operators.redirects import redirect_chains
 from pagewright.operators.robots import robots_allowed
 from pagewright.sources.derived import CTR_CURVE
 from pagewright.sources.durable import durable, union_all
@@ -76,27 +77,6 @@ def ttfb(fetches: DataFrame) -> DataFrame:
     return fetches.select("url", "ttfb_ms", F.when(t < 500, "pass").when(t < 800, "warning").otherwise("fail").alias("verdict"))
 
 
-def redirect_chains(fetches: DataFrame) -> DataFrame:
-    """Follow each url that redirects: hops, final url, codes, loop, step to https, issues. Each round
-    is one equi-join on the next url and is written out; the active set shrinks by the chains that
-    end. A chain ends at a url without a redirect, or one it has seen, so the rounds end too."""
-    hop = fetches.where("location IS NOT NULL").select(F.col("url").alias("at"), F.col("location").alias("next"), F.col("status").cast("string").alias("code"))
-    active = durable(fetches.where("location IS NOT NULL").select("url", F.col("location").alias("at"), F.array(F.col("status").cast("string")).alias("codes"), F.array("url").alias("seen")))
-    done = []
-    while not active.isEmpty():
-        loop = F.array_contains("seen", F.col("at"))
-        step = durable(active.withColumn("is_loop", loop).join(hop, "at", "left"))
-        done.append(step.where("is_loop OR next IS NULL").select("url", F.col("at").alias("final_url"), "codes", "is_loop"))
-        active = durable(step.where("NOT is_loop AND next IS NOT NULL").select("url", F.col("next").alias("at"), F.array_append("codes", F.col("code")).alias("codes"), F.array_append("seen", F.col("at")).alias("seen")))
-    if not done:
-        done = [active.select("url", F.col("at").alias("final_url"), "codes", F.lit(False).alias("is_loop"))]
-    out = union_all(done).withColumn("hops", F.size("codes"))
-    to_https = F.startswith("url", F.lit("http://")) & F.startswith("final_url", F.lit("https://"))
-    issues = F.concat_ws("; ", F.when(F.col("hops") >= 3, "long chain"), F.when(F.array_contains("codes", "302"), "temporary redirect"), F.when(~to_https & F.array_contains("codes", "301") & (F.col("hops") >= 2), "several permanent redirects"))
-    verdict = F.when(F.col("is_loop") | (F.col("hops") >= 2), "fail").otherwise("warning")
-    return out.select("url", "final_url", "hops", F.array_join("codes", ">").alias("codes"), "is_loop", to_https.alias("to_https"), issues.alias("issues"), verdict.alias("verdict"))
-
-
 def canonical_loop(canonicals: DataFrame, max_hops: int = 5) -> DataFrame:
     """Follow canonical links (url, canonical) of pages for max_hops: verdict, end of the chain and
     its hops. Each hop is a left join in one plan; rows that have ended carry a null key along."""
@@ -261,17 +241,41 @@ def sitemap_coverage(entries: DataFrame, pages: DataFrame, links: DataFrame | No
     return out
 
 
-def rank_tracker(serp: DataFrame, targets: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
+def _grams(c: Column, length: Column) -> Column:
+    """Distinct parts of a text of a length; a shorter text has none."""
+    starts = F.sequence(F.lit(1), F.length(c) - length + 1)
+    return F.when(F.length(c) >= length, F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, length)))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, needles: DataFrame, gram: int = 8) -> DataFrame:
+    """Pairs (text, needle) of distinct texts and the needles they contain, by an inverted index.
+
+    A needle is looked up by one of its parts of gram characters (itself, if it is shorter): the one
+    that fewest texts have. Texts meet that index on equal parts, and the pairs found are then held
+    against each other. A needle with a part that no text has is in none.
+    """
+    names = needles.select("needle").where("needle <> ''").distinct().withColumn("q", F.least(F.length("needle"), F.lit(gram)))
+    keys = durable(names.select("needle", "q", F.explode(_grams(F.col("needle"), F.col("q"))).alias("gram")))
+    sizes = [r[0] for r in keys.select("q").distinct().collect()]  # gram at most
+    every = F.array_distinct(F.flatten(F.array(*(_grams(F.col("text"), F.lit(q)) for q in sizes)))) if sizes else F.array().cast("array<string>")
+    parts = texts.select("text").distinct().select("text", F.explode(every).alias("gram"))
+    found = durable(parts.join(keys.select("gram").distinct(), "gram", "left_semi"))
+    seen = keys.join(found.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = seen.groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("r")).where("r.n > 0").select("needle", "r.gram")
+    return found.join(rarest, "gram").where(F.contains("text", F.col("needle"))).select("text", "needle")
+
+
+def rank_tracker(serp: DataFrame, targets: DataFrame, gram: int = 8, buckets: int = 64) -> DataFrame:
     """Best rank of each target's domain for each keyword, by substring of the link; keywords without
-    a hit have a null rank. Targets are counted: a short list is broadcast, a longer one is taken in
-    parts of that length."""
+    a hit have a null rank. Every target is reported with every keyword, so targets are dealt into
+    buckets, and each bucket meets the keywords once."""
     names = targets.select("domain").where("domain <> ''").distinct()
-    parts = -(-names.count() // max_broadcast) or 1
-    hits = [serp.join(F.broadcast(names.where(F.pmod(F.xxhash64("domain"), F.lit(2 * parts)) == i) if parts > 1 else names), F.contains("link", F.col("domain"))) for i in range(2 * parts if parts > 1 else 1)]
-    ranks = union_all([h.groupBy("domain", "keyword").agg(F.min("rank").alias("rank")) for h in hits])
-    # every target with every keyword of the results: that table is the report itself
-    wanted = names.join(serp.select("keyword").distinct())
-    all_ = wanted.join(ranks, ["domain", "keyword"], "left")
+    hits = containing(serp.select(F.col("link").alias("text")), names.select(F.col("domain").alias("needle")), gram)
+    best = serp.groupBy("link", "keyword").agg(F.min("rank").alias("rank"))
+    ranks = hits.select(F.col("text").alias("link"), F.col("needle").alias("domain")).join(best, "link").groupBy("domain", "keyword").agg(F.min("rank").alias("rank"))
+    bucket = F.pmod(F.xxhash64("domain"), F.lit(buckets)).cast("int")
+    keywords = serp.select("keyword").distinct().select("keyword", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    all_ = names.withColumn("bucket", bucket).join(keywords, "bucket").drop("bucket").join(ranks, ["domain", "keyword"], "left")
     return all_.withColumn("in_top_10", F.coalesce(F.col("rank") <= 10, F.lit(False))).withColumn("in_top_3", F.coalesce(F.col("rank") <= 3, F.lit(False)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import headers, links, robots, search
+from pagewright.operators import headers, links, redirects, robots, search
 from pagewright.operators.facts import extract_facts
 from pagewright.plans.base import even, over, query
 from pagewright.plans.page_queries import rich_facts
@@ -104,6 +104,27 @@ query(
     over("fetch_attempts", sql=", s AS (SELECT url, coalesce(arg_min(status, attempt) FILTER (status < 500), arg_min_null(status, attempt)) AS status FROM fetch_attempts GROUP BY url) SELECT url, status, CASE WHEN status IS NULL THEN 'error' WHEN status = 200 THEN 'pass' WHEN status IN (301, 302, 307, 308) THEN 'warning' WHEN status IN (404, 410) OR status >= 500 THEN 'fail' ELSE 'warning' END AS verdict FROM s"),
 )(lambda s, d: links.http_status(derived(s, d, "fetch_attempts")))
 
+# chains over a log where a url in a hundred ends or loops back 49 hops
+
+_long_log, _LONG_LOG = made(
+    "customer",
+    "concat(CASE WHEN c_custkey % 3 = 0 THEN 'http' ELSE 'https' END, '://l.example/', c_custkey) AS url;cast(CASE WHEN c_custkey % 100 = 99 AND c_custkey % 200 < 100 THEN 200 WHEN c_custkey % 7 = 0 THEN 302 ELSE 301 END AS int) AS status;"
+    "CASE WHEN c_custkey % 100 < 99 THEN concat(CASE WHEN (c_custkey + 1) % 3 = 0 THEN 'http' ELSE 'https' END, '://l.example/', c_custkey + 1) WHEN c_custkey % 200 >= 100 THEN concat(CASE WHEN (c_custkey - 49) % 3 = 0 THEN 'http' ELSE 'https' END, '://l.example/', c_custkey - 49) END AS location",
+)
+
+
+def _report_sql(log: str) -> str:
+    return f"""WITH RECURSIVE crawl_log AS ({log}), c AS (SELECT url, location AS cur, [cast(status AS VARCHAR)] AS codes, [url] AS seen, list_contains([url], location) AS loops FROM crawl_log WHERE location IS NOT NULL
+UNION ALL SELECT c.url, l.location, list_append(c.codes, cast(l.status AS VARCHAR)), list_append(c.seen, c.cur), list_contains(list_append(c.seen, c.cur), l.location) FROM c JOIN crawl_log l ON l.url = c.cur WHERE l.location IS NOT NULL AND NOT c.loops),
+e AS (SELECT url, arg_max(cur, len(codes)) AS final_url, max(len(codes)) AS hops, arg_max(codes, len(codes)) AS codes, arg_max(list_append(seen, cur), len(codes)) AS chain, bool_or(loops) AS is_loop FROM c GROUP BY url),
+r AS (SELECT url, final_url, hops::INT AS hops, array_to_string(chain, ' > ') AS chain, array_to_string(codes, '>') AS codes, is_loop, regexp_matches(array_to_string(chain, ' > '), '(^|> )http://[^ ]* > https://') AS mixed_scheme FROM e
+UNION ALL SELECT url, url, 0, url, '', false, false FROM crawl_log WHERE location IS NULL)
+SELECT *, CASE WHEN is_loop OR hops >= 2 THEN 'fail' WHEN hops = 1 THEN 'warning' ELSE 'pass' END AS verdict FROM r"""
+
+
+query("redirect_report", _report_sql(input_sql("crawl_log")))(lambda s, d: redirects.redirect_report(derived(s, d, "crawl_log")))
+query("redirect_report_long", _report_sql(_LONG_LOG))(lambda s, d: redirects.redirect_report(_long_log(s, d)))
+
 # headers
 
 _LOG = (
