@@ -22,20 +22,40 @@ def recent_failures(attempts: DataFrame, as_of: str, window_s: int = 900, limit:
     return attempts.where(~F.col("success") & (F.col("ts") >= since) & (F.col("ts") <= F.to_timestamp(F.lit(as_of)))).groupBy("username").agg(F.count("*").alias("failures")).withColumn("locked", F.col("failures") >= limit)
 
 
-def lockout_history(attempts: DataFrame, window_s: int = 900, limit: int = 5) -> DataFrame:
-    """Failures of the user in the seconds before each attempt, the attempt itself left out."""
-    rows = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("username").orderBy("us").rangeBetween(-window_s * 1_000_000, 0)
-    before = F.count_if(~F.col("success")).over(w) - (~F.col("success")).cast("int")
-    return rows.select("id", "username", before.alias("failures_before"), (before >= limit).alias("locked"))
-
-
-def novel_login(attempts: DataFrame, memory: int = 30) -> DataFrame:
-    """Successful logins from an address and agent not among the user's last successes."""
-    w = Window.partitionBy("username").orderBy("ts", "id").rowsBetween(-memory, -1)
-    pair = F.concat_ws(" ", "ip", "user_agent")
-    ok = attempts.where("success").withColumn("pair", pair)
-    return ok.withColumn("novel", ~F.array_contains(F.collect_set("pair").over(w), F.col("pair"))).select("id", "username", "novel")
+def lockout_history(attempts: DataFrame, window_s: int = 900, limit: int = 5, span: int = 4) -> DataFrame:
+    """Failures of the user in the seconds before each attempt, the attempt itself left out.
+
+    A user's log is cut into buckets of span windows of time. Failures within a window of a bucket's
+    end go to the next one too, where they are counted but give no row. So a user with most of all
+    rows spreads over as many tasks as there are buckets.
+    """
+    window, bucket = window_s * 1_000_000, span * window_s * 1_000_000
+    failed = ~F.col("success")
+    rows = attempts.select("id", "username", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), failed.alias("failed")).withColumn("bucket", F.floor(F.col("us") / bucket))
+    near = F.col("failed") & (F.col("us") >= (F.col("bucket") + 1) * bucket - window)
+    dealt = rows.select("id", "username", "us", "failed", F.posexplode(F.when(near, F.array(F.col("bucket"), F.col("bucket") + 1)).otherwise(F.array("bucket"))).alias("again", "bucket"))
+    w = Window.partitionBy("username", "bucket").orderBy("us").rangeBetween(-window, 0)
+    before = F.count_if("failed").over(w) - F.col("failed").cast("int")
+    return dealt.withColumn("failures_before", before).where("again = 0").select("id", "username", "failures_before", (F.col("failures_before") >= limit).alias("locked"))
+
+
+def novel_login(attempts: DataFrame, memory: int = 30, bucket_s: int = 86_400) -> DataFrame:
+    """Successful logins from an address and agent not among the user's last successes.
+
+    A user's successes are cut into buckets of time. Each bucket keeps its last memory logins; from
+    those of the buckets before, the last memory are carried in front of a bucket. The window over a
+    whole user has one row a bucket.
+    """
+    ok = attempts.where("success").select("id", "username", "ts", F.concat_ws(" ", "ip", "user_agent").alias("pair"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_s).alias("bucket"))
+    own = Window.partitionBy("username", "bucket")
+    last = ok.withColumn("nth", F.row_number().over(own.orderBy(F.col("ts").desc(), F.col("id").desc()))).where(F.col("nth") <= memory)
+    kept = last.groupBy("username", "bucket").agg(F.collect_list(F.struct("ts", "id", "pair")).alias("last"))
+    buckets_before = Window.partitionBy("username").orderBy("bucket").rowsBetween(-memory, -1)  # each has a login
+    carried = kept.withColumn("before", F.sort_array(F.flatten(F.collect_list("last").over(buckets_before))))
+    carried = carried.select("username", "bucket", F.inline(F.slice("before", F.greatest(F.size("before") - memory + 1, F.lit(1)), F.lit(memory))))
+    rows = ok.withColumn("own", F.lit(True)).unionByName(carried.withColumn("own", F.lit(False)))
+    seen = F.collect_set("pair").over(own.orderBy("ts", "id").rowsBetween(-memory, -1))
+    return rows.withColumn("novel", ~F.array_contains(seen, F.col("pair"))).where("own").select("id", "username", "novel")
 
 
 def _history(attempts: DataFrame, success: bool | None, username: str | None) -> DataFrame:

@@ -46,15 +46,22 @@ def robots_rules(lines: DataFrame) -> DataFrame:
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """Verdict of each page: the agent's own block if its host has one, else that of all agents;
-    the first rule in file order whose path begins the page's path decides."""
-    own = rules.where(F.lower("user_agent").isin(agent.lower(), "*")).withColumn("own", F.lower("user_agent") == agent.lower())
-    has = own.groupBy("host").agg(F.max("own").alias("any_own"))
-    used = own.join(has, "host").where("own = any_own").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("block", "rule_idx", "path", "allow"))).alias("rules"))
+    the first rule in file order whose path begins the page's path decides.
+
+    A page is joined with the rules by its own prefixes, of those lengths that its host's rules have.
+    So its cost follows the length of its path, not the number of rules, and no host's rules or pages
+    come together in one task.
+    """
+    own = rules.where(F.lower("user_agent").isin(agent.lower(), "*") & (F.col("path") != "")).withColumn("own", F.lower("user_agent") == agent.lower())
+    any_own = rules.where(F.lower("user_agent").isin(agent.lower(), "*")).groupBy("host").agg(F.max(F.lower("user_agent") == agent.lower()).alias("any_own"))
+    used = own.join(any_own, "host").where("own = any_own").groupBy("host", "path").agg(F.min(F.struct("block", "rule_idx", "allow")).alias("rule"))
+    lengths = used.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
     rest = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     path = F.when(rest == "", "/").when(F.startswith(rest, F.lit("?")), F.concat(F.lit("/"), rest)).otherwise(rest)
-    j = pages.withColumn("host", urls.netloc(F.col("url"))).join(used, "host", "left")
-    first = F.get(F.filter("rules", lambda r: (r["path"] != "") & F.startswith(path, r["path"])), 0)["allow"]
-    return j.select("url", F.coalesce(first, F.lit(True)).alias("allowed"))
+    seen = pages.select("url").distinct().select("url", urls.netloc(F.col("url")).alias("host"), path.alias("page_path")).join(lengths, "host")
+    prefixes = seen.select("url", "host", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("page_path")), lambda n: F.substring(F.col("page_path"), F.lit(1), n))).alias("path"))
+    first = prefixes.join(used, ["host", "path"]).groupBy("url").agg(F.min("rule").alias("rule"))
+    return pages.select("url").join(first, "url", "left").select("url", F.coalesce("rule.allow", F.lit(True)).alias("allowed"))
 
 
 def robots_check(pages: DataFrame, docs: DataFrame) -> DataFrame:

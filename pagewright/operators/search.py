@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import half_even
+from pagewright.operators.places import LARGE_GROUP, with_place
 from pagewright.sources.derived import CTR_CURVE
 
 
@@ -67,7 +68,7 @@ def daily_positions(rows: DataFrame) -> DataFrame:
 
 def position_decay(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Pages whose mean daily position grew by the threshold from the first half of their days to
-    the second; halves need five days."""
+    the second; halves need five days. The window is over days, not rows: a page has one row a day."""
     w = Window.partitionBy("page")
     ranked = daily_positions(rows).withColumn("rn", F.row_number().over(w.orderBy("date"))).withColumn("half", F.floor(F.count("*").over(w) / 2))
     p = ranked.where("half >= 5").groupBy("page").agg(F.avg(F.when(F.col("rn") <= F.col("half"), F.col("position"))).alias("a"), F.avg(F.when(F.col("rn") > F.col("half"), F.col("position"))).alias("b"), F.sum("clicks").alias("total_clicks"))
@@ -93,17 +94,19 @@ def keyword_cannibalization(rows: DataFrame, min_impressions: int = 50) -> DataF
     return q.where("n_pages >= 2").withColumn("action", F.when(F.col("n_pages") >= 3, "consolidate").otherwise("differentiate"))
 
 
-def cannibal_rank(rows: DataFrame, min_impressions: int = 50) -> DataFrame:
-    return _query_pages(rows, min_impressions).select("query", "page", "position", F.row_number().over(Window.partitionBy("query").orderBy("position", "page")).alias("place"))
+def cannibal_rank(rows: DataFrame, min_impressions: int = 50, large: int = LARGE_GROUP) -> DataFrame:
+    """Place of each page of a query by position, then page; a query of many pages is ranked over many tasks."""
+    return with_place(_query_pages(rows, min_impressions).select("query", "page", "position"), "query", "position", "page", large=large)
 
 
 def consolidation_map(rows: DataFrame, min_impressions: int = 50) -> DataFrame:
     """All weaker pages of cannibalized queries and the page each should redirect to. The winner is
-    the first of the same window."""
-    w = Window.partitionBy("query").orderBy("position", "page")
-    pages = _query_pages(rows, min_impressions).select("query", "page", F.row_number().over(w).alias("place"), F.first("page").over(w).alias("winner")).where("place > 1")
+    a minimum, which every task reduces first, so no query's pages are sorted in one place."""
+    pages = _query_pages(rows, min_impressions).select("query", "page", "position")
+    winners = pages.groupBy("query").agg(F.min_by("page", F.struct("position", "page")).alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
     cut = lambda c: F.regexp_extract(c, r"^https?://[^/]*(/.*)$", 1)
-    return pages.select("query", "page", "winner", F.concat(F.lit("Redirect 301 "), cut(F.col("page")), F.lit(" "), cut(F.col("winner"))).alias("rule"))
+    weaker = pages.join(winners, "query").where("page <> winner")
+    return weaker.select("query", "page", "winner", F.concat(F.lit("Redirect 301 "), cut(F.col("page")), F.lit(" "), cut(F.col("winner"))).alias("rule"))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -61,7 +61,7 @@ query("top_cannibal", over("search_rows", sql=_CANNIBAL + " ORDER BY total_impre
 query("cannibal_rank", over("search_rows", sql=f"{_PLACES} SELECT * FROM r"))(lambda s, d: search.cannibal_rank(_search(s, d)))
 query(
     "consolidation_map",
-    over("search_rows", sql=f"{_PLACES} SELECT r.query, r.page, w.page AS winner, 'Redirect 301 ' || regexp_extract(r.page, '^https?://[^/]*(/.*)$', 1) || ' ' || regexp_extract(w.page, '^https?://[^/]*(/.*)$', 1) AS rule FROM r JOIN r AS w ON r.query = w.query AND w.place = 1 WHERE r.place > 1"),
+    over("search_rows", sql=f"{_QP}, r AS (SELECT query, page, first_value(page) OVER (PARTITION BY query ORDER BY position, page) AS winner FROM q) SELECT query, page, winner, 'Redirect 301 ' || regexp_extract(page, '^https?://[^/]*(/.*)$', 1) || ' ' || regexp_extract(winner, '^https?://[^/]*(/.*)$', 1) AS rule FROM r WHERE page <> winner"),
 )(lambda s, d: search.consolidation_map(_search(s, d)))
 query("top_queries_per_page", over("search_rows", sql=f", {_perf('page, query')} SELECT page, query, clicks, impressions, ctr, position, status, row_number() OVER (PARTITION BY page ORDER BY clicks DESC, query) AS place FROM perf QUALIFY place <= 10"))(
     lambda s, d: search.top_per(search.page_performance(_search(s, d), "page", "query"), "page", 10, F.col("clicks").desc(), F.col("query"))

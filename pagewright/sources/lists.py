@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls
@@ -31,13 +31,23 @@ def url_cells(lines: DataFrame, first_line: str) -> DataFrame:
     return found
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (file, pos, line) of text files, numbered from 0 in each file. A large file is read in
+    splits: the lines of every split are counted, and a line's number is that of the lines in the
+    splits before it and its place in its own. Splits are far fewer than lines."""
+    at = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row_at"))
+    splits = at.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("row_at").alias("first_at"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "start", (before - F.col("first_at")).alias("offset_at"))
+    return at.join(F.broadcast(offsets), ["file", "start"]).select("file", (F.col("row_at") + F.col("offset_at")).alias("pos"), F.col("value").alias("line"))
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """urls (pos, cell, url) of a list file in CSV, TSV, semicolon or pipe form, in file order. One
-    list file is one partition's lines."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line")).where("trim(line) <> ''")
-    first = text.select(F.split(F.trim("value"), r"\r\n|\r|\n", 2)[0]).first()  # one line
-    return url_cells(lines, first[0] if first else "")
+    """urls (pos, cell, url) of a list file in CSV, TSV, semicolon or pipe form; pos is the line's
+    number in the file, whatever splits it is read in."""
+    lines = numbered_lines(spark, path).select("pos", "line").where("trim(line) <> ''")
+    first = lines.orderBy("pos").limit(1).first()
+    return url_cells(lines, first["line"].strip() if first else "")
 
 
 SEARCH_ROWS = "site string, page string, query string, date date, clicks long, impressions long, position double"

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import links, redirects
+from pagewright.operators import links, logs, places, redirects, robots
+from pagewright.sources import lists
 from pagewright.sources import durable as durable_module
 
 FETCH = "url string, status int, location string"
@@ -84,3 +85,116 @@ def test_a_hundred_thousand_targets_without_a_nested_loop(spark):
     assert ranks.count() == 300_000
     some = {(r.domain, r.keyword): r.rank for r in ranks.where("rank IS NOT NULL").collect()}
     assert some == {(f"site{i}.example", f"k{i % 3}"): 1 + i % 20 for i in range(4000)}
+
+
+# histories of a hot user
+
+
+def attempts_of(spark, n=1500, seed=2):
+    rng = random.Random(seed)
+    rows = [(i, "hot" if rng.random() < 0.9 else f"u{i % 9}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(40_000)), f"10.0.0.{rng.randrange(9)}", f"a{rng.randrange(6)}", rng.random() < 0.5) for i in range(n)]
+    rows.append((n, "hot", None, "10.0.0.1", "a1", True))
+    return rows, spark.createDataFrame(rows, "id long, username string, ts timestamp, ip string, user_agent string, success boolean")
+
+
+def test_lockouts_over_bucket_bounds(spark):
+    rows, df = attempts_of(spark)
+    want = {}
+    for i, user, ts, _, _, _ in rows:
+        if ts:
+            want[i] = sum(u == user and not ok and t is not None and ts - dt.timedelta(seconds=300) <= t <= ts and j != i for j, u, t, _, _, ok in rows)
+    for span in (1, 4, 1000):
+        got = {r.id: r.failures_before for r in logs.lockout_history(df, 300, span=span).collect()}
+        assert {k: v for k, v in got.items() if k in want} == want and len(got) == len(rows)
+
+
+def test_novel_logins_over_bucket_bounds(spark):
+    rows, df = attempts_of(spark)
+    want, past = {}, {}
+    for i, user, ts, ip, agent, ok in sorted(rows, key=lambda r: (r[2] or dt.datetime.min, r[0])):
+        if ok:
+            seen = past.setdefault(user, [])
+            want[i] = (ip, agent) not in seen[-7:]
+            seen.append((ip, agent))
+    for bucket_s in (60, 3600, 10**7):
+        assert {r.id: r.novel for r in logs.novel_login(df, 7, bucket_s).collect()} == want
+
+
+# places in large groups
+
+
+def test_places_of_a_group_with_half_of_all_rows(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 2 else f"k{i % 40}", rng.randrange(50), f"p{i:05}") for i in range(4000)] + [(None, 1, "a"), (None, 2, "b")]
+    df = spark.createDataFrame(rows, "key string, position int, page string").repartition(6)
+    groups = {}
+    for key, position, page in sorted(rows, key=lambda r: r[1:]):
+        groups.setdefault(key, []).append((position, page))
+    want = {(k, *r): i for k, g in groups.items() for i, r in enumerate(g, 1)}
+    for large in (100, 60, 10**6):
+        got = {(r.key, r.position, r.page): r.place for r in places.with_place(df, "key", "position", "page", large=large).collect()}
+        assert got == want
+
+
+def test_large_groups_lie_in_many_partitions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(places, "durable", lambda df: seen.append(durable_module.durable(df)) or seen[-1])
+    df = spark.range(20_000).selectExpr("'hot' AS key", "id * 7 % 20011 AS position")
+    conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        places.with_place(df, "key", "position", large=1000).count()
+        sizes = [r["count"] for r in seen[-1].groupBy("part_at").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+    assert len(sizes) == 4 and max(sizes) < 10_000
+
+
+# long lists
+
+
+def test_a_list_over_many_splits_keeps_its_order(spark, tmp_path):
+    lines = ["url,volume"] + [f"https://u.example/{i},{'x' * (i % 90)}" if i % 10 else "" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("\r\n".join(lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        numbered = lists.numbered_lines(spark, str(tmp_path / "a.csv"))
+        assert numbered.select(F.spark_partition_id()).distinct().count() > 3
+        assert [r.line for r in numbered.orderBy("pos").collect()] == lines
+        found = lists.read_url_list(spark, str(tmp_path / "a.csv")).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r.pos, r.url) for r in found] == [(i, x.split(",")[0]) for i, x in enumerate(lines) if x.startswith("https")]
+
+
+def test_two_lists_are_numbered_by_themselves(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text(f"https://{name}.example/0\nhttps://{name}.example/1\n")
+    rows = lists.numbered_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.pos, r.line) for r in rows) == sorted((i, f"https://{n}.example/{i}") for n in "ab" for i in (0, 1))
+
+
+# many rules
+
+
+def test_ten_thousand_rules_of_a_host(spark):
+    rng = random.Random(6)
+    paths = ["/" + "/".join(rng.choice("abcde") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 7))) for _ in range(10_000)]
+    rules = [("h", 1 + i // 5000, "*", i % 5000, rng.random() < 0.5, p) for i, p in enumerate(paths)] + [("g", 1, "bot", 0, False, "/"), ("g", 2, "*", 0, True, "/"), ("e", 1, "bot", 0, True, "")]
+    pages = ["https://h" + p + rng.choice(["", "x", "/a/b?q=1", "#f"]) for p in rng.sample(paths, 300)] + ["https://h", "https://h?x", "https://g/z", "https://e/z", "https://none/a", "https://h"]
+    df = spark.createDataFrame(rules, "host string, block int, user_agent string, rule_idx int, allow boolean, path string")
+    ordered = sorted(r for r in rules if r[0] == "h")
+
+    def slow(url):
+        path = url.removeprefix("https://h").split("#")[0]
+        path = "/" + path if not path or path[0] == "?" else path
+        return next((r[4] for r in ordered if path.startswith(r[5])), True)
+
+    verdicts = robots.robots_allowed(spark.createDataFrame([(p,) for p in pages], "url string"), df)
+    got = verdicts.collect()
+    assert len(got) == len(pages)
+    assert {r.url: r.allowed for r in got if "//h" in r.url} == {u: slow(u) for u in pages if "//h" in u}
+    assert {r.url: r.allowed for r in got if "//h" not in r.url} == {"https://g/z": True, "https://e/z": True, "https://none/a": True}
+    bot = {r.url: r.allowed for r in robots.robots_allowed(spark.createDataFrame([("https://g/z",), ("https://e/z",)], "url string"), df, "Bot").collect()}
+    assert bot == {"https://g/z": False, "https://e/z": True}
