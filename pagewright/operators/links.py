@@ -10,7 +10,7 @@ from pagewright.functions.text import half_even, normalize_text
 from pagewright.operators.redirects import redirect_chains
 from pagewright.operators.robots import robots_allowed
 from pagewright.sources.derived import CTR_CURVE
-from pagewright.sources.durable import durable, union_all
+from pagewright.sources.durable import bucketed, durable, union_all
 
 # Beginnings of links that lead to no page, states of a broken link.
 NO_PAGE = ("#", "mailto:", "tel:")
@@ -173,19 +173,43 @@ def expand_sitemap_index(docs: DataFrame, roots: DataFrame, max_depth: int = 5)
     return crawl_edges(children, roots, max_depth)
 
 
+def _reached(edges: DataFrame, front: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """What a round's urls link to, without those of the rounds before."""
+    out = edges.join(front.select("url"), "url").select(F.col("to").alias("url")).distinct()
+    for s in seen:
+        out = out.join(s.select("url"), "url", "left_anti")
+    return out
+
+
 def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """Breadth-first rounds over edges (url, to). Edges and each round's frontier are written out:
-    a round is one join of the frontier and one anti join with what was seen."""
-    edges = durable(edges.select("url", "to").distinct())
-    front = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    seen = [front]
-    for d in range(1, max_depth + 1):
-        reached = edges.join(front.select("url"), "url").select(F.col("to").alias("url")).distinct()
-        front = durable(reached.join(union_all(seen).select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
-            break
-        seen.append(front)
-    return union_all(seen)
+    """url and depth of what edges (url, to) reach from the seeds, breadth first, each url once.
+
+    Edges and the urls of each round are written in buckets of their url. So edges are dealt out
+    once, however many rounds there are: a round's join reads both sides where they lie, and its
+    targets are dealt out once to be made distinct, which is the dealing that the anti joins with
+    the rounds before need.
+    """
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables: list[str] = []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        table, out = bucketed(rows, "url", n)
+        tables.append(table)
+        return out
+
+    try:
+        held = kept(edges.select("url", "to").where("url IS NOT NULL AND to IS NOT NULL").repartition(n, "url").dropDuplicates(["url", "to"]))
+        seen = [kept(seeds.select("url").where("url IS NOT NULL").repartition(n, "url").dropDuplicates(["url"]).withColumn("depth", F.lit(0)))]
+        for d in range(1, max_depth + 1):
+            front = kept(_reached(held, seen[-1], seen).withColumn("depth", F.lit(d)).repartition(n, "url"))
+            if front.isEmpty():
+                break
+            seen.append(front)
+        return union_all(seen)
+    finally:
+        for table in tables:  # the names alone: the files stay in the shared folder for who reads the result
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 # Limits of one sitemap.
@@ -325,17 +349,41 @@ def _graded(c: str, high: int, low: int) -> Column:
     return F.when(F.col(c) > high, "pass").when(F.col(c) > low, "warning").otherwise("fail")
 
 
-def backlink_summary(links: DataFrame) -> DataFrame:
-    """Backlinks, distinct referring domains and dofollow share of each target domain with their
-    verdicts, in two steps, so that a hot domain's rows are reduced before they meet."""
+def _referred(links: DataFrame, *more: str) -> DataFrame:
     d = links.withColumn("domain", urls.public_hostname(F.col("dst_url"))).withColumn("ref", urls.public_hostname(F.col("src_url"))).where("domain <> '' AND ref <> domain")
-    per = d.groupBy("domain", "ref").agg(F.count("*").alias("n"), F.count_if(~F.contains("rel", F.lit("nofollow"))).alias("f"))
-    s = per.groupBy("domain").agg(F.sum("n").alias("backlinks"), F.count("*").alias("referring_domains"), half_even(100 * F.sum("f") / F.sum("n"), 1).alias("dofollow"))
+    return d.select("domain", "ref", (~F.contains("rel", F.lit("nofollow"))).alias("followed"), *more)
+
+
+def _backlink_verdicts(s: DataFrame) -> DataFrame:
     domains = F.when(F.col("referring_domains") >= 50, "pass").when(F.col("referring_domains") >= 10, "warning").otherwise("fail")
     share = F.when(F.col("dofollow") >= 70, "pass").when(F.col("dofollow") >= 50, "warning").otherwise("fail")
     return s.select("*", _graded("backlinks", 100, 10).alias("backlinks_verdict"), domains.alias("domains_verdict"), share.alias("dofollow_verdict"))
 
 
+def backlink_summary(links: DataFrame) -> DataFrame:
+    """Backlinks, distinct referring domains and dofollow share of each target domain with their
+    verdicts, in two steps, so that a hot domain's rows are reduced before they meet."""
+    per = _referred(links).groupBy("domain", "ref").agg(F.count("*").alias("n"), F.count_if("followed").alias("f"))
+    return _backlink_verdicts(per.groupBy("domain").agg(F.sum("n").alias("backlinks"), F.count("*").alias("referring_domains"), half_even(100 * F.sum("f") / F.sum("n"), 1).alias("dofollow")))
+
+
+#: Registers of a sketch, as a power of two: its error is about 1.04 / sqrt(2^12), 1.6 %.
+SKETCH_BITS = 12
+
+
+def backlink_days(links: DataFrame) -> DataFrame:
+    """One row for each target domain and day of links (src_url, dst_url, rel, day): counts, and a
+    sketch of the referring domains, to be kept and rolled up with later days."""
+    return _referred(links, "day").groupBy("domain", "day").agg(F.count("*").alias("n"), F.count_if("followed").alias("f"), F.hll_sketch_agg("ref", SKETCH_BITS).alias("refs"))
+
+
+def backlink_rollup(days: DataFrame) -> DataFrame:
+    """backlink_summary of stored days: referring domains are estimated from the union of their
+    sketches, so the links themselves are not read again. backlink_summary has the exact number."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("refs")).alias("referring_domains")
+    return _backlink_verdicts(days.groupBy("domain").agg(F.sum("n").alias("backlinks"), merged, half_even(100 * F.sum("f") / F.sum("n"), 1).alias("dofollow")))
+
+
 def broken_backlinks(links: DataFrame, fetches: DataFrame) -> DataFrame:
     """Links of other domains to each domain, and those whose target is broken. Distinct targets
     meet the crawl log with their number of links."""

@@ -98,8 +98,11 @@ def issue_digest(results: DataFrame, fails: int = 15, warnings: int = 10) -> Dat
 
 
 def audit_crosstab(results: DataFrame) -> DataFrame:
+    """Check rows and failures of each host and tool, with subtotals. Rows are counted by pair first,
+    so the cube unfolds one row for each pair."""
     host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
-    return results.withColumn("host", host).cube("host", "tool").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_if(F.col("status") == "fail").alias("n_fail"))
+    pairs = results.groupBy(host.alias("host"), "tool").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "fail").alias("n_fail"))
+    return pairs.cube("host", "tool").agg(F.grouping_id().alias("level"), F.sum("n").alias("n"), F.sum("n_fail").alias("n_fail"))
 
 
 def compare_audits(cur: DataFrame, prev: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import headers, links, redirects, robots, search
 from pagewright.operators.facts import extract_facts
-from pagewright.plans.base import even, over, query
+from pagewright.plans.base import ORACLE_SQL, even, over, query
 from pagewright.plans.page_queries import rich_facts
 from pagewright.sources import lists
 from pagewright.sources.derived import CTR_CURVE, derived, input_sql, read
@@ -259,6 +259,29 @@ query("broken_backlinks", f"WITH b AS (SELECT {_DOMAIN.format('dst_url')} AS dom
     lambda s, d: links.broken_backlinks(_back(s, d), _back_log(s, d))
 )
 
+_back_days, _BACK_DAYS = made("orders", "concat('https://www.ref', o_orderkey % (3 + o_custkey % 60), '.example/', o_orderkey) AS src_url;concat('https://www.target', o_custkey % 40, '.example/', o_custkey) AS dst_url;CASE WHEN o_orderkey % (2 + o_custkey % 5) = 0 THEN 'nofollow' ELSE '' END AS rel;cast(o_orderdate AS date) AS day")
+query("backlink_rollup", ORACLE_SQL["backlink_domains"])(lambda s, d: links.backlink_rollup(links.backlink_days(_back_days(s, d))))
+
+# sitemaps of the supplied keys: indexes of indexes, loops among them, broken and plain bodies
+
+_maps, _MAPS = made(
+    "customer",
+    "concat('https://s.example/', c_custkey) AS sitemap_url;CASE WHEN c_custkey % 4 = 0 THEN concat('<sitemapindex><sitemap><loc>https://s.example/', c_custkey + 4, '</loc></sitemap><sitemap><loc> https://s.example/', c_custkey * 2, ' </loc></sitemap><sitemap><loc>https://s.example/', c_custkey - 12, '</loc></sitemap></sitemapindex>') "
+    "WHEN c_custkey % 4 = 1 THEN concat('<urlset><url><loc>https://a.example/', c_custkey, '</loc><lastmod>2026-01-01</lastmod></url><url><loc><![CDATA[https://a.example/?x=', c_custkey, ']]></loc><priority>0.5</priority></url></urlset>') "
+    "WHEN c_custkey % 4 = 2 THEN concat('<urlset><url><loc>https://b.example/', c_custkey, '</loc><url><loc>ftp://b.example/</loc></url><url><loc>https://b.example/2</loc><changefreq>daily</changefreq>') END AS body",
+)
+_roots, _ROOTS = made("customer", "concat('https://s.example/', c_custkey * 16) AS url")
+query(
+    "parse_sitemaps",
+    f"""WITH m AS ({_MAPS}), i AS (SELECT sitemap_url, string_split_regex(body, '<(url|sitemap)>') AS parts FROM m WHERE body IS NOT NULL), e AS (SELECT sitemap_url, k - 2 AS pos, replace(replace(parts[k], '<![CDATA[', ''), ']]>', '') AS item FROM i, unnest(range(2, len(parts) + 1)) AS t(k))
+SELECT sitemap_url, pos::INT AS pos, {", ".join(f"nullif(trim(regexp_extract(item, '<{n}>([^<]*)</{n}>', 1)), '') AS {n}" for n in ("loc", "lastmod", "changefreq", "priority"))} FROM e WHERE regexp_matches(trim(regexp_extract(item, '<loc>([^<]*)</loc>', 1)), '^https?://')""",
+)(lambda s, d: links.parse_sitemaps(_maps(s, d)))
+query(
+    "expand_sitemap_index",
+    f"""WITH RECURSIVE e AS (SELECT c_custkey AS k, unnest([c_custkey + 4, c_custkey * 2, c_custkey - 12]) AS child FROM customer WHERE c_custkey % 4 = 0),
+w AS (SELECT DISTINCT c_custkey * 16 AS k, 0 AS depth FROM customer UNION SELECT e.child, w.depth + 1 FROM w JOIN e ON e.k = w.k WHERE w.depth < 5) SELECT 'https://s.example/' || k AS url, min(depth)::INT AS depth FROM w GROUP BY k""",
+)(lambda s, d: links.expand_sitemap_index(_maps(s, d), _roots(s, d)))
+
 # search rows that straddle the real thresholds, and denser logs
 
 _SUMS = "s AS (SELECT page, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, 100.0 * sum(clicks) / sum(impressions) AS c, sum(position * impressions) / sum(impressions) AS p FROM mixed_search_rows GROUP BY page)"

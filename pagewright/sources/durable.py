@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that all executors share and read back: rounds do not
-    repeat earlier rounds. Only a local session without such a folder gets its own."""
-    context = df.sparkSession.sparkContext
+def _root(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. Only a local session without one gets its own."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        root = context.getConf().get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(root)
+    return root
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read back: rounds do not repeat earlier rounds."""
+    _root(df.sparkSession)
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[str, DataFrame]:
+    """df, written to the checkpoint folder in so many buckets of a key and read back: joins on the key
+    with rows in as many buckets need no exchange. The name of its table, and the rows, which outlast
+    that name."""
+    spark = df.sparkSession
+    name = f"pagewright_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{_root(spark)}/{name}").format("parquet").saveAsTable(name)
+    return name, spark.table(name)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

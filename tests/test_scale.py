@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import links, logs, places, redirects, robots
+from pagewright.operators import links, logs, places, redirects, robots, scoring
 from pagewright.sources import lists
 from pagewright.sources import durable as durable_module
 
@@ -198,3 +198,47 @@ def test_ten_thousand_rules_of_a_host(spark):
     assert {r.url: r.allowed for r in got if "//h" not in r.url} == {"https://g/z": True, "https://e/z": True, "https://none/a": True}
     bot = {r.url: r.allowed for r in robots.robots_allowed(spark.createDataFrame([("https://g/z",), ("https://e/z",)], "url string"), df, "Bot").collect()}
     assert bot == {"https://g/z": False, "https://e/z": True}
+
+
+# crawls over bucketed edges
+
+
+def test_edges_are_dealt_out_once(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(500)] + [(None, "n1"), ("n1", None)]
+    plans = []
+    original = links._reached
+    monkeypatch.setattr(links, "_reached", lambda *a: plans.append((plan_of(original(*a).coalesce(1)), len(a[2]))) or original(*a))
+    got = {r.url: r.depth for r in links.crawl_edges(spark.createDataFrame(edges, "url string, to string"), spark.createDataFrame([("n0",), ("n1",), ("n1",), (None,)], "url string"), 4).collect()}
+    want, front = {"n0": 0, "n1": 0}, {"n0", "n1"}
+    for d in range(1, 5):
+        front = {b for a, b in edges if a in front and a and b} - want.keys()
+        want |= dict.fromkeys(front, d)
+    assert got == want and len(plans) == 4
+    for plan, rounds in plans:
+        # one exchange, that of the targets; broadcasts of a small side deal out nothing
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagewright_")]
+
+
+# sketches
+
+
+def test_sketches_of_days_add_up(spark):
+    rows = spark.range(60_000).selectExpr("concat('https://r', (id * 7) % if(id % 2 = 0, 5000, 12000), '.example/') AS src_url", "concat('https://t', id % 2, '.example/') AS dst_url", "if(id % 3 = 0, 'nofollow', '') AS rel", "cast(id % 9 AS int) AS day")
+    exact = {r.domain: r for r in links.backlink_summary(rows).collect()}
+    days = links.backlink_days(rows)
+    assert days.count() == 18
+    for r in links.backlink_rollup(days.where("day < 4").unionByName(days.where("day >= 4"))).collect():
+        e = exact[r.domain]
+        assert (r.backlinks, r.dofollow, r.domains_verdict) == (e.backlinks, e.dofollow, e.domains_verdict)
+        assert abs(r.referring_domains - e.referring_domains) < 0.05 * e.referring_domains
+
+
+def test_a_cube_takes_one_row_a_pair(spark):
+    rows = spark.range(1000).selectExpr("concat('https://h', id % 3, '/', id) AS url", "concat('t', id % 2) AS tool", "if(id % 5 = 0, 'fail', 'pass') AS status")
+    cube = scoring.audit_crosstab(rows)
+    plan = plan_of(cube)
+    got = {(r.host, r.tool, r.level): (r.n, r.n_fail) for r in cube.collect()}
+    assert got[None, None, 3] == (1000, 200) and got["h0", None, 1] == (334, 67) and len(got) == 12
+    assert plan.index("Expand") < plan.rindex("HashAggregate(keys=[") and plan.count("HashAggregate") == 4
