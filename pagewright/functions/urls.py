@@ -60,6 +60,41 @@ def public_hostname(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(netloc(url)), r"^[^@]*@|:\d+$", ""), r"^www\.", "")
 
 
+def _parts(url: Column) -> dict[str, Column]:
+    """Components of a reference; a missing one is null, an empty one is empty."""
+    # the groups of the generic syntax: scheme, authority, path, query, fragment
+    whole = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    group = lambda i: F.regexp_extract(url, "(?s)" + whole, i)
+    there = lambda test, i: F.when(url.rlike("(?s)" + test), group(i))
+    return {
+        "scheme": there(r"^[A-Za-z][A-Za-z0-9+.-]*:", 1), "authority": there(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", 2), "path": group(3),
+        "query": there(r"^[^?#]*\?", 4), "fragment": there(r"^[^#]*#", 5),
+    }
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments have been taken."""
+    segments = F.split(path, "/", -1)
+    rooted = F.startswith(path, F.lit("/"))
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.when(rooted, 1).otherwise(0)))).otherwise(F.array_append(done, s))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends = F.element_at(segments, -1).isin(".", "..")
+    return F.when(path == "", path).otherwise(F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The address that a reference names on a page: the generic resolution of RFC 3986, section 5.2.
+    Null if either is null."""
+    b, r = _parts(base), _parts(reference)
+    folder = F.when(b["authority"].isNotNull() & (b["path"] == ""), "/").otherwise(F.regexp_replace(b["path"], "(?s)[^/]*$", ""))
+    own = r["scheme"].isNotNull() | r["authority"].isNotNull()
+    path = F.when(own | F.startswith(r["path"], F.lit("/")), _without_dots(r["path"])).when(r["path"] == "", b["path"]).otherwise(_without_dots(F.concat(folder, r["path"])))
+    query_ = F.when(own | (r["path"] != "") | r["query"].isNotNull(), r["query"]).otherwise(b["query"])
+    authority = F.when(own, r["authority"]).otherwise(b["authority"])
+    parts = (F.concat(F.coalesce(r["scheme"], b["scheme"]), F.lit(":")), F.concat(F.lit("//"), authority), path, F.concat(F.lit("?"), query_), F.concat(F.lit("#"), r["fragment"]))
+    return F.when(base.isNotNull() & reference.isNotNull(), F.concat(*(F.coalesce(p, F.lit("")) for p in parts)))
+
+
 def crawl_depth(url: Column) -> Column:
     return F.size(F.filter(F.split(path(url), "/"), lambda s: s != ""))
 

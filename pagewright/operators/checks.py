@@ -140,15 +140,34 @@ def meta_robots() -> Check:
     return graded(F.contains(rules, F.lit("noindex")), rules.rlike("nofollow|noarchive|nosnippet|noimageindex")), rules
 
 
-@check("favicon")
-def favicon() -> Check:
-    """Declared icons with an address. A root icon without a link is a matter of the crawl log."""
+def _icons() -> tuple[Column, Column]:
+    """Whether a page declares an icon, and a touch icon, with an address."""
     named = lambda test: F.exists("links", lambda x: (F.coalesce(x["href"], F.lit("")) != "") & test(x["rel"]))
     apple = named(lambda r: F.contains(r, F.lit("apple-touch-icon")))
     icon = named(lambda r: ~F.contains(r, F.lit("apple-touch-icon")) & ((F.contains(r, F.lit("icon")) & F.contains(r, F.lit("shortcut"))) | (F.trim(r) == "icon")))
+    return icon, apple
+
+
+@check("favicon")
+def favicon() -> Check:
+    """Declared icons. A root icon without a link is a matter of the crawl log: favicon_check."""
+    icon, apple = _icons()
     return graded(~icon & ~apple, ~icon | ~apple), F.concat_ws(",", F.when(icon, "icon"), F.when(apple, "apple-touch-icon"))
 
 
+def favicon_check(facts: DataFrame, fetches: DataFrame) -> DataFrame:
+    """The icon check with the crawl log (url, status): a page that declares no icon has that of its
+    host's root, if it was fetched with 200."""
+    icon, apple = _icons()
+    root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    roots = fetches.where((F.col("status") == 200) & (urls.path(F.col("url")) == "/favicon.ico") & ~F.contains("url", F.lit("?"))).select(root.alias("root")).distinct().withColumn("at_root", F.lit(True))
+    rows = facts.select("url", root.alias("root"), icon.alias("icon"), apple.alias("apple")).join(roots, "root", "left")
+    fallback = ~F.col("icon") & F.coalesce("at_root", F.lit(False))
+    some = F.col("icon") | fallback
+    found = F.concat_ws(",", F.when(F.col("icon"), "icon").when(fallback, "root icon"), F.when(F.col("apple"), "apple-touch-icon"))
+    return rows.select("url", F.lit("favicon").alias("tool"), graded(~some & ~F.col("apple"), ~some | ~F.col("apple")).alias("status"), found.alias("message"))
+
+
 @check("viewport")
 def viewport() -> Check:
     v = F.get(metas("viewport"), 0)["content"]

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -236,6 +236,12 @@ def within_cap(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return pages.where(F.col("html").isNull() | (F.octet_length("html") <= max_bytes))
 
 
+def read_pages(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Pages (page_id, url, html, and headers if there) of a Parquet table, without those over the cap;
+    over_cap lists these."""
+    return within_cap(spark.read.parquet(path), max_bytes)
+
+
 def over_cap(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """url and size of the pages that within_cap leaves out."""
     return pages.select("url", F.octet_length("html").alias("html_bytes")).where(F.col("html_bytes") > max_bytes)

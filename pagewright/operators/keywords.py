@@ -62,14 +62,20 @@ _ITEM = (
     "struct<keyword:string,keyword_info:struct<search_volume:string,cpc:string,competition:string,monthly_searches:array<struct<year:int,month:int,search_volume:int>>>,"
     "keyword_info_normalized_with_clickstream:struct<search_volume:string,monthly_searches:array<struct<year:int,month:int,search_volume:int>>>,keyword_properties:struct<keyword_difficulty:string>,search_intent_info:struct<main_intent:string>>"
 )
-_ITEMS = "array<struct<keyword_data:" + _ITEM + "," + _ITEM.removeprefix("struct<") + ">"
+_ITEMS = "struct<keyword_data:" + _ITEM + "," + _ITEM.removeprefix("struct<")
 
 
 def map_keyword_json(raw: DataFrame) -> DataFrame:
     """Keyword rows of vendor payloads (source, seed, payload as JSON). The related source holds an
     item's data in keyword_data, others in the item. A clickstream volume that is not 0 counts before
-    the plain one; what is no number is null; of equal keywords of a source and seed the first stays."""
-    items = raw.select("source", "seed", F.posexplode(F.from_json(F.get_json_object("payload", "$.tasks[0].result[0].items"), _ITEMS)).alias("pos", "i"))
+    the plain one; what is no number is null; months without year or number are left out; of equal
+    keywords of a source and seed the first stays. A payload without items, an item that is no object
+    and a keyword that is no text give no row, and leave the others alone."""
+    texts = F.from_json(F.get_json_object("payload", "$.tasks[0].result[0].items"), "array<string>")
+    items = raw.select("source", "seed", F.posexplode(texts).alias("pos", "text")).where("text LIKE '{%'").withColumn("i", F.from_json("text", _ITEMS))
+    # a keyword is read as text whatever it is, so its quotes tell
+    named = F.when(F.col("source") == "related", F.get_json_object("text", "$.keyword_data")).otherwise(F.col("text"))
+    items = items.where(named.rlike(r'"keyword"\s*:\s*"'))
     own = F.struct(*(F.col(f"i.{c}").alias(c) for c in ("keyword", "keyword_info", "keyword_info_normalized_with_clickstream", "keyword_properties", "search_intent_info")))
     d = items.select("source", "seed", "pos", F.when(F.col("source") == "related", F.col("i.keyword_data")).otherwise(own).alias("d")).where("trim(d.keyword) <> ''")
     stream = F.col("d.keyword_info_normalized_with_clickstream")
@@ -77,7 +83,7 @@ def map_keyword_json(raw: DataFrame) -> DataFrame:
     best = lambda f: F.when(by_clicks, stream[f]).otherwise(F.col("d.keyword_info")[f])
     rows = d.select(
         "source", "seed", "pos", F.regexp_replace(F.lower(F.trim("d.keyword")), r"\s+", " ").alias("keyword"), coerce_int(best("search_volume")).alias("search_volume"),
-        F.transform(best("monthly_searches"), lambda t: F.struct(t["year"].alias("year"), t["month"].alias("month"), t["search_volume"].alias("search_volume"))).alias("trend"),
+        F.transform(F.filter(best("monthly_searches"), lambda t: (t["year"] != 0) & (t["month"] != 0)), lambda t: F.struct(t["year"].alias("year"), t["month"].alias("month"), F.coalesce(t["search_volume"], F.lit(0)).alias("search_volume"))).alias("trend"),
         coerce_float(F.col("d.keyword_info.cpc")).alias("cpc"), coerce_float(F.col("d.keyword_info.competition")).alias("competition"), coerce_int(F.col("d.keyword_properties.keyword_difficulty")).alias("difficulty"), intent(F.col("d.search_intent_info.main_intent")).alias("intent"),
     )
     rest = [c for c in rows.columns if c not in ("source", "seed", "keyword")]

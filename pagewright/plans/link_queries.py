@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import urls
 from pagewright.operators import headers, links, redirects, robots, search
 from pagewright.operators.facts import extract_facts
 from pagewright.plans.base import ORACLE_SQL, even, over, query
@@ -324,3 +325,11 @@ query("url_cells", f"WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) A
 )
 _export, _EXPORT = made("lineitem", "concat('site', l_suppkey % 5) AS site;concat('/p/', l_partkey) AS page;concat('q', l_orderkey % 9) AS query;CASE WHEN l_linenumber = 3 THEN 'never' ELSE cast(cast(l_shipdate AS date) AS varchar(10)) END AS day;CASE WHEN l_linenumber = 2 THEN 'n/a' ELSE cast(l_partkey AS varchar(20)) END AS clicks;cast(l_suppkey AS varchar(20)) AS impressions;CASE WHEN l_linenumber = 1 THEN '' ELSE '1.5' END AS position")
 query("typed_search_rows", f"SELECT site, page, query, cast(try_cast(day AS DATE) AS VARCHAR) AS date, coalesce(try_cast(clicks AS BIGINT), 0) AS clicks, impressions::BIGINT AS impressions, try_cast(position AS DOUBLE) AS position FROM ({_EXPORT})")(lambda s, d: lists.typed_search_rows(_export(s, d).withColumn("keys", F.array("page", "query", "day"))).withColumn("date", F.col("date").cast("string")))
+
+# references of pages
+
+_refs, _REFS = made("customer", "cast(c_custkey AS bigint) AS k;concat('https://h.example/a/b/c', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '?q#f' ELSE '' END) AS base;CASE c_custkey % 9 WHEN 0 THEN concat('../x/', c_custkey) WHEN 1 THEN './y' WHEN 2 THEN '/z/../w/.' WHEN 3 THEN '?n=1' WHEN 4 THEN '#top' WHEN 5 THEN '//o.example' WHEN 6 THEN 'mailto:a@b.example' WHEN 7 THEN '../../../up' ELSE '' END AS href")
+query(
+    "resolve_urls",
+    f"WITH r AS (SELECT *, regexp_replace(base, '#.*$', '') AS page, regexp_replace(base, '[?#].*$', '') AS bare FROM ({_REFS})) SELECT k, CASE k % 9 WHEN 0 THEN 'https://h.example/a/x/' || k WHEN 1 THEN 'https://h.example/a/b/y' WHEN 2 THEN 'https://h.example/w/' WHEN 3 THEN bare || '?n=1' WHEN 4 THEN page || '#top' WHEN 5 THEN 'https://o.example' WHEN 6 THEN 'mailto:a@b.example' WHEN 7 THEN 'https://h.example/up' ELSE page END AS url FROM r",
+)(lambda s, d: _refs(s, d).select("k", urls.resolve(F.col("base"), F.col("href")).alias("url")))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import text
 from pagewright.operators import audits, checks, facts, keywords, links, scoring, structured
 from pagewright.plans.base import even, over, query
-from pagewright.sources.derived import derived
+from pagewright.sources.derived import derived, read
 
 AS_OF = "2026-06-01"
 
@@ -192,3 +193,19 @@ query("duplicate_summary", over("rich_pages", sql=f", f AS ({_FIELDS}), n AS (SE
 )
 _ENTRIES = "entries AS (SELECT url, page_id, lang, href FROM pages JOIN (VALUES (1, 'en', '/en'), (1, 'x-default', '/'), (2, 'en', '/en'), (3, 'en', '/en'), (3, 'en', '/us'), (3, 'x-default', '/')) AS v(k, lang, href) ON page_id % 5 = k)"
 query("hreflang_entries", f"WITH {_ENTRIES} SELECT url, lang, href FROM entries")(lambda s, d: links.hreflang_entries(rich_facts(s, d)))
+
+# icons of the root, page sizes, reading ease
+
+_ROOT = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+query(
+    "favicon_check",
+    f"""WITH r AS (SELECT url, page_id, length({_ROOT}) % 2 = 0 AS at_root FROM pages), f AS (SELECT url, page_id % 4 IN (1, 2) AS icon, page_id % 4 IN (2, 3) AS apple, at_root FROM r),
+g AS (SELECT *, icon OR at_root AS found FROM f) SELECT url, 'favicon' AS tool, CASE WHEN found AND apple THEN 'pass' WHEN found OR apple THEN 'warning' ELSE 'fail' END AS status,
+concat_ws(',', CASE WHEN icon THEN 'icon' WHEN at_root THEN 'root icon' END, CASE WHEN apple THEN 'apple-touch-icon' END) AS message FROM g""",
+)(lambda s, d: checks.favicon_check(rich_facts(s, d), read(s, d, "pages").selectExpr(f"concat({_ROOT}, '/favicon.ico') AS url", f"CASE WHEN length({_ROOT}) % 2 = 0 THEN 200 ELSE 404 END AS status")))
+query("read_pages", f"SELECT page_id, url, strlen(html) AS html_bytes FROM pages WHERE html IS NULL OR strlen(html) <= {facts.MAX_BYTES}")(lambda s, d: facts.read_pages(s, f"{d}/pages.parquet").select("page_id", "url", F.octet_length("html").cast("long").alias("html_bytes")))
+query("over_cap", f"SELECT url, strlen(html)::INT AS html_bytes FROM pages WHERE strlen(html) > {facts.MAX_BYTES}")(lambda s, d: facts.over_cap(read(s, d, "pages")))
+_COUNTS = ", ".join(f"greatest(len(regexp_extract_all(t, '{p}')), 1) AS {n}" for n, p in (("w", "[A-Za-z'']+"), ("s", "[.!?]+"))) + ", greatest(len(regexp_extract_all(lower(t), '[aeiouy]+')), 1) AS y"
+query("readability_texts", f"WITH c AS (SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)) SELECT doc_id, {even('0.39 * w / s + 11.8 * y / w - 15.59', 1)} AS grade, {even('206.835 - 1.015 * w / s - 84.6 * y / w', 1)} AS ease FROM c")(
+    lambda s, d: read(s, d, "documents").select("doc_id", *(f(F.coalesce("text", F.lit(""))).alias(n) for n, f in (("grade", text.readability_grade), ("ease", text.reading_ease))))
+)

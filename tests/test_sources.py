@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import links, logs, scoring, search
+from pagewright.functions import urls
+from pagewright.operators import checks, facts, keywords, links, logs, scoring, search
 from pagewright.sources import lists, markup, reports
 from pagewright.streaming import jobs
 
@@ -184,3 +185,37 @@ def test_retention(spark, tmp_path):
     df.write.partitionBy("day").parquet(str(tmp_path / "x"))
     assert jobs.drop_expired(spark, str(tmp_path / "x"), "2026-06-02") == ["day=2026-01-01"]
     assert spark.read.parquet(str(tmp_path / "x")).count() == 1
+
+
+@pytest.mark.parametrize(
+    "reference, want",
+    [  # examples of the generic syntax, section 5.4
+        ("g:h", "g:h"), ("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"), ("#s", "http://a/b/c/d;p?q#s"),
+        ("g#s", "http://a/b/c/g#s"), ("g?y#s", "http://a/b/c/g?y#s"), (";x", "http://a/b/c/;x"), ("", "http://a/b/c/d;p?q"), (".", "http://a/b/c/"), ("./", "http://a/b/c/"), ("..", "http://a/b/"), ("../g", "http://a/b/g"), ("../..", "http://a/"),
+        ("../../g", "http://a/g"), ("../../../g", "http://a/g"), ("/./g", "http://a/g"), ("/../g", "http://a/g"), ("g.", "http://a/b/c/g."), ("..g", "http://a/b/c/..g"), ("./../g", "http://a/b/g"), ("./g/.", "http://a/b/c/g/"), ("g/./h", "http://a/b/c/g/h"), ("g/../h", "http://a/b/c/h"),
+        ("g?y/../x", "http://a/b/c/g?y/../x"), ("g#s/../x", "http://a/b/c/g#s/../x"), (None, None),
+    ],
+)
+def test_references_are_resolved(spark, reference, want):
+    df = spark.createDataFrame([("http://a/b/c/d;p?q", reference)], "base string, reference string")
+    assert df.select(urls.resolve(F.col("base"), F.col("reference"))).first()[0] == want
+
+
+def test_odd_keyword_payloads(spark):
+    wrap = lambda items: json.dumps({"tasks": [{"result": [{"items": items}]}]})
+    good = {"keyword": "a", "keyword_info": {"search_volume": 5, "monthly_searches": [{"year": 2026, "month": 0, "search_volume": 1}, {"year": 2026, "month": 3}, {"month": 2}]}}
+    rows = [("ideas", "x", wrap([3, "keyword", None, good, {"keyword": 7}, {"keyword": " "}, {"keyword": "b", "keyword_info": "none"}])), ("related", "x", wrap([good, {"keyword_data": good}, {"keyword_data": 5}]))]
+    rows += [("ideas", s, p) for s, p in (("1", "{}"), ("2", None), ("3", '{"tasks": []}'), ("4", '{"tasks": [{"result": null}]}'), ("5", wrap({})))]
+    got = {(r.source, r.keyword): r for r in keywords.map_keyword_json(spark.createDataFrame(rows, "source string, seed string, payload string")).collect()}
+    assert set(got) == {("ideas", "a"), ("ideas", "b"), ("related", "a")} and got["ideas", "b"].search_volume is None
+    assert [(t.year, t.month, t.search_volume) for t in got["ideas", "a"].trend] == [(2026, 3, 0)]
+
+
+def test_page_cap_and_root_icons(spark, tmp_path):
+    pages = [(1, "https://a.example/x", "<title>t</title>"), (2, "https://b.example/x", '<link rel="apple-touch-icon" href="/a.png">'), (3, "https://a.example/y", None), (4, "https://c.example", '<link rel="icon" href="/i.ico">' + "x" * 90)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    read = facts.read_pages(spark, str(tmp_path / "p"), 100)
+    assert sorted(r.page_id for r in read.collect()) == [1, 2, 3] and [r.html_bytes for r in facts.over_cap(spark.read.parquet(str(tmp_path / "p")), 100).collect()] == [121]
+    log = spark.createDataFrame([("https://a.example/favicon.ico", 200), ("https://a.example/favicon.ico", 200), ("https://b.example/favicon.ico", 404), ("https://c.example/favicon.ico", 200)], "url string, status int")
+    got = {r.url: (r.status, r.message) for r in checks.favicon_check(facts.extract_facts(spark.read.parquet(str(tmp_path / "p"))), log).collect()}
+    assert got == {"https://a.example/x": ("warning", "root icon"), "https://b.example/x": ("warning", "apple-touch-icon"), "https://a.example/y": ("warning", "root icon"), "https://c.example": ("warning", "icon")}
