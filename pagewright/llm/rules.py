@@ -134,12 +134,12 @@ def clean(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     A null text counts as empty: no words, so base_failed. Every row is judged by itself, so repeated
     rows get equal results; columns of docs that clash with the new ones are replaced.
     """
-    docs = docs.drop(*_NEW)
+    docs = docs.drop(*_NEW, "pagewright_counts", "pagewright_lines")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _chars(w).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     dup = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_SPACE)), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.select("*", counts.alias("rule_counts"), _judged(text).alias("rule_lines"), _count(text, SYMBOLS).cast("long").alias("n_symbols"), dup.alias("n_dup_lines"))
-    out = out.select(*docs.columns, "rule_counts.n_words", "rule_counts.word_chars", "n_symbols", "n_dup_lines", "rule_counts.n_repeat_words", *(f"rule_lines.{c}" for c in ("n_lines", "n_punctuation", "n_navigation", "n_boilerplate", "lost_chars", "clean_text")))
+    out = docs.select("*", counts.alias("pagewright_counts"), _judged(text).alias("pagewright_lines"), _count(text, SYMBOLS).cast("long").alias("n_symbols"), dup.alias("n_dup_lines"))
+    out = out.select(*docs.columns, "pagewright_counts.n_words", "pagewright_counts.word_chars", "n_symbols", "n_dup_lines", "pagewright_counts.n_repeat_words", *(f"pagewright_lines.{c}" for c in ("n_lines", "n_punctuation", "n_navigation", "n_boilerplate", "lost_chars", "clean_text")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars")))
 
