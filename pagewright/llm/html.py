@@ -5,11 +5,12 @@ share an occurrence vector (so many times in each page) form a class; classes th
 exactly once make up the template, without the tokens that are out of order on some page and the
 classes that cross another (not nested in one of its gaps). Equal pages count once.
 
-The text of a page is what its slots hold: the texts between the template's tokens, without those of
-the template itself, in article and main elements too. Tags label slots: if any text is in an
-article or main element, only such texts count; elements that are a menu, header, footer, sidebar,
-notice, advert, form, script or comment list by fixed lists of tags, roles and words in class and id
-hold no main text.
+The slots of a page are what lies between the template's tokens. The main element of a host is the
+deepest element of its template that holds all slot texts, on nine of ten pages at least; a page's
+main text is all that this element holds. Where there is none but the whole page, tags decide: texts
+in article or main elements, or else those of all slots. Elements that are a menu, header, footer,
+sidebar, notice, advert, form, script or comment list, by fixed lists of tags, roles and words in
+class and id, label what is no slot.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.llm.common import materialize, slices, texts, widened
 
@@ -32,14 +34,19 @@ from pagewright.llm.common import materialize, slices, texts, widened
 SUPPORT_SHARE, SUPPORT_PAGES = 0.5, 3
 #: Template tables up to this size are broadcast, larger ones are joined by host.
 BROADCAST_BYTES = 32 << 20
+#: Share of a host's pages on which its main element has to hold the texts of all slots.
+HOLDING_SHARE = 0.9
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A whole tag without < or > in it, which most are; the name of any tag; what ends or quotes.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*)*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _OUT_TAGS = frozenset("nav footer aside form script style noscript template iframe svg math object select option button textarea dialog menu canvas audio video head title".split())
-_OUT_WORDS = frozenset("nav navbar navigation menu footer sidebar aside cookie cookies consent notice banner alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond share sharing social related breadcrumb breadcrumbs subscribe newsletter popup modal overlay pagination pager widget toolbar masthead skip login signup search".split())
+_OUT_WORDS = frozenset("nav navbar navigation menu footer sidebar aside cookie cookies consent notice banner alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus reply replies breadcrumb breadcrumbs subscribe newsletter popup modal overlay pagination pager widget masthead skip login signup search".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -59,20 +66,71 @@ def _is_out(tag: str, raw: str, in_article: bool) -> bool:
     if not raw or tag in ("html", "body", "article", "main"):
         return False
     a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _OUT_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
+    if a.get("role", "").lower() in _OUT_ROLES:
         return True
     named = f"{a.get('class', '')} {a.get('id', '')}"
     words = {w.lower() for w in _WORDS.findall(_SPLIT_CAMEL.sub(" ", named))}
     return bool(words & _OUT_WORDS) or "header" in words and not in_article
 
 
+def markup(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Tags (begin, end, slash, name, attributes) and comments (no name) of a page, in one pass: what
+    has been read is not read again. Once a tag has no end outside of quotes, tags of the rest of the
+    page end at the next >; without one, the rest is text."""
+    at, begin, quotes = 0, 0, True
+    while (i := source.find("<", at)) >= 0:
+        if m := _TAG.match(source, i):
+            at = m.end()
+            yield (i, at, *m.groups())
+            continue
+        begin = source[i + 1 : i + 2]
+        if begin and begin in "!?":
+            start, stop = ("<!--", "-->") if source.startswith("<!--", i) else ("<![CDATA[", "]]>") if source.startswith("<![CDATA[", i) else ("<!", ">")
+            end = source.find(stop, i + len(start))
+            at = end + len(stop) if end >= 0 else len(source)
+            yield i, at, "", "", ""
+            continue
+        if not (m := _NAME.match(source, i)):
+            at = i + 1
+            continue
+        end = m.end()
+        while quotes:
+            end = _PLAIN.match(source, end).end()
+            if end < len(source) and source[end] == ">":
+                break
+            end = source.find(source[end], end + 1) + 1 if end < len(source) else 0
+            quotes = end > 0
+        if not quotes and (end := source.find(">", m.end())) < 0:
+            return
+        at = end + 1
+        yield i, at, m[1], m[2], source[m.end() : end]
+
+
+@lru_cache(100_000)
+def _below(path: int, tag: str) -> int:
+    """The place of an element in the tree: a hash of its tag and those above."""
+    return xxhash.xxh3_64_intdigest(f"{path}/{tag}".encode("utf-8", "surrogatepass"))
+
+
+_ROOT = ("", False, False, 0, 0)
+
+
+def _hash(path: int, kind: str, what: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}{kind}{what}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+_HEAD_TOKEN = _hash(_below(0, "html"), "<", "head")
+
+
 class Page:
-    """Blocks of a page in order, and its tokens."""
+    """Blocks of a page in order, its tokens, and its elements."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []  # path, text, out, in article or main
-        self.tokens: list[str] = []  # in order
-        self._stack: list[tuple[str, bool, bool, str]] = []  # tag, out, in article, path
+        self.blocks: list[tuple[int, str, int, bool, bool, int]] = []  # place, text, token, out, in article or main, element
+        self.tokens: list[int] = []  # in order
+        self.elements: list[tuple[int, int]] = [(-1, 0)]  # element above, token that opens it
+        self._stack: list[tuple[str, bool, bool, int, int]] = []  # tag, out, in article, place, element
+        self._open_tags: Counter[str] = Counter()
         self._text: list[str] = []
         self._read(source)
 
@@ -83,34 +141,47 @@ class Page:
             text = html.unescape(text)
         text = _SPACE.sub(" ", text).strip()
         if text:
-            _, out, inside, path = self._stack[-1] if self._stack else _ROOT
-            self.blocks.append((path, text, out, inside))
-            self.tokens.append(f"{path}|{text}")
+            _, out, inside, path, element = self._stack[-1] if self._stack else _ROOT
+            token = _hash(path, "|", text)
+            self.blocks.append((path, text, token, out, inside, element))
+            self.tokens.append(token)
 
     def _open(self, tag: str, raw: str) -> None:
-        _, out, inside, path = self._stack[-1] if self._stack else _ROOT
-        self.tokens.append(f"{path}<{tag}")
-        below = path if tag in _INLINE else f"{path}/{tag}" if path else tag
-        self._stack.append((tag, out or _is_out(tag, raw, inside), inside or tag in ("article", "main"), below))
+        _, out, inside, path, element = self._stack[-1] if self._stack else _ROOT
+        token = _hash(path, "<", tag)
+        self.tokens.append(token)
+        below = path
+        if tag not in _INLINE:
+            below = _below(path, tag)
+            self.elements.append((element, token))
+            element = len(self.elements) - 1
+        self._stack.append((tag, out or _is_out(tag, raw, inside), inside or tag in ("article", "main"), below, element))
+        self._open_tags[tag] += 1
+
+    def _pop(self, size: int) -> None:
+        while len(self._stack) > size:
+            self._open_tags[self._stack.pop()[0]] -= 1
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == tag:
-                del self._stack[i:]
-                self.tokens.append(f"{self._stack[-1][3] if self._stack else ''}>{tag}")
-                return
+        if not self._open_tags[tag]:
+            return
+        while self._stack[-1][0] != tag:
+            self._pop(len(self._stack) - 1)
+        self._pop(len(self._stack) - 1)
+        self.tokens.append(_hash(self._stack[-1][3] if self._stack else 0, ">", tag))
 
     def _read(self, source: str) -> None:
         at, stack = 0, self._stack
-        while m := _TOKEN.search(source, at):
-            self._text.append(source[at : m.start()])
-            at = m.end()
-            closes, tag, raw = m.groups()
+        for begin, end, closes, tag, raw in markup(source):
+            if begin < at:  # inside of a script or the like
+                continue
+            self._text.append(source[at:begin])
+            at = end
             if not tag:
                 continue
             tag = tag.lower()
             inline = tag in _INLINE
-            top, was_out, inside, path = stack[-1] if stack else _ROOT
+            top, was_out, inside, path, _ = stack[-1] if stack else _ROOT
             if not inline or closes and top == tag and was_out or not was_out and raw and _is_out(tag, raw, inside):
                 self._end_block()
             elif tag == "br":
@@ -120,76 +191,117 @@ class Page:
                 continue
             if not inline and stack:
                 if tag != "p" and top in _CLOSED_BY.get(tag, ()):
-                    stack.pop()
-                else:
+                    self._pop(len(stack) - 1)
+                elif self._open_tags["p"]:
                     # a block ends an open paragraph, and what was left open in it
                     k = len(stack) - 1
                     while k >= 0 and stack[k][0] in _INLINE:
                         k -= 1
                     if k >= 0 and stack[k][0] == "p":
-                        del stack[k:]
+                        self._pop(k)
             if tag in _RAW:
-                end = _raw_end(tag).search(source, at)
-                self.tokens.append(f"{stack[-1][3] if stack else ''}<{tag}")
-                at = end.end() if end else len(source)
+                close = _raw_end(tag).search(source, at)
+                self.tokens.append(_hash(stack[-1][3] if stack else 0, "<", tag))
+                at = close.end() if close else len(source)
             elif tag not in _VOID and not raw.endswith("/"):
                 self._open(tag, raw)
         self._text.append(source[at:])
         self._end_block()
 
 
-_ROOT = ("", False, False, "")
-
-
 @lru_cache(100)
 def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>", re.I)
 
 
-def _hash(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+# A block as it is kept: text, token, whether an article or main element holds it, its element.
+Block = tuple[str, int, bool, int]
 
 
-def _candidates(page: Page) -> list[tuple[str, int]]:
-    """Blocks whose tags say that they may hold main text, with their tokens."""
-    kept = [(p, t, inside) for p, t, out, inside in page.blocks if not out]
-    labelled = any(inside for _, _, inside in kept)
-    return [(t, _hash(f"{p}|{t}")) for p, t, inside in kept if inside or not labelled]
+def _candidates(page: Page) -> list[Block]:
+    """Blocks that no label leaves out."""
+    return [(text, token, inside, element) for _, text, token, out, inside, element in page.blocks if not out]
 
 
-def main_text(source: str, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Main text of one page: what its slots hold, blocks joined by an empty line."""
-    return "\n\n".join(t for t, token in _candidates(Page(source)) if token not in template)
+def _above(element: int, parents: list[int]) -> Iterator[int]:
+    while element >= 0:
+        yield element
+        element = parents[element]
+
+
+def holding(blocks: list[Block], parents: list[int], openers: list[int], template: set[int]) -> list[tuple[int, int]]:
+    """Template elements, as (token, depth), that hold all slot texts of a page."""
+    common: list[int] | None = None
+    seen: set[int] = set()
+    for _, token, _, element in blocks:
+        if token in template or element in seen:
+            continue
+        seen.add(element)
+        if common is None:
+            common = list(_above(element, parents))
+        else:
+            own = set(_above(element, parents))
+            common = [e for e in common if e in own]
+    return [(openers[e], len(common) - i) for i, e in enumerate(common or []) if openers[e] in template]
+
+
+def chosen(blocks: list[Block], parents: list[int], openers: list[int], template: set[int] | frozenset[int], main: int | None) -> str:
+    """The main text of a page, given the token of its host's main element, if that has one."""
+    if main is not None:
+        kept = [t for t, _, _, element in blocks if any(openers[e] == main for e in _above(element, parents))]
+        if kept:
+            return "\n\n".join(kept)
+    if any(inside for _, _, inside, _ in blocks):
+        return "\n\n".join(t for t, _, inside, _ in blocks if inside)
+    return "\n\n".join(t for t, token, _, _ in blocks if token not in template)
+
+
+def main_text(source: str, template: set[int] | frozenset[int] = frozenset(), main: int | None = None) -> str:
+    """Main text of one page, blocks joined by an empty line."""
+    page = Page(source)
+    return chosen(_candidates(page), [p for p, _ in page.elements], [t for _, t in page.elements], template, main)
 
 
 def visible_text(source: str) -> str:
     """All text of a page but scripts, styles and the like, a line a block."""
-    return "\n".join(t for p, t, _, _ in Page(source).blocks if not p.startswith("html/head"))
+    page = Page(source)
+    heads = {0: False}
+    for i, (parent, token) in enumerate(page.elements[1:], 1):
+        heads[i] = heads[parent] or token == _HEAD_TOKEN
+    return "\n".join(text for _, text, _, _, _, element in page.blocks if not heads[element])
 
 
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+_PARSED = "pagewright_digest binary, pagewright_tokens array<bigint>, pagewright_blocks array<string>, pagewright_marks array<bigint>, pagewright_inside array<boolean>, pagewright_at array<int>, pagewright_parents array<int>, pagewright_openers array<bigint>"
+
+
 def parsed(pages: DataFrame, *carried: str) -> DataFrame:
     """The carried columns of pages, and of each page its host, a digest of its html, its tokens in
-    order, and the texts and tokens of its candidate blocks. Pages are parsed here only."""
+    order, its candidate blocks (texts, tokens, labels, elements), and the elements above these.
+    Pages are parsed here only."""
     source = pages.select(*carried, _host(F.col("url").cast("string")).alias("pagewright_host"), F.col("html").cast("string").alias("pagewright_html"))
+    schema = widened(source.drop("pagewright_html"), _PARSED)
+    types = [f.type for f in to_arrow_schema(schema)][len(schema) - 8 :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
-            digests, tokens, blocks, marks = [], [], [], []
+            rows = []
             for h in texts(b.column(b.num_columns - 1)):
                 page = Page(h)
-                found = _candidates(page)
-                digests.append(xxhash.xxh3_128_digest(h.encode("utf-8", "surrogatepass")))
-                tokens.append(list(map(_hash, page.tokens)))
-                blocks.append([t for t, _ in found])
-                marks.append([m for _, m in found])
-            columns = [pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.record_batch([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], "pagewright_digest", "pagewright_tokens", "pagewright_blocks", "pagewright_marks"])
+                blocks = _candidates(page)
+                used = sorted({e for *_, element in blocks for e in _above(element, [p for p, _ in page.elements])}) if blocks else []
+                place = {e: i for i, e in enumerate(used)} | {-1: -1}
+                rows.append((
+                    xxhash.xxh3_128_digest(h.encode("utf-8", "surrogatepass")), page.tokens, [t for t, *_ in blocks], [k for _, k, *_ in blocks], [i for _, _, i, _ in blocks], [place[e] for *_, e in blocks],
+                    [place[page.elements[e][0]] for e in used], [page.elements[e][1] for e in used],
+                ))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.record_batch([*b.columns[:-1], *columns], names=schema.names)
 
-    return source.mapInArrow(run, widened(source.drop("pagewright_html"), "pagewright_digest binary, pagewright_tokens array<bigint>, pagewright_blocks array<string>, pagewright_marks array<bigint>"))
+    return source.mapInArrow(run, schema)
 
 
 def _with_host(df: DataFrame, side: DataFrame, size: int) -> DataFrame:
@@ -282,13 +394,48 @@ def templates(pages: DataFrame) -> DataFrame:
     return valid.select("pagewright_host", F.array_except(F.flatten("pagewright_classes"), F.coalesce("gone", F.array().cast("array<bigint>"))).alias("pagewright_template"))
 
 
+_BLOCKS = ["pagewright_blocks", "pagewright_marks", "pagewright_inside", "pagewright_at", "pagewright_parents", "pagewright_openers"]
+
+
+def main_elements(pages: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """pagewright_host and the token of its main element, of the hosts with one inside of the page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            hosts, tokens, depths, pages = [], [], [], []
+            for host, blocks, marks, inside, at, parents, openers, template in zip(*(c.to_pylist() for c in b.columns)):
+                rows = holding(list(zip(blocks, marks, inside, at)), parents, openers, set(template or ()))
+                for token, depth in [(None, 0)] * bool(blocks) + rows:  # the page itself is counted under no token
+                    hosts.append(host)
+                    tokens.append(token)
+                    depths.append(depth)
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(depths, pa.int32())], names=["pagewright_host", "token", "depth"])
+
+    rows = _with_host(pages.select("pagewright_host", *_BLOCKS), found, size).mapInArrow(run, "pagewright_host string, token long, depth int")
+    counts = rows.groupBy("pagewright_host", "token").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    totals = counts.where("token IS NULL").select("pagewright_host", F.col("n").alias("pages"))
+    holders = counts.where("token IS NOT NULL").join(totals, "pagewright_host").where(F.col("n") >= HOLDING_SHARE * F.col("pages"))
+    whole = [_hash(0, "<", "html"), _hash(_below(0, "html"), "<", "body"), _hash(0, "<", "body")]
+    deepest = holders.groupBy("pagewright_host").agg(F.max_by("token", F.struct("depth", "token")).alias("pagewright_main"))
+    return deepest.where(~F.col("pagewright_main").isin(*whole))
+
+
 def _extracted(kept: DataFrame, *carried: str) -> DataFrame:
     pages = materialize(parsed(kept, *carried), "parsed")
     found = materialize(templates(pages), "templates")
     size = found.agg(F.sum(8 * F.size("pagewright_template") + F.octet_length("pagewright_host"))).first()[0] or 0
-    left = F.filter(F.arrays_zip("pagewright_blocks", "pagewright_marks"), lambda x: ~F.coalesce(F.array_contains("pagewright_template", x["pagewright_marks"]), F.lit(False)))
-    text = F.array_join(F.transform(left, lambda x: x["pagewright_blocks"]), "\n\n").alias("text")
-    return _with_host(pages, found, size).select(*carried, text).withColumn("n_chars", F.length("text").cast("long"))
+    mains = materialize(main_elements(pages, found, size), "mains")
+    both = _with_host(_with_host(pages.select(*carried, "pagewright_host", *_BLOCKS), found, size), mains, size)
+    schema = widened(kept.select(*carried), "text string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            out = []
+            for blocks, marks, inside, at, parents, openers, template, main in zip(*(c.to_pylist() for c in b.columns[len(carried) :])):
+                out.append(chosen(list(zip(blocks, marks, inside, at)), parents, openers, set(template or ()), main))
+            yield pa.record_batch([*b.columns[: len(carried)], pa.array(out, pa.string())], names=schema.names)
+
+    return both.drop("pagewright_host").mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
