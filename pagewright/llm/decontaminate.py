@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from pagewright.llm.common import slices, texts, widened
+from pagewright.llm.common import materialize, slices, texts, widened
 
 WINDOW_WORDS = 13
-#: Text bytes of test items that are broadcast at once; more are taken in several passes.
-ITEM_BYTES = 32 << 20
+#: Text bytes of test items in one automaton; more are taken in several passes. A byte of text is in 13
+#: windows, and a node of the automaton takes some 40 bytes, so one of this size takes about 290 MB.
+ITEM_BYTES = 512 << 10
 _WORD = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | frozenset(range(128, 256))
 #: Byte for byte: A-Z to lower case, what is in no word to a space. UTF-8 bytes from 0x80 on belong
 #: to characters beyond ASCII, which are all word characters.
@@ -86,50 +87,112 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _parts(items: DataFrame, item_bytes: int) -> int:
-    """Into how many parts, by a hash of their ids, items go so that each holds item_bytes or less,
-    or one item."""
+#: Words of an item that stay together.
+PIECE_WORDS = 4096
+
+
+def _pieces(items: DataFrame) -> DataFrame:
+    """Items in pieces (item_id, piece, text) that have all their windows: a long item is cut, and the
+    words that windows over a cut need are in both pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                words = normalise(t)[1]
+                for k, at in enumerate(range(0, max(1, len(words) - WINDOW_WORDS + 1), PIECE_WORDS)):
+                    rows.append((i, k, b" ".join(words[at : at + PIECE_WORDS + WINDOW_WORDS - 1]).decode("utf-8", "surrogatepass")))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["item_id", "piece", "text"])
+
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(run, "item_id long, piece int, text string")
+
+
+def _part(n: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "piece"), F.lit(n))
+
+
+def _parts(pieces: DataFrame, item_bytes: int) -> int:
+    """Into how many parts, by a hash of their numbers, pieces go so that each holds item_bytes or
+    less, or one piece."""
     n = 1
     while True:
-        part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-        sums = items.groupBy(part).agg(F.sum(F.octet_length("text")).alias("size"), F.countDistinct("item_id").alias("ids"))
+        sums = pieces.groupBy(_part(n)).agg(F.sum(F.octet_length("text")).alias("size"), F.countDistinct("item_id", "piece").alias("ids"))
         if not (over := sums.where((F.col("size") > item_bytes) & (F.col("ids") > 1)).agg(F.max("size")).first()[0]):
             return n
         n *= max(2, over // item_bytes)
 
 
-_HELD_SPANS = "pagewright_spans array<struct<first:bigint,last:bigint>>, pagewright_items array<bigint>"
 _NEW = "n_words long, n_hit long, item_ids array<string>, spans array<struct<begin:bigint,end:bigint>>"
+_HITS = "pagewright_row long, pagewright_spans array<struct<first:bigint,last:bigint>>, pagewright_items array<long>"
+
 
+def _found(text: str, n: int, spans: list[tuple[int, int]], items: set) -> tuple:
+    """Values of the new columns, from word ranges that are merged."""
+    return n, sum(y - x for x, y in spans), sorted(map(str, items)), [{"begin": x, "end": y} for x, y in original_spans(text, spans)] if spans else []
 
-def _pass(docs: DataFrame, at: int, items: list[tuple[int, str]], first: bool, last: bool) -> DataFrame:
-    """Scan the texts (column at) for some of the items. Word ranges and items found so far are the
-    last two columns between passes; the last pass puts the result in their place."""
+
+def _one_pass(docs: DataFrame, at: int, items: list[tuple[int, str]]) -> DataFrame:
+    """docs with the new columns, by one automaton of all items."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     built: list = []
-    kept = docs.columns if first else docs.columns[:-2]
-    schema = widened(docs.select(*kept), _NEW if last else _HELD_SPANS)
-    types = [f.type for f in to_arrow_schema(schema)][len(kept) :]
+    schema = widened(docs, _NEW)
+    types = [f.type for f in to_arrow_schema(schema)][len(docs.columns) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(automaton(held.value))
         for b in slices(batches):
             out = []
-            old = zip(*(c.to_pylist() for c in b.columns[-2:])) if not first else repeat(([], []))
-            for t, (spans, ids) in zip(texts(b.column(at)), old):
-                n, new_spans, new_ids = scan(t, built[0])
-                spans = merged([*((s["first"], s["last"]) for s in spans), *new_spans])
-                ids = {*ids, *new_ids}
-                if last:
-                    out.append((n, sum(y - x for x, y in spans), sorted(map(str, ids)), [{"begin": x, "end": y} for x, y in original_spans(t, spans)] if spans else []))
-                else:
-                    out.append(([{"first": x, "last": y} for x, y in spans], sorted(ids)))
-            yield pa.record_batch([*b.columns[: len(kept)], *map(pa.array, zip(*out), types)], names=schema.names)
+            for t in texts(b.column(at)):
+                n, spans, ids = scan(t, built[0])
+                out.append(_found(t, n, merged(spans), ids))
+            yield pa.record_batch([*b.columns, *map(pa.array, zip(*out), types)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _hits(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """Word ranges and items found in rows (pagewright_row, text), of the rows that have any."""
+    held = docs.sparkSession.sparkContext.broadcast(items)
+    built: list = []
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(_HITS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            built.append(automaton(held.value))
+        for b in slices(batches):
+            rows = [(i, *scan(t, built[0])[1:]) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)))]
+            out = [(i, [{"first": x, "last": y} for x, y in merged(spans)], sorted(ids)) for i, spans, ids in rows if spans]
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["pagewright_row", "pagewright_spans", "pagewright_items"])
+
+    return docs.mapInArrow(run, _HITS)
+
+
+def _passes(docs: DataFrame, at: int, parts: Iterator[list[tuple[int, str]]]) -> DataFrame:
+    """docs with the new columns, by one automaton after the other: each pass is a job of its own that
+    writes what it found, so a worker holds one automaton at a time."""
+    numbered = materialize(docs.withColumn("pagewright_row", F.monotonically_increasing_id()), "numbered")
+    texts_only = numbered.select("pagewright_row", F.col("text").cast("string").alias("text"))
+    hits = None
+    for items in parts:
+        found = materialize(_hits(texts_only, items), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+    per_row = hits.groupBy("pagewright_row").agg(F.flatten(F.collect_list("pagewright_spans")).alias("pagewright_spans"), F.flatten(F.collect_list("pagewright_items")).alias("pagewright_items"))
+    joined = numbered.join(per_row, "pagewright_row", "left").select(*docs.columns, "pagewright_spans", "pagewright_items")
+    schema = widened(docs, _NEW)
+    types = [f.type for f in to_arrow_schema(schema)][len(docs.columns) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for t, spans, ids in zip(texts(b.column(at)), *(c.to_pylist() for c in b.columns[-2:])):
+                out.append(_found(t, len(normalise(t)[1]), merged([(s["first"], s["last"]) for s in spans or []]), set(ids or [])))
+            yield pa.record_batch([*b.columns[:-2], *map(pa.array, zip(*out), types)], names=schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
 def match(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """Columns of docs with n_words, n_hit, item_ids (distinct, as sorted strings) and spans
     (merged character ranges of the original text).
@@ -140,14 +203,12 @@ def match(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -
     into parts of that size (a larger single item is a part of its own), and the documents are
     scanned for one part after the other.
     """
-    out = docs.drop(*(c.split()[0] for c in _NEW.split(", ") if c), "pagewright_spans", "pagewright_items")
+    out = docs.drop(*(c.split()[0] for c in _NEW.split(", ") if c), "pagewright_row", "pagewright_spans", "pagewright_items")
     at = out.columns.index("text")
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    n = _parts(rows, item_bytes)
-    for i in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        out = _pass(out, at, [(r[0], r[1]) for r in part.collect()], i == 0, i == n - 1)
-    return out
+    pieces = materialize(_pieces(benchmark), "pieces")
+    n = _parts(pieces, item_bytes)
+    parts = ([(r["item_id"], r["text"]) for r in pieces.where(_part(n) == i).collect()] for i in range(n))
+    return _one_pass(out, at, next(parts)) if n == 1 else _passes(out, at, parts)
 
 
 def _contaminated():

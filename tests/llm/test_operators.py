@@ -4,8 +4,11 @@ import base64
 import hashlib
 import io
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -451,6 +454,40 @@ def test_contamination_odd_rows(spark, odd, none):
     assert decontaminate.report(none, bench).count() == 0 and decontaminate.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_long_items_in_pieces(spark, monkeypatch):
+    """Windows over the cuts of an item are found, in one pass and in many."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(400)}" for _ in range(9000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short item"), (3, "")], "item_id long, text string")
+    docs = [(i, "x " * (i % 7) + " ".join(words[i * 60 : i * 60 + 12 + i % 3])) for i in range(150)] + [(900, " ".join(words[4090:4110])), (901, "A SHORT item!"), (902, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    every = {tuple(words[i : i + 13]) for i in range(len(words) - 12)}
+
+    def hits(t):
+        own = (t or "").lower().replace("!", "").split()
+        covered = {i + k for i in range(len(own) - 12) if tuple(own[i : i + 13]) in every for k in range(13)}
+        return len(covered) + 2 * ("short item" in " ".join(own))
+
+    want = {i: hits(t) for i, t in docs}
+    for size in (1 << 20, 20_000):
+        assert {r.doc_id: r.n_hit for r in decontaminate.match(df, bench, size).collect()} == want
+
+
+def test_a_full_part_fits_a_worker():
+    """The automaton of ITEM_BYTES of items, in a process of its own."""
+    code = f"""
+import random, resource
+from pagewright.llm import decontaminate as d
+rng = random.Random(1)
+text = " ".join(str(rng.getrandbits(20)) for _ in range(d.ITEM_BYTES // 7))
+a = d.automaton([(1, text)])
+assert d.scan(text[:2000], a)[2] == {{1}}
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.environ["PYTHONPATH"]})
+    assert int(out.stdout) < 600, out.stdout
+
+
 # HTML
 
 
