@@ -18,6 +18,8 @@ from pagewright.llm.common import slices, texts, widened
 
 #: Blocks in a row of a payload image, and between two restart markers.
 ROW_BLOCKS = 64
+#: Payload bytes, and blocks, that are coded at once: a long text takes more rounds, not more memory.
+CHUNK = 1 << 20
 MAX_SIDE_BLOCKS = 65535 // 8
 # Code lengths and symbols of the usual luminance DC table of baseline JPEG.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
@@ -143,11 +145,20 @@ def dc_planes(images: list[Image]) -> list[np.ndarray]:
         at += total * len(order)
     width = max(map(len, dc_of))
     pad = lambda rows: np.array([r + [0] * (width - len(r)) for r in rows])
-    dc_of, ac_of, comp_of, per, tables = pad(dc_of) << 16, pad(ac_of) << 16, pad(comp_of), np.array(sizes), np.concatenate(stack).astype(np.int64)
+    codes = pad(dc_of) << 16, pad(ac_of) << 16, pad(comp_of), np.array(sizes), np.concatenate(stack).astype(np.int64)
+    out = np.zeros(at, np.int32)
+    for lanes in _runs(lanes_blocks):
+        _decode(data[lanes], lanes_layout[lanes], lanes_blocks[lanes], lanes_out[lanes], codes, out)
+    return [_thumbnail(img, out[first:]) for img, first in zip(images, firsts)]
+
+
+def _decode(data: list[bytes], lanes_layout: list[int], lanes_blocks: list[int], lanes_out: list[int], codes: tuple, out: np.ndarray) -> None:
+    """DC values of the blocks of some restart segments, put where they belong in out."""
+    dc_of, ac_of, comp_of, per, tables = codes
+    width = dc_of.shape[1]
     lengths = np.array([len(x) + 8 for x in data])
     raw = np.frombuffer(b"".join(x + b"\xff" * 8 for x in data) + b"\xff" * 8, np.uint8).astype(np.uint32)
     words = (raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]).astype(np.int64)
-    out = np.zeros(at, np.int64)
     broken = False
     pos = 8 * (np.cumsum(lengths) - lengths)
     end = pos + 8 * (lengths - 4)
@@ -185,18 +196,24 @@ def dc_planes(images: list[Image]) -> list[np.ndarray]:
         if not left.all():
             live = left > 0
             pos, end, layout, left, put, j, k, pred = (x[live] for x in (pos, end, layout, left, put, j, k, pred))
-    thumbs = []
-    for img, first in zip(images, firsts):
-        across, down, order = _blocks(img)
-        h, v, q = img.components[0][:3]
-        own = out[first : first + across * down * len(order)].reshape(down, across, len(order))[:, :, : h * v]
-        plane = own.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-        wide, high = -(-img.width // 8), -(-img.height // 8)
-        if len(img.components) > 1:  # luminance may have less than one block for eight pixels
-            most_h, most_v = max(c[0] for c in img.components), max(c[1] for c in img.components)
-            wide, high = -(-img.width * h // (8 * most_h)), -(-img.height * v // (8 * most_v))
-        thumbs.append(np.clip((plane[:high, :wide] * q + 4) // 8 + 128, 0, 255).astype(np.uint8))
-    return thumbs
+
+
+def _thumbnail(img: Image, values: np.ndarray) -> np.ndarray:
+    """Samples of the luminance blocks of an image, from the DC values of all its blocks in order."""
+    across, down, order = _blocks(img)
+    h, v, q = img.components[0][:3]
+    wide, high = -(-img.width // 8), -(-img.height // 8)
+    if len(img.components) > 1:  # luminance may have less than one block for eight pixels
+        most_h, most_v = max(c[0] for c in img.components), max(c[1] for c in img.components)
+        wide, high = -(-img.width * h // (8 * most_h)), -(-img.height * v // (8 * most_v))
+    out = np.empty((high, wide), np.uint8)
+    step = max(1, CHUNK // (across * len(order)))
+    for row in range(0, down, step):
+        rows = min(step, down - row)
+        own = values[row * across * len(order) : (row + rows) * across * len(order)].reshape(rows, across, len(order))[:, :, : h * v]
+        plane = own.reshape(rows, across, v, h).transpose(0, 2, 1, 3).reshape(rows * v, across * h)[: max(0, high - row * v), :wide]
+        out[row * v : row * v + len(plane)] = np.clip((plane.astype(np.int64) * q + 4) // 8 + 128, 0, 255)
+    return out
 
 
 def thumbnail_hash(plane: np.ndarray) -> str:
@@ -238,15 +255,9 @@ def _layout(n: int) -> tuple[int, int, int]:
     return across, -(-n // across), 1
 
 
-def write_payloads(payloads: list[bytes]) -> list[bytes]:
-    """Grey baseline JPEG of each payload (its length a positive multiple of 64), or several back
-    to back if it does not fit one; see _layout for the zero bytes that may follow it there. Each
-    byte is the level of a flat 8x8 block: with a DC quantiser of 8 its one coefficient is the byte
-    less 128, so nothing is lost. A restart marker ends every 64."""
-    layouts = [_layout(len(p) // 64) for p in payloads]
-    payloads = [p + bytes(64 * across * rows - len(p)) for p, (across, rows, _) in zip(payloads, layouts)]
-    lengths = np.array([len(p) for p in payloads])
-    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64)
+def _encoded(payload: np.ndarray) -> list[bytes]:
+    """Restart segments of a payload, each of 64 bytes."""
+    data = payload.astype(np.int64)
     prev = np.concatenate(([128], data[:-1]))
     prev[::64] = 128
     diff = data - prev + 255
@@ -265,7 +276,18 @@ def write_payloads(payloads: list[bytes]) -> list[bytes]:
     spare = 8 * whole - bits
     buffer[starts + whole - 1] |= (1 << spare) - 1
     scan = buffer.astype(np.uint8).tobytes()
-    stuffed = [scan[a : a + n].replace(b"\xff", b"\xff\x00") for a, n in zip(starts.tolist(), whole.tolist())]
+    return [scan[a : a + n].replace(b"\xff", b"\xff\x00") for a, n in zip(starts.tolist(), whole.tolist())]
+
+
+def write_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Grey baseline JPEG of each payload (its length a positive multiple of 64), or several back
+    to back if it does not fit one; see _layout for the zero bytes that may follow it there. Each
+    byte is the level of a flat 8x8 block: with a DC quantiser of 8 its one coefficient is the byte
+    less 128, so nothing is lost. A restart marker ends every 64."""
+    layouts = [_layout(len(p) // 64) for p in payloads]
+    payloads = [p + bytes(64 * across * rows - len(p)) for p, (across, rows, _) in zip(payloads, layouts)]
+    joined = b"".join(payloads)
+    stuffed = [x for at in range(0, len(joined), CHUNK) for x in _encoded(np.frombuffer(joined, np.uint8, min(CHUNK, len(joined) - at), at))]
     out, k = [], 0
     for across, rows, images in layouts:
         media = b""

@@ -488,6 +488,20 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     assert int(out.stdout) < 600, out.stdout
 
 
+def test_a_long_payload_takes_rounds_not_memory():
+    """32 MB there and back, in a process of its own; a hundred bytes a byte would be 3 GB."""
+    code = """
+import resource
+from pagewright.llm import jpeg
+payload = bytes(range(32, 96)) * (1 << 19)
+(media,) = jpeg.write_payloads([payload])
+assert b"".join(p.tobytes() for p in jpeg.dc_planes([jpeg.parse(m) for m in jpeg.images_of(media)]))[: len(payload)] == payload
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 700, out.stdout
+
+
 # HTML
 
 
