@@ -189,27 +189,16 @@ def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame
     targets are dealt out once to be made distinct, which is the dealing that the anti joins with
     the rounds before need.
     """
-    spark = edges.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables: list[str] = []
-
-    def kept(rows: DataFrame) -> DataFrame:
-        table, out = bucketed(rows, "url", n)
-        tables.append(table)
-        return out
-
-    try:
-        held = kept(edges.select("url", "to").where("url IS NOT NULL AND to IS NOT NULL").repartition(n, "url").dropDuplicates(["url", "to"]))
-        seen = [kept(seeds.select("url").where("url IS NOT NULL").repartition(n, "url").dropDuplicates(["url"]).withColumn("depth", F.lit(0)))]
-        for d in range(1, max_depth + 1):
-            front = kept(_reached(held, seen[-1], seen).withColumn("depth", F.lit(d)).repartition(n, "url"))
-            if front.isEmpty():
-                break
-            seen.append(front)
-        return union_all(seen)
-    finally:
-        for table in tables:  # the names alone: the files stay in the shared folder for who reads the result
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = lambda df, *c: df.where(" AND ".join(f"{x} IS NOT NULL" for x in c)).select(*c).repartition(n, "url").dropDuplicates(list(c))
+    held, _ = bucketed(some(edges, "url", "to"), "url", n)
+    seen = [bucketed(some(seeds, "url").withColumn("depth", F.lit(0)), "url", n)]
+    for d in range(1, max_depth + 1):
+        front = bucketed(_reached(held, seen[-1][0], [s for s, _ in seen]).withColumn("depth", F.lit(d)).repartition(n, "url"), "url", n)
+        if front[1].isEmpty():
+            break
+        seen.append(front)
+    return union_all([rows for _, rows in seen])
 
 
 # Limits of one sitemap.

@@ -26,14 +26,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[str, DataFrame]:
-    """df, written to the checkpoint folder in so many buckets of a key and read back: joins on the key
-    with rows in as many buckets need no exchange. The name of its table, and the rows, which outlast
-    that name."""
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """df, written to the checkpoint folder in so many buckets of a key, and read back twice: as
+    buckets, for joins with rows in as many by that key, which need no exchange, and as mere files,
+    for all else. The table's name goes at once; its files stay."""
     spark = df.sparkSession
     name = f"pagewright_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{_root(spark)}/{name}").format("parquet").saveAsTable(name)
-    return name, spark.table(name)
+    path = f"{_root(spark)}/{name}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows, spark.read.schema(rows.schema).parquet(path)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
