@@ -42,6 +42,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As materialize, in a folder for each value of a column: who filters by it reads no other."""
+    path = new_path(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pagewright_path = path
+    return out
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As materialize, in buckets of a key, sorted: a join by the key with rows in as many partitions
+    reads them where they lie. The table's name goes at once; its files stay."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table_name = f"pagewright_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table_name)
+    out = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    out._pagewright_path = path
+    return out
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The rows of a materialized DataFrame, read as mere files."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._pagewright_path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized DataFrame that nothing reads any more."""
     path = getattr(df, "_pagewright_path", None)

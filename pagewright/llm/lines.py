@@ -4,7 +4,8 @@ Documents come in batches, those with the largest doc_id first, so the first doc
 is the one that keeps it. A run holds, for every line key of a batch, in how many documents it is, the
 largest doc_id, and, if no earlier run has the key, its first document: the batch is joined with the
 runs before it is added. Each batch becomes a run of level 0; when a level has FANOUT runs they are
-merged into one run of the next level. Runs are written sorted by key.
+merged into one run of the next level. Runs are written in buckets of the key and sorted by it, and
+lines in a folder for each batch, so a batch reads its own lines once and the runs where they lie.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import discard, materialize, slices, texts, widened
+from pagewright.llm.common import bucketed, discard, materialize, materialize_by, plain, slices, texts, widened
 
 MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 4
 #: Documents above which each doubling adds a batch, and so many keys at most that count as hot.
@@ -56,37 +57,45 @@ class LineRuns:
     def _runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _seen(self) -> DataFrame | None:
-        """Keys of all runs, each once: a key has its first document in one run alone."""
-        runs = [run.where("first_doc IS NOT NULL").select("key") for run in self._runs()]
-        return self._union(runs) if runs else None
+    def _marked(self, keys: DataFrame) -> DataFrame:
+        """keys with known: whether a run has the key. A key has its first document in one run alone.
+        Runs lie in buckets of the key, so each is joined where it lies, and only keys are dealt out."""
+        out = keys.withColumn("known", F.lit(False))
+        for run in self._runs():
+            has = run.where("first_doc IS NOT NULL").select("key", F.lit(True).alias("has"))
+            out = out.join(has, "key", "left").withColumn("known", F.col("known") | F.col("has").isNotNull()).drop("has")
+        return out
+
+    def _written(self, run: DataFrame) -> DataFrame:
+        buckets = int(run.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return bucketed(run, "run", "key", buckets)
+
+    def marked(self, lines: DataFrame) -> DataFrame:
+        """The keys of a batch of (doc_id, key) rows with their documents, and whether a run has them."""
+        keys = lines.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        return self._marked(keys)
 
     def add(self, lines: DataFrame) -> None:
         """Add the run of a batch of (doc_id, key) rows; a document belongs to one batch. Keys that no
         run has are new: the largest doc_id of the batch that has one is its first document."""
-        keys = lines.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        seen = self._seen()
-        if seen is None:
-            run = keys.withColumn("first_doc", F.col("max_doc"))
-        else:
-            known = keys.join(seen.withColumn("known", F.lit(True)), "key", "left")
-            run = known.withColumn("first_doc", F.when(F.col("known").isNull(), F.col("max_doc"))).drop("known")
-        self.levels[0].append(materialize(run.sortWithinPartitions("key"), "run"))
+        run = self.marked(lines).withColumn("first_doc", F.when(~F.col("known"), F.col("max_doc"))).drop("known")
+        self.levels[0].append(self._written(run))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(materialize(self._merge(old).sortWithinPartitions("key"), "run"))
+            self.levels[level + 1].append(self._written(self._merge(old)))
             for run in old:
                 discard(run)
             level += 1
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
+        """Rows of several runs, read without regard to their buckets: a union of buckets is none."""
+        out = plain(runs[0])
         for r in runs[1:]:
-            out = out.unionByName(r)
+            out = out.unionByName(plain(r))
         return out
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
@@ -98,8 +107,7 @@ class LineRuns:
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """Rows (doc_id, key) of a batch whose keys no run has: first come, first kept."""
-        seen = self._seen()
-        return lines if seen is None else lines.join(seen, "key", "left_anti")
+        return self._marked(lines).where("NOT known").drop("known")
 
 
 def batch_count(n_docs: int) -> int:
@@ -128,7 +136,7 @@ def repeated_lines(docs: DataFrame, batches: int | None = None) -> DataFrame:
     at = F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 10_000)
     cuts = sorted(set((named.agg(at).first()[0] or []) if batches > 1 else []))
     number = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    lines = materialize(_with_keys(named).withColumn("batch", number.cast("int")), "lines")
+    lines = materialize_by(_with_keys(named).withColumn("batch", number.cast("int")), "lines", "batch")
     runs = LineRuns()
     for i in range(len(cuts), -1, -1):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "key"))

@@ -624,6 +624,28 @@ def test_line_runs_compact_and_know_what_came(spark):
     assert [bytes(r.key) for r in runs.unseen(new).collect()] == [b"z"]
 
 
+def test_a_batch_deals_out_no_run(spark):
+    """Only the batch's own keys are exchanged; runs are joined by key where they lie."""
+    runs = lines.LineRuns()
+    rows = lambda k: spark.range(400 * k, 400 * k + 400).selectExpr("id AS doc_id", "cast(concat('line', id % 350) AS binary) AS key")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for k in range(6):
+            runs.add(rows(k))
+        plan = runs.marked(rows(6))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(runs._runs()) == 3 and plan.count("Bucketed: true") == 3
+    assert plan.count("Exchange hashpartitioning") == 2  # distinct rows, then keys
+    merged = {bytes(r.key): (r.n_docs, r.max_doc) for r in runs.merged().collect()}
+    want = {}
+    for i in range(2400):
+        n, _ = want.get(f"line{i % 350}".encode(), (0, 0))
+        want[f"line{i % 350}".encode()] = (n + 1, i)
+    assert merged == want
+
+
 def test_line_batches_compact_and_the_largest_doc_keeps(spark, monkeypatch):
     merged = []
     real = lines.LineRuns._merge
