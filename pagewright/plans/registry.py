@@ -11,6 +11,7 @@ from pagewright.functions import text, urls
 from pagewright.operators import checks, facts, links, logs, scoring, search
 from pagewright.plans import link_queries, metric_queries, page_queries, stream_queries
 from pagewright.plans.base import ORACLE_SQL, QUERIES, even, over, query
+from pagewright.sources import reports
 from pagewright.sources.derived import CTR_CURVE, TOOLS, UNSCORED, check_results, check_results_sql, derived, input_sql, read
 
 # search analytics
@@ -273,6 +274,9 @@ for _name, _report in {
 }.items():
     query(f"{_name}_checked", ORACLE_SQL[_name].replace(_RUNS, _CHECKED))(lambda s, d, report=_report: report(checks.run_checks(_facts(s, d))))
 
+for _name, _report in {"issue_samples": scoring.issue_samples, "audit_details": reports.audit_details}.items():
+    query(f"{_name}_checked", ORACLE_SQL[_name].replace(f"WITH cur AS ({check_results_sql(1)})", _CHECKED))(lambda s, d, report=_report: report(checks.run_checks(_facts(s, d))))
+
 query("title_check", f"WITH t AS (SELECT url, length({_TITLE}) AS n FROM pages) SELECT url, 'title' AS tool, CASE WHEN n = 0 THEN 'fail' WHEN n < 30 OR n > 60 THEN 'warning' ELSE 'pass' END AS status, n::VARCHAR AS message FROM t")(lambda s, d: checks.run_checks(_facts(s, d), ["title"]))
 query("lang_check", "WITH t AS (SELECT url, trim(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)) AS v FROM pages) SELECT url, 'lang_attr' AS tool, CASE WHEN v = '' THEN 'fail' ELSE 'pass' END AS status, v AS message FROM t")(lambda s, d: checks.run_checks(_facts(s, d), ["lang_attr"]))
 query("page_links", "WITH a AS (SELECT url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) SELECT url AS src_url, (i - 1)::INT AS pos, h[i] AS href, regexp_extract(url, '^(https?://[^/]*)', 1) || h[i] AS dst_url FROM a, unnest(range(1, len(h) + 1)) AS t(i)")(lambda s, d: links.links_of(_facts(s, d)).select("src_url", "pos", "href", "dst_url"))
