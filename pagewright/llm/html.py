@@ -119,13 +119,16 @@ def _hash(path: int, kind: str, what: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}{kind}{what}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: Tags come in few places, so their tokens are kept.
+_tag_token = lru_cache(100_000)(_hash)
 _HEAD_TOKEN = _hash(_below(0, "html"), "<", "head")
 
 
 class Page:
-    """Blocks of a page in order, its tokens, and its elements."""
+    """Blocks of a page in order, its tokens (if texts are to have theirs), and its elements."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = True):
+        self._marked = marked
         self.blocks: list[tuple[int, str, int, bool, bool, int]] = []  # place, text, token, out, in article or main, element
         self.tokens: list[int] = []  # in order
         self.elements: list[tuple[int, int]] = [(-1, 0)]  # element above, token that opens it
@@ -136,19 +139,21 @@ class Page:
 
     def _end_block(self) -> None:
         text = "".join(self._text)
-        self._text = []
+        self._text.clear()
+        if not text or text.isspace():
+            return
         if "&" in text:
             text = html.unescape(text)
         text = _SPACE.sub(" ", text).strip()
         if text:
             _, out, inside, path, element = self._stack[-1] if self._stack else _ROOT
-            token = _hash(path, "|", text)
+            token = _hash(path, "|", text) if self._marked else 0
             self.blocks.append((path, text, token, out, inside, element))
             self.tokens.append(token)
 
     def _open(self, tag: str, raw: str) -> None:
         _, out, inside, path, element = self._stack[-1] if self._stack else _ROOT
-        token = _hash(path, "<", tag)
+        token = _tag_token(path, "<", tag)
         self.tokens.append(token)
         below = path
         if tag not in _INLINE:
@@ -168,7 +173,7 @@ class Page:
         while self._stack[-1][0] != tag:
             self._pop(len(self._stack) - 1)
         self._pop(len(self._stack) - 1)
-        self.tokens.append(_hash(self._stack[-1][3] if self._stack else 0, ">", tag))
+        self.tokens.append(_tag_token(self._stack[-1][3] if self._stack else 0, ">", tag))
 
     def _read(self, source: str) -> None:
         at, stack = 0, self._stack
@@ -201,7 +206,7 @@ class Page:
                         self._pop(k)
             if tag in _RAW:
                 close = _raw_end(tag).search(source, at)
-                self.tokens.append(_hash(stack[-1][3] if stack else 0, "<", tag))
+                self.tokens.append(_tag_token(stack[-1][3] if stack else 0, "<", tag))
                 at = close.end() if close else len(source)
             elif tag not in _VOID and not raw.endswith("/"):
                 self._open(tag, raw)
@@ -264,7 +269,7 @@ def main_text(source: str, template: set[int] | frozenset[int] = frozenset(), ma
 
 def visible_text(source: str) -> str:
     """All text of a page but scripts, styles and the like, a line a block."""
-    page = Page(source)
+    page = Page(source, marked=False)
     heads = {0: False}
     for i, (parent, token) in enumerate(page.elements[1:], 1):
         heads[i] = heads[parent] or token == _HEAD_TOKEN
