@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text, urls
 from pagewright.operators import checks, facts, links, logs, scoring, search
-from pagewright.plans import link_queries, metric_queries, page_queries, stream_queries
+from pagewright.plans import link_queries, markup_queries, metric_queries, page_queries, stream_queries  # noqa: F401
 from pagewright.plans.base import ORACLE_SQL, QUERIES, even, over, query
 from pagewright.sources import reports
 from pagewright.sources.derived import CTR_CURVE, TOOLS, UNSCORED, check_results, check_results_sql, derived, input_sql, read
