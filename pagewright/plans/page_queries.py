@@ -179,6 +179,19 @@ def _course(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("course_checks", over("rich_pages", sql=f"{_COURSE_ROWS} SELECT * FROM rows"))(_course)
+def _matches(x: str, *patterns: str) -> str:
+    return "(" + " OR ".join("regexp_matches({}, '{}')".format(x, p.replace("'", "''")) for p in patterns) + ")"
+
+
+_SIGNS = {
+    "course_overview": "CASE WHEN title <> '' AND intro THEN 'pass' WHEN title <> '' OR intro THEN 'warning' ELSE 'fail' END",
+    "course_schedule": f"CASE WHEN {_matches('words', audits.DURATION, audits.START, audits.SESSION)} THEN 'pass' ELSE 'fail' END",
+    "course_pricing": f"CASE WHEN {_matches('words', audits.FREE, audits.CURRENCY)} THEN 'pass' ELSE 'fail' END",
+    "course_faq": f"CASE WHEN {_matches('title', audits.FAQ)} THEN 'pass' ELSE 'fail' END",
+    "course_cta": f"CASE WHEN len(list_filter(labels, lambda x: {_matches('x', audits.ACTION)})) > 0 THEN 'pass' ELSE 'fail' END",
+}
+_SIGN_ROWS = f", t AS (SELECT url, {_TITLE} AS title, {_text('html', 'script', 'style')} AS words, regexp_matches(html, '<p>(<b>)?[^<]{{40,}}') AS intro, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS labels FROM rich_pages), rows AS (" + " UNION ALL ".join(f"SELECT url, '{t}' AS tool, {x} AS status FROM t" for t, x in _SIGNS.items()) + ")"
+query("course_signs", over("rich_pages", sql=f"{_SIGN_ROWS} SELECT * FROM rows"))(lambda s, d: audits.course_audit(rich_facts(s, d)).where(F.col("tool").isin(*_SIGNS)).drop("message"))
 query("course_checks_all")(lambda s, d: audits.course_audit(rich_facts(s, d)))
 query("course_score", over("rich_pages", sql=f"{_COURSE_ROWS} SELECT url, {even(f'100 * sum({_EARNED}) / count(*)', 0)}::INT AS score FROM rows GROUP BY url"))(lambda s, d: audits.course_score(_course(s, d)))
 
