@@ -74,6 +74,16 @@ def test_needles_of_every_length(spark):
     for gram in (1, 3, 8):
         assert {(r.text, r.needle) for r in links.containing(t, n, gram).collect()} == want
     assert links.containing(t, n.limit(0)).count() == 0
+    dealt = links.containing(t, n, 3, share=7)
+    assert {(r.text, r.needle) for r in dealt.collect()} == want
+
+
+def test_texts_of_the_rank_tracker_are_not_broadcast(spark):
+    serp = spark.range(3000).selectExpr("concat('k', id % 3) AS keyword", "cast(1 + id % 20 AS int) AS rank", "concat('https://www.site', id % 9, '.example/', id) AS link")
+    ranks = links.rank_tracker(serp, spark.range(9).selectExpr("concat('site', id, '.example') AS domain"))
+    assert ranks.where("rank IS NOT NULL").count() == 9
+    # domains all alike look small where they are dealt out: no side that grows with the texts is broadcast
+    assert not [line for line in plan_of(ranks).split("\n") if "BroadcastHashJoin" in line and ("[link" in line or "[keyword" in line or "share" in line)]
 
 
 def test_a_hundred_thousand_targets_without_a_nested_loop(spark):
