@@ -144,6 +144,22 @@ def test_canonical_loops(spark):
     rows = [("a", "a"), ("b", None), ("c", "d"), ("d", "d"), ("e", "f"), ("f", "e"), ("g", "gone"), ("h", "b")] + [(f"l{i}", f"l{i + 1}") for i in range(7)] + [("l7", "l7")]
     got = {r.url: r.verdict for r in links.canonical_loop(spark.createDataFrame(rows, "url string, canonical string")).collect()}
     assert {k: got[k] for k in "abcdefgh"} == {"a": "pass", "b": "warning", "c": "warning", "d": "pass", "e": "fail", "f": "fail", "g": "error", "h": "pass"} and got["l0"] == "warning"
+    hot = {r.url: r.verdict for r in links.canonical_loop(spark.createDataFrame(rows, "url string, canonical string"), hot=2).collect()}
+    assert hot == got
+
+
+def test_canonical_rows_that_need_no_lookup_are_dealt_evenly(spark):
+    rows = spark.range(4000).selectExpr("concat('u', id) AS url", "CASE WHEN id % 2 = 0 THEN '' ELSE 'gone' END AS canonical")
+    out = links.canonical_loop(rows, hot=1000).withColumn("part", F.spark_partition_id())
+    old = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sizes = sorted(r["count"] for r in out.groupBy("part").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[1])
+    assert sum(sizes) == 4000 and len(sizes) == 4 and sizes[-1] < 1300  # 2,000 and 4,000 before
 
 
 def test_long_redirects_are_followed_to_their_end(spark):
