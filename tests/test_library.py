@@ -178,3 +178,33 @@ def test_entry_works_without_the_optional_parts(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_references_without_a_semicolon():
+    html = "<title>a &amp; b&amp</title><script type='application/ld+json'>{\"x\": \"a&b\"}</script><p>c &lt d"
+    assert facts.page_facts("https://u/", html)["title"] == "a & b&" and facts.page_facts("https://u/", html, True)["title"] == "a & b&amp"
+    assert facts.page_facts("https://u/", html, True)["jsonld"] == ['{"x": "a&b"}'] and facts.page_facts("https://u/", html, True)["body_text"].endswith("c &lt d")
+
+
+def test_a_paragraph_ends_where_the_next_begins():
+    short = "<p><b>Of haesly edhest relyre threst.<br><p>All rights reserved here.</p>"
+    assert facts.page_facts("https://u/", short)["intro_chars"] == 0
+    assert facts.page_facts("https://u/", "<p>a<table><tr><td><p>" + "b" * 45 + "</table>")["intro_chars"] == 47
+
+
+def test_only_the_columns_asked_for(spark):
+    pages = spark.createDataFrame([("https://u/", "<a href='/x'>t</a>")], "url string, html string")
+    got = facts.extract_facts(pages, columns=("url", "anchors"))
+    assert got.columns == ["url", "anchors", "headers"] and got.first().anchors[0].dst == "https://u/x"
+
+
+def test_pages_are_parsed_once(spark):
+    for name, most in (("issue_digest_checked", 1), ("broken_links_rich", 0), ("link_health_order", 0), ("broken_links", 0), ("link_health", 0)):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= most, name  # 2 before
+
+
+def test_optimizer_context_of_pages_with_one_url(spark, tmp_path):
+    spark.createDataFrame([(1, "https://u/", "<title>a</title>"), (2, "https://u/", "<title>b</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    os.symlink(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    assert sorted(r.url for r in registry.QUERIES["optimizer_context"](spark, str(tmp_path)).collect()) == ["u1", "u2"]  # 4 rows before
