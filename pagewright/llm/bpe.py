@@ -285,6 +285,11 @@ class Encoder:
     def encode_column(self, column: pa.Array) -> pa.ListArray:
         return _lists(*self.memo.encode_column(column))
 
+    def forget(self) -> None:
+        """Let go of what was encoded; the tables of the vocabulary stay."""
+        self.other.clear()
+        self.memo = StretchMemo(self._strings)
+
     def encode(self, text: str) -> list[int]:
         return self.encode_column(pa.array([text], pa.string()))[0].as_py()
 
@@ -338,6 +343,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = held(Encoder, key, lines, pattern)
         for b in slices(batches, 4000):
             yield pa.record_batch([b.column(0), enc.encode_column(b.column(1))], names=["doc_id", "ids"])
+        enc.forget()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -364,6 +370,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in slices(batches, 4000):
             ids = enc.encode_column(b.column(1))
             yield pa.record_batch([b.column(0), ids, dec.decode_column(ids)], names=["doc_id", "ids", "data"])
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, data binary")
 

@@ -84,11 +84,15 @@ def widened(df: DataFrame, ddl: str) -> StructType:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of so many rows, and about so many bytes, at most: they bound a
-    Python worker's memory."""
-    for b in batches:
-        step = max(1, min(rows, int(most * b.num_rows / max(b.nbytes, 1))))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
+    Python worker's memory. At the end the worker gives back what it no longer uses, as it lives on
+    beside the tasks of later stages."""
+    try:
+        for b in batches:
+            step = max(1, min(rows, int(most * b.num_rows / max(b.nbytes, 1))))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -111,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
                 every.update(own)
                 bad.update(own if q < 1 else ())
                 toxic.update(own if x > 0 else ())
+        _WORD_CACHE.clear()  # the worker lives on
         names = list(every)
         yield pa.record_batch([pa.array(names, pa.string())] + [pa.array([c[f] for f in names], pa.int64()) for c in (every, bad, toxic)], names=["feature", "n", "bad", "toxic"])
 
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
         for b in slices(batches):
             hits = [sorted(index[f] for f in features(t) if f in index) for t in texts(b.column(1))]
             yield pa.record_batch([b.column(2), b.column(3), pa.array(hits, pa.list_(pa.int32()))], names=["quality", "toxic", "hits"])
+        _WORD_CACHE.clear()
 
     # narrow rows of at most sample_rows documents
     sample = rows.select("doc_id", "text", "quality", "toxic").mapInArrow(found, "quality int, toxic int, hits array<int>").collect() if chosen else []

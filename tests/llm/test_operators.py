@@ -751,3 +751,11 @@ def test_pipeline_decisions(spark):
     assert ids(f["benchmark decontamination"](spark, docs, SF)) == ids(decontaminate.report(docs, bench).where("NOT contaminated"))
     want = bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
     assert by_id(f["byte-level BPE encoding and decoding"](spark, docs, SF), "n_tokens", "ids_sha256") == by_id(want, "n_tokens", "ids_sha256")
+
+
+def test_an_encoder_forgets_texts_and_encodes_alike():
+    enc = bpe.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    text = "some words, again some words; 12 !!"
+    first = enc.encode(text)
+    enc.forget()
+    assert not enc.other and len(enc.memo.words) == 0 and enc.encode(text) == first
