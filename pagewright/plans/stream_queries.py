@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.plans.base import over, query
+from pagewright.plans.base import AS_SQL, over, query
 from pagewright.plans.link_queries import made
 from pagewright.plans.page_queries import PLAIN_CHECKS
 from pagewright.sources.derived import derived, read
@@ -13,7 +13,7 @@ from pagewright.streaming import jobs
 _MINUTE = "yyyy-MM-dd HH:mm:ss"
 _BOUNDS = ", ".join(f"count(*) FILTER (duration_s <= {b}) AS le_{i}" for i, b in enumerate((0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)))
 
-query("stream_page_checks", f"{PLAIN_CHECKS} SELECT * FROM cur")(lambda s, d: jobs.stream_page_checks(read(s, d, "pages"), closed_only=True))
+query("stream_page_checks", f"{PLAIN_CHECKS} SELECT * FROM cur")(lambda s, d: jobs.stream_page_checks(read(s, d, "pages"), **AS_SQL))
 query("stream_http_metrics", over("http_requests", sql=f" SELECT strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, method, endpoint, status, count(*) AS n, {_BOUNDS} FROM http_requests GROUP BY ALL"))(
     lambda s, d: jobs.http_metrics_stream(derived(s, d, "http_requests")).withColumn("minute", F.date_format("window.start", _MINUTE)).drop("window")
 )

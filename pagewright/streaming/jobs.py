@@ -15,9 +15,10 @@ from pagewright.operators.logs import histogram
 LATE = "10 minutes"
 
 
-def stream_page_checks(pages: DataFrame, closed_only: bool = False) -> DataFrame:
-    """Check rows of newly crawled pages, for append mode: stateless, one parse a page."""
-    return checks.run_checks(facts.extract_facts(pages, closed_only=closed_only))
+def stream_page_checks(pages: DataFrame, **reading) -> DataFrame:
+    """Check rows of newly crawled pages, for append mode: stateless, one parse a page. reading is as
+    in extract_facts."""
+    return checks.run_checks(facts.extract_facts(pages, **reading))
 
 
 def write_page_audits(pages: DataFrame, path: str, checkpoint: str):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text, urls
 from pagewright.operators import checks, facts, links, logs, scoring, search
-from pagewright.plans import registry
+from pagewright.plans import base, registry
 from pagewright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -192,6 +192,12 @@ def test_a_paragraph_ends_where_the_next_begins():
     assert facts.page_facts("https://u/", "<p>a<table><tr><td><p>" + "b" * 45 + "</table>")["intro_chars"] == 47
 
 
+def test_any_paragraph_may_be_the_introduction():
+    html = "<p>short</p>" * 30 + "<p>" + "b" * 45 + "</p>"
+    assert facts.page_facts("https://u/", html)["intro_chars"] == 0
+    assert facts.page_facts("https://u/", html, **base.AS_SQL)["intro_chars"] == 45
+
+
 def test_only_the_columns_asked_for(spark):
     pages = spark.createDataFrame([("https://u/", "<a href='/x'>t</a>")], "url string, html string")
     got = facts.extract_facts(pages, columns=("url", "anchors"))
