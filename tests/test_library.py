@@ -192,12 +192,33 @@ def test_a_paragraph_ends_where_the_next_begins():
     assert facts.page_facts("https://u/", "<p>a<table><tr><td><p>" + "b" * 45 + "</table>")["intro_chars"] == 47
 
 
+def test_titles_decode_the_references_asked_for():
+    html = "<title>&quot;a&quot; &amp; b</title><body><h1>&quot;a&quot; &amp;amp; b</h1><h2>&quot;c&quot;</h2>"
+    as_html, as_sql = facts.page_facts("https://u/", html), facts.page_facts("https://u/", html, **base.AS_SQL)
+    assert as_html["title"] == '"a" & b' and [h["text"] for h in as_html["headings"]] == ['"a" &amp; b', '"c"']
+    assert as_sql["title"] == "&quot;a&quot; & b" and [h["text"] for h in as_sql["headings"]] == ["&quot;a&quot; &amp; b", '"c"']
+    assert as_sql["all_text"] == as_html["all_text"]
+
+
 def test_any_paragraph_may_be_the_introduction():
     html = "<p>short</p>" * 30 + "<p>" + "b" * 45 + "</p>"
     assert facts.page_facts("https://u/", html)["intro_chars"] == 0
     assert facts.page_facts("https://u/", html, **base.AS_SQL)["intro_chars"] == 45
 
 
+@pytest.mark.parametrize("name", ["duplicate_titles", "audit_details_checked", "course_signs", "score_issues_checked", "select_checks", "seo_score_checked"])
+def test_titles_and_introductions_as_in_the_sql(spark, tmp_path, name):
+    titles = ["&quot;" + "a" * 28, '""' + "x" * 40, "&quot;&quot;" + "x" * 40, "&quot;&quot;" + "x" * 40, "&quot;" * 6 + "t" * 30]
+    body = "<p>short</p>" * 30 + "<p>" + "b" * 45 + "</p><footer></footer>"
+    rows = [(i, f"https://u.example/{i}", f'<html lang="en"><head><title>{t}</title></head><body><h1>{t}</h1>{body}</body></html>') for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_only_the_columns_asked_for(spark):
     pages = spark.createDataFrame([("https://u/", "<a href='/x'>t</a>")], "url string, html string")
     got = facts.extract_facts(pages, columns=("url", "anchors"))
