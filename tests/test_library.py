@@ -225,6 +225,12 @@ def test_only_the_columns_asked_for(spark):
     assert got.columns == ["url", "anchors", "headers"] and got.first().anchors[0].dst == "https://u/x"
 
 
+@pytest.mark.parametrize("name", ["rank_change", "rank_change_summary"])
+def test_ranks_are_found_once(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan  # results were read again for each of two runs
+
+
 def test_pages_are_parsed_once(spark):
     for name, most in (("issue_digest_checked", 1), ("broken_links_rich", 0), ("link_health_order", 0), ("broken_links", 0), ("link_health", 0)):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
