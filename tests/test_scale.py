@@ -78,6 +78,26 @@ def test_needles_of_every_length(spark):
     assert {(r.text, r.needle) for r in dealt.collect()} == want
 
 
+def test_needles_that_are_dealt_out(spark):
+    rng = random.Random(6)
+    texts, needles = (["".join(rng.choice("abc.") for _ in range(rng.randrange(0, n))) for _ in range(m)] for n, m in ((14, 300), (7, 60)))
+    t, n = spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(x,) for x in [*needles, "aXb"]], "needle string")
+    want = sorted({(x, y) for x in texts for y in needles if y and y in x})
+    for share in (7, 100_000):
+        got = links.containing(t, n, 3, share=share, few=0)
+        assert sorted(map(tuple, got.collect())) == want
+        assert not [line for line in plan_of(got).split("\n") if "BroadcastHashJoin" in line and "LeftOuter" not in line]
+
+
+def test_what_is_kept_of_texts_is_a_row_for_each_needle(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(links, "durable", lambda df: kept.append(out := durable_module.durable(df)) or out)
+    texts = spark.range(2000).selectExpr("concat('https://www.site', id % 9, '.example/', id) AS text")
+    pairs = links.containing(texts, spark.range(9).selectExpr("concat('site', id, '.example') AS needle"))
+    assert pairs.count() == 2000 and max(df.count() for df in kept) == 54  # 12,000 before
+    assert "SortMergeJoin" not in plan_of(pairs)  # texts were dealt out by their parts
+
+
 def test_texts_of_the_rank_tracker_are_not_broadcast(spark):
     serp = spark.range(3000).selectExpr("concat('k', id % 3) AS keyword", "cast(1 + id % 20 AS int) AS rank", "concat('https://www.site', id % 9, '.example/', id) AS link")
     ranks = links.rank_tracker(serp, spark.range(9).selectExpr("concat('site', id, '.example') AS domain"))
