@@ -19,20 +19,24 @@ STOP_WORDS = (
 
 def keyword_density(facts: DataFrame) -> DataFrame:
     """Count and density % of every keyword of each page (url, keyword, count, density, first_pos,
-    total_words, unique_words, in_title, in_h1). Words are counted inside each page's row."""
+    total_words, unique_words, in_title, in_h1). Words are counted inside each page's row. Pages that
+    share a url add up; what they differ in is taken of the first that has the keyword, by page_id if
+    facts have it, else by its numbers of words, whichever order the rows come in."""
     words = F.filter(letter_words(F.col("density_text")), lambda w: ~w.isin(*STOP_WORDS))
     h1 = F.lower(F.array_join(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"]), " "))
-    p = facts.select("url", words.alias("words"), F.lower(F.coalesce("title", F.lit(""))).alias("title"), h1.alias("h1"))
+    place = F.col("page_id") if "page_id" in facts.columns else F.lit(0).cast("long")
+    p = facts.select("url", place.alias("page"), words.alias("words"), F.lower(F.coalesce("title", F.lit(""))).alias("title"), h1.alias("h1"))
     # both numbers are taken before unfolding, once a page
     p = p.select("*", F.size("words").alias("total_words"), F.size(F.array_distinct("words")).alias("unique_words"))
-    rows = p.select("url", "title", "h1", "total_words", "unique_words", F.posexplode("words").alias("pos", "keyword"))
-    c = rows.groupBy("url", "keyword").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"), *(F.first(x).alias(x) for x in ("total_words", "unique_words", "title", "h1")))
-    return c.select("url", "keyword", "count", half_even(100 * F.col("count") / F.col("total_words"), 2).alias("density"), "first_pos", "total_words", "unique_words", F.contains("title", F.col("keyword")).alias("in_title"), F.contains("h1", F.col("keyword")).alias("in_h1"))
+    rows = p.select("url", "page", "title", "h1", "total_words", "unique_words", F.posexplode("words").alias("pos", "keyword"))
+    c = rows.groupBy("url", "keyword").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"), F.min(F.struct("page", "total_words", "unique_words", "title", "h1")).alias("p"))
+    return c.select("url", "keyword", "count", half_even(100 * F.col("count") / F.col("p.total_words"), 2).alias("density"), "first_pos", "p.total_words", "p.unique_words", F.contains("p.title", F.col("keyword")).alias("in_title"), F.contains("p.h1", F.col("keyword")).alias("in_h1"))
 
 
 def top_keywords_per_page(density: DataFrame, n: int = 20) -> DataFrame:
-    """The n most frequent keywords of each page, those of equal count by first occurrence."""
-    return top_per(density, "url", n, F.col("count").desc(), F.col("first_pos"))
+    """The n most frequent keywords of each page, those of equal count by first occurrence; where pages
+    share a url two may have one, and go by the alphabet."""
+    return top_per(density, "url", n, F.col("count").desc(), F.col("first_pos"), F.col("keyword"))
 
 
 def optimizer_context(facts: DataFrame, search_rows: DataFrame, n: int = 10) -> DataFrame:
