@@ -29,8 +29,10 @@ def keyword_density(facts: DataFrame) -> DataFrame:
     # both numbers are taken before unfolding, once a page
     p = p.select("*", F.size("words").alias("total_words"), F.size(F.array_distinct("words")).alias("unique_words"))
     rows = p.select("url", "page", "title", "h1", "total_words", "unique_words", F.posexplode("words").alias("pos", "keyword"))
-    c = rows.groupBy("url", "keyword").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"), F.min(F.struct("page", "total_words", "unique_words", "title", "h1")).alias("p"))
-    return c.select("url", "keyword", "count", half_even(100 * F.col("count") / F.col("p.total_words"), 2).alias("density"), "first_pos", "p.total_words", "p.unique_words", F.contains("p.title", F.col("keyword")).alias("in_title"), F.contains("p.h1", F.col("keyword")).alias("in_h1"))
+    # titles do not travel with the words
+    rows = rows.select("url", "page", "total_words", "unique_words", "pos", "keyword", *(F.contains(x, F.col("keyword")).alias(f"in_{x}") for x in ("title", "h1")))
+    c = rows.groupBy("url", "keyword").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"), F.min(F.struct("page", "total_words", "unique_words", "in_title", "in_h1")).alias("p"))
+    return c.select("url", "keyword", "count", half_even(100 * F.col("count") / F.col("p.total_words"), 2).alias("density"), "first_pos", "p.total_words", "p.unique_words", "p.in_title", "p.in_h1")
 
 
 def top_keywords_per_page(density: DataFrame, n: int = 20) -> DataFrame:
